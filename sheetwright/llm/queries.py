@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, mixing, secret_scan
+from . import license_scan, line_dedup, mixing, secret_scan, simhash
 from .common import n_words, table
 
 
@@ -29,6 +29,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "digest", "license_id", F.array_join("notices", ",").alias("notices"))
@@ -39,7 +44,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_secret_scan, op8_license_digest, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_secret_scan, op6_simhash, op8_license_digest, op9_line_dedup)}
 
 _SPACES = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
