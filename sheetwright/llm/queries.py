@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, mixing, secret_scan, simhash
+from . import ftrl_quality, license_scan, line_dedup, mixing, quality_rules, secret_scan, simhash
 from .common import n_words, table
 
 
@@ -15,6 +15,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality_rules.apply_rules(docs, table(spark, sf_dir, "labels"))
+    return rows.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
@@ -44,7 +50,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_secret_scan, op6_simhash, op8_license_digest, op9_line_dedup)}
+def op10_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ftrl_quality.classify_quality(docs, table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_quality_rules, op5_secret_scan, op6_simhash, op8_license_digest, op9_line_dedup, op10_ftrl_quality)}
 
 _SPACES = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
