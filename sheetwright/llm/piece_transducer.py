@@ -12,8 +12,9 @@ Compiled from a model file:
   BPE makes of a text just if each two neighbours are such a pair, so one path is left.
 
 A text is composed with this arc by arc, in order of its characters. No piece crosses
-from other characters into white space, so every path passes the state between them;
-the parts between such states are solved one by one and remembered within a task.
+from other characters into white space, or between classes of characters, so every
+path passes the states between them; the parts between such states are solved one by
+one and remembered within a task.
 
 Models whose normaliser has a character map or collapses white space are refused.
 
@@ -24,6 +25,7 @@ one row; only doc_id and text are read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +33,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path  # noqa: F401  (kept with the shared helpers)
-
 BLANK = "▁"
 #: Parts remembered in a task at most, and pairs of pieces; then the memory starts anew.
-MEMORY, PAIRS = 300_000, 1_000_000
-UNKNOWN = -1
+MEMORY, PAIRS = 300_000, 500_000
+UNKNOWN_WEIGHT = 1e6
+
+
+def _runs(pieces) -> re.Pattern:
+    """Pattern of the parts of a text that can be solved alone.
+
+    Characters that stand side by side in a piece are of one class, as are those that
+    further pieces link with them (in effect scripts, and punctuation). No piece
+    crosses from one class into another, or from any character into white space.
+    """
+    root: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while root.setdefault(c, c) != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for piece in pieces:
+        bare = piece.lstrip(BLANK)
+        for a, b in zip(bare, bare[1:], strict=False):
+            root[top(a)] = top(b)
+        if len(bare) > 1 and bare[0] == bare[-1]:
+            top(bare[0])
+    classes: dict[str, list[str]] = {}
+    for c in root:
+        classes.setdefault(top(c), []).append(c)
+    sets = sorted(("".join(map(re.escape, sorted(x))) for x in classes.values()), key=lambda x: (-len(x), x))
+    return re.compile(f"{BLANK}*(?:{''.join(f'[{x}]+|' for x in sets)}[^{BLANK}])|{BLANK}+", re.DOTALL)
 
 
 class PieceTransducer:
@@ -61,13 +89,14 @@ class PieceTransducer:
         self.unknown = next((i for i, p in enumerate(proto.pieces) if p.type == kind.UNKNOWN), 0)
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("a piece has white space behind other characters")
+        self.runs = _runs(self.ids)
         value = {i: b for b, i in self.byte.items()}
         silent = {i for i, p in enumerate(proto.pieces) if p.type in (kind.CONTROL, kind.UNKNOWN)}
         self.output = [
             b"" if i in silent else bytes([value[i]]) if i in value else p.replace(BLANK, " ").encode()
             for i, p in enumerate(self.pieces)
         ]
-        self.pair: dict[tuple[str, str], bool] = {}
+        self.pair: dict[tuple[str, str] | int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _merge(self, text: str) -> list[str]:
@@ -86,48 +115,64 @@ class PieceTransducer:
 
     def _follows(self, u: str, v: str) -> bool:
         """Whether piece v may follow piece u: weight 1, else infinity."""
-        found = self.pair.get((u, v))
+        i, j = self.ids.get(u), self.ids.get(v)
+        key = (u, v) if i is None or j is None else i << 24 | j
+        found = self.pair.get(key)
         if found is None:
             if len(self.pair) >= PAIRS:
                 self.pair.clear()
-            found = self.pair[u, v] = self._merge(u + v) == [u, v]
+            found = self.pair[key] = self._merge(u + v) == [u, v]
         return found
 
     def _path(self, text: str) -> tuple[int, ...]:
         """Ids on the shortest path over a part of the normalised text."""
-        n, ids, bpe = len(text), self.ids, self.bpe
-        whole = ids.get(text)
-        if whole is not None and bpe and self._merge(text) == [text]:
-            return (whole,)
-        # states[j]: piece that ends at j -> (weight, piece before it); one state for all pieces where any may follow
-        states: list[dict] = [{} for _ in range(n + 1)]
-        states[0][None] = (0.0, None)
+        return self._ids(self._merged_path(text) if self.bpe else self._lightest_path(text))
+
+    def _merged_path(self, text: str) -> list[str]:
+        """The one path of finite weight of a BPE model, found depth first; states that lead nowhere are not entered again."""
+        n, ids, longest = len(text), self.ids, self.longest
+        path, ends, dead = [], [0], set()
+        i, j = 0, min(n, longest)  # the piece to try next is text[i:j], the longest first
+        while i < n:
+            while j > i:
+                v = text[i:j]
+                if (v in ids or j == i + 1) and j not in dead and (self._follows(path[-1], v) if i else len(v) == 1 or self._whole(v)):
+                    break
+                j -= 1
+            if j > i:
+                path.append(v)
+                ends.append(j)
+                i, j = j, min(n, j + longest)
+            else:
+                dead.add(i)
+                j = ends.pop() - 1
+                path.pop()
+                i = ends[-1]
+        return path
+
+    def _lightest_path(self, text: str) -> list[str]:
+        """The shortest path where any piece may follow any other, by relaxing the arcs in order of the characters."""
+        n, ids = len(text), self.ids
+        best: list[tuple[float, int]] = [(0.0, 0)] + [(np.inf, 0)] * n
         for i in range(n):
-            here = states[i]
-            if not here:
-                continue
             for j in range(i + 1, min(n, i + self.longest) + 1):
-                v = text[i:j]
-                piece = ids.get(v)
+                piece = ids.get(text[i:j])
                 if piece is None and j > i + 1:
                     continue
-                if bpe:
-                    for u, (w, _) in here.items():
-                        if (u is None or self._follows(u, v)) and w + 1 < states[j].get(v, (np.inf,))[0]:
-                            states[j][v] = (w + 1, u)
-                else:
-                    u = min(here, key=lambda p: here[p][0])
-                    w = here[u][0] + (1e6 if piece is None else -self.score[piece])
-                    if w < states[j].get(v, (np.inf,))[0]:
-                        states[j][v] = (w, u)
+                w = best[i][0] + (UNKNOWN_WEIGHT if piece is None else -self.score[piece])
+                if w < best[j][0]:
+                    best[j] = (w, i)
         path, j = [], n
-        v = min(states[n], key=lambda p: states[n][p][0])
-        while v is not None:
-            path.append(v)
-            v, j = (states[j][v][1] if bpe or j == 0 else states[j][v][1]), j - len(v)
+        while j:
+            path.append(text[best[j][1] : j])
+            j = best[j][1]
+        return path[::-1]
+
+    def _ids(self, path: list[str]) -> tuple[int, ...]:
+        """The output labels of a path; a character that is no piece gives its bytes."""
         out: list[int] = []
-        for v in reversed(path):
-            i = ids.get(v)
+        for v in path:
+            i = self.ids.get(v)
             if i is not None:
                 out.append(i)
             elif self.byte:
@@ -136,19 +181,16 @@ class PieceTransducer:
                 out.append(self.unknown)
         return tuple(out)
 
+    def _whole(self, v: str) -> bool:
+        """Whether merging makes the piece v of its characters."""
+        found = self.pair.get(v)
+        if found is None:
+            found = self.pair[v] = self._merge(v) == [v]
+        return found
+
     def parts(self, text: str) -> list[str]:
-        """The normalised text, cut where white space begins."""
-        text = (BLANK if self.dummy else "") + text.replace(" ", BLANK)
-        cut = text.split(BLANK)
-        out, blanks = [cut[0]] if cut[0] else [], 0
-        for x in cut[1:]:
-            blanks += 1
-            if x:
-                out.append(BLANK * blanks + x)
-                blanks = 0
-        if blanks:
-            out.append(BLANK * blanks)
-        return out
+        """The normalised text, cut where no piece crosses."""
+        return self.runs.findall((BLANK if self.dummy else "") + text.replace(" ", BLANK))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:

@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ftrl_quality, license_scan, line_dedup, mixing, quality_rules, secret_scan, simhash
+from . import (
+    ftrl_quality,
+    hmm_lm,
+    license_scan,
+    line_dedup,
+    mixing,
+    piece_transducer,
+    quality_rules,
+    secret_scan,
+    simhash,
+)
 from .common import n_words, table
 
 
+#: Model file of the SentencePiece queries.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("n"))
     mix = mixing.mix_sources(docs, size="n")
@@ -40,6 +58,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_piece_transducer(spark: SparkSession, sf_dir: str, model: str = PIECE_MODEL) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = piece_transducer.encode_texts(docs, piece_transducer.read_model(model))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+
+
 def op8_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "digest", "license_id", F.array_join("notices", ",").alias("notices"))
@@ -55,7 +79,7 @@ def op10_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl_quality.classify_quality(docs, table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_quality_rules, op5_secret_scan, op6_simhash, op8_license_digest, op9_line_dedup, op10_ftrl_quality)}
+QUERIES = {f.__name__: f for f in (op2_hmm_lm, op3_mix_sources, op4_quality_rules, op5_secret_scan, op6_simhash, op7_piece_transducer, op8_license_digest, op9_line_dedup, op10_ftrl_quality)}
 
 _SPACES = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
