@@ -11,6 +11,7 @@ from . import (
     license_scan,
     line_dedup,
     mixing,
+    permutation_index,
     piece_transducer,
     quality_rules,
     secret_scan,
@@ -23,6 +24,11 @@ from .common import n_words, table
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = permutation_index.usable(table(spark, sf_dir, "embeddings"))
+    return permutation_index.nearest_found(rows, rows.filter("id % 50 = 0"), k=5)
+
+
 def op2_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -79,7 +85,7 @@ def op10_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl_quality.classify_quality(docs, table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hmm_lm, op3_mix_sources, op4_quality_rules, op5_secret_scan, op6_simhash, op7_piece_transducer, op8_license_digest, op9_line_dedup, op10_ftrl_quality)}
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_hmm_lm, op3_mix_sources, op4_quality_rules, op5_secret_scan, op6_simhash, op7_piece_transducer, op8_license_digest, op9_line_dedup, op10_ftrl_quality)}
 
 _SPACES = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
