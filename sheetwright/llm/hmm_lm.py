@@ -77,6 +77,8 @@ class Vocabulary:
     spread: np.ndarray  # tokens + types + 1 of each hashed class
     tokens: int
     types: int
+    own: int = OWN_CLASSES
+    buckets: int = BUCKETS
 
     def words(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate(self.head.split(b" "))} if len(self.counts) else {}
@@ -84,27 +86,27 @@ class Vocabulary:
     def classes(self) -> np.ndarray:
         """Class of each head word."""
         out = np.arange(len(self.counts))
-        for i, w in enumerate(self.head.split(b" ")[OWN_CLASSES : len(self.counts)]):
-            out[OWN_CLASSES + i] = OWN_CLASSES + zlib.crc32(w) % BUCKETS
+        for i, w in enumerate(self.head.split(b" ")[self.own : len(self.counts)]):
+            out[self.own + i] = self.own + zlib.crc32(w) % self.buckets
         return out.astype(np.uint16)
 
     def class_counts(self) -> np.ndarray:
         """About the tokens of each class, to start from."""
-        out = np.concatenate((np.zeros(OWN_CLASSES), self.spread))
-        out[: min(OWN_CLASSES, len(self.counts))] = self.counts[:OWN_CLASSES]
+        out = np.concatenate((np.zeros(self.own), self.spread))
+        out[: min(self.own, len(self.counts))] = self.counts[: self.own]
         return out
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
+def vocabulary(counts: DataFrame, head: int = HEAD, own: int = OWN_CLASSES, buckets: int = BUCKETS) -> Vocabulary:
     tokens, types = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()
     words, c = top.column(0).to_pylist(), top.column(1).to_numpy().astype(np.int64)
-    spread = np.ones(BUCKETS)
-    for r in counts.groupBy((F.crc32("word") % BUCKETS).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+    spread = np.ones(buckets)
+    for r in counts.groupBy((F.crc32("word") % buckets).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         spread[r["k"]] += r["c"] + r["n"]
-    for w, n in zip(words[:OWN_CLASSES], c[:OWN_CLASSES], strict=True):
-        spread[zlib.crc32(w) % BUCKETS] -= n + 1
-    return Vocabulary(b" ".join(words), c, spread, int(tokens or 0), types)
+    for w, n in zip(words[:own], c[:own], strict=True):
+        spread[zlib.crc32(w) % buckets] -= n + 1
+    return Vocabulary(b" ".join(words), c, spread, int(tokens or 0), types, own, buckets)
 
 
 def _prepare(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -117,7 +119,7 @@ def _prepare(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         v = shared.value
         words, cls, log_spread = v.words(), v.classes(), np.log10(v.spread)
         log_c = np.log10(v.counts + 1.0)
-        within = np.where(np.arange(len(cls)) < OWN_CLASSES, 0.0, log_c - log_spread[np.maximum(cls.astype(int) - OWN_CLASSES, 0)])
+        within = np.where(np.arange(len(cls)) < v.own, 0.0, log_c - log_spread[np.maximum(cls.astype(int) - v.own, 0)])
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b, out = whole.slice(at, 500), []
@@ -131,8 +133,8 @@ def _prepare(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                     rare_log, rare = 0.0, []
                     if len(head) < len(tokens):
                         tail = [tokens[k] for k in np.flatnonzero(~known)]
-                        bucket = np.array([zlib.crc32(w) % BUCKETS for w in tail])
-                        classes[~known] = OWN_CLASSES + bucket
+                        bucket = np.array([zlib.crc32(w) % v.buckets for w in tail])
+                        classes[~known] = v.own + bucket
                         rare_log = -float(log_spread[bucket].sum())
                         rare = [{"word": w, "n": n} for w, n in Counter(tail).items()]
                     out.append((len(tokens), classes.tobytes(), float(log_c[head].sum()), len(head), float(within[head].sum()) + rare_log, rare))
@@ -255,11 +257,13 @@ def _forward_scores(rows: DataFrame, hmm: Hmm) -> DataFrame:
     return rows.select(*plain, "classes").mapInArrow(run, schema)
 
 
-def score_texts(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
+def score_texts(
+    docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, head: int = HEAD, own: int = OWN_CLASSES, buckets: int = BUCKETS
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
     training = docs.filter(F.coalesce(crc_mod(F.col("doc_id"), FOLDS) != HELD, F.lit(True)))
     counts = cut(count_words(training), "lm-counts")
-    vocab = vocabulary(counts)
+    vocab = vocabulary(counts, head, own, buckets)
     rows = _prepare(docs, vocab)
     hmm = first_guess(vocab.class_counts(), states)
     for _ in range(rounds if vocab.tokens else 0):
