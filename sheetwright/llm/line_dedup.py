@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, ascii_strip, cut, fresh_path, text_or_empty
 
 HASH = ["h1", "h2"]
+RUN = "h1 long, h2 long, n_docs long, keeper long"
 NO_ID = -(2**63)
 
 
@@ -39,29 +40,30 @@ class LineRuns:
     """The levelled runs; rows are (h1, h2, n_docs, keeper), keeper null where an older run holds it."""
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
+        self.spark, self.fanout, self.paths = spark, fanout, {}
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[DataFrame]] = []
+        self.levels: list[list[str]] = []
 
-    def _write(self, rows: DataFrame) -> DataFrame:
+    def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = fresh_path(self.spark, name)
         (
             rows.repartition(self.buckets, *HASH)
             .sortWithinPartitions(*HASH)
             .write.bucketBy(self.buckets, *HASH)
             .sortBy(*HASH)
-            .option("path", fresh_path(self.spark, name))
+            .option("path", self.paths[name])
             .saveAsTable(name)
         )
-        return self.spark.table(name)
+        return name
 
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of keys whose hash no run holds."""
         for run in self.runs():
-            keys = keys.join(run.select(*HASH).hint("merge"), HASH, "left_anti")
+            keys = keys.join(self.spark.table(run).select(*HASH).hint("merge"), HASH, "left_anti")
         return keys
 
     def add(self, batch: DataFrame) -> None:
@@ -77,13 +79,13 @@ class LineRuns:
             keys = keys.withColumnRenamed("largest", "keeper")
         self._push(0, self._write(keys))
 
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for run in runs[1:]:
-            rows = rows.unionByName(run)
+    def _merge(self, runs: list[str]) -> DataFrame:
+        # Read as plain files: Spark 4.1 takes the buckets of a union of columnar bucketed scans for its
+        # partitions (spark.sql.unionOutputPartitioning) though it only strings them together.
+        rows = self.spark.read.schema(RUN).parquet(*(self.paths[run] for run in runs))
         return rows.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
 
-    def _push(self, level: int, run: DataFrame) -> None:
+    def _push(self, level: int, run: str) -> None:
         if len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
@@ -116,9 +118,8 @@ def dedup_lines(
     """
     spark = docs.sparkSession
     ids = _occurrences(docs, min_chars)
-    bounds = docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile(
-        "x", [i / batches for i in range(1, batches)], 0.01
-    )
+    cuts = [i / batches for i in range(1, batches)]
+    bounds = docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", cuts, 0.01) if cuts else []
     batch = F.lit(0)
     for i, b in enumerate(bounds):
         batch = F.when(F.col("doc_id").cast("double") >= F.lit(b), F.lit(i + 1)).otherwise(batch)
