@@ -29,7 +29,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id."""
     rows = simhash.near_duplicates(docs)
     keep = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("keep_id")), "left_semi")
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,14 +19,13 @@ fewer than k candidates give fewer rows; only vec_id and embedding are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh_path
 
 PIVOTS, NEAREST, SHARE, LEAST, QUERY_GROUP, SEED = 256, 64, 0.15, 200, 8_192, 42
 #: Lengths of vectors that get pivots of their own.
@@ -49,9 +48,12 @@ def choose_pivots(rows: DataFrame, pivots: int = PIVOTS, seed: int = SEED) -> di
         raise ValueError(f"more than {MAX_LENGTHS} lengths of vectors")
     out = {}
     for n in sorted(lengths):
-        same = rows.filter(F.size("v") == n).select("v", F.xxhash64(F.lit(seed), "v").alias("h")).distinct()
-        p = np.array([r["v"] for r in same.orderBy("h", "v").limit(pivots).collect()])
-        out[n] = _unit(p)
+        same = rows.filter(F.size("v") == n).select("v", F.xxhash64(F.lit(seed), "v").alias("h"))
+        first = [tuple(r["v"]) for r in same.orderBy("h", "v").limit(8 * pivots).collect()]
+        chosen = list(dict.fromkeys(first))[:pivots]
+        if len(chosen) < pivots and len(first) == 8 * pivots:  # copies of a few vectors fill the first rows
+            chosen = [r["v"] for r in same.distinct().orderBy("h", "v").limit(pivots).collect()]
+        out[n] = _unit(np.array(chosen))
     return out
 
 
@@ -114,16 +116,18 @@ def search_block(ids, x, query_ids, queries, pivots, k, share=SHARE, least=LEAST
     return tuple(np.concatenate(o) if o else np.zeros(0) for o in (out_q, out_i, out_s))
 
 
-def nearest_found(rows: DataFrame, queries: DataFrame, k: int = 5, pivots: dict[int, np.ndarray] | None = None) -> DataFrame:
+def nearest_found(
+    rows: DataFrame, queries: DataFrame, k: int = 5, pivots: dict[int, np.ndarray] | None = None, group: int = QUERY_GROUP
+) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query (id, v) the k nearest found among rows (id, v), but its own id."""
     spark = rows.sparkSession
     pivots = choose_pivots(rows) if pivots is None else pivots
     shared_pivots = spark.sparkContext.broadcast(pivots)
-    groups = max(1, -(-queries.count() // QUERY_GROUP))
+    groups = max(1, -(-queries.count() // group))
     grouped = cut(queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")), "knn-queries", partition_by="part")
 
-    def search(group: DataFrame) -> DataFrame:
-        got = group.select("id", "v").orderBy("id").toArrow()
+    def search(part: DataFrame):
+        got = part.select("id", "v").orderBy("id").toArrow()
         held: dict[int, tuple[list, list]] = {}
         for i, v in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
             held.setdefault(len(v), ([], []))[0].append(i)
@@ -145,9 +149,17 @@ def nearest_found(rows: DataFrame, queries: DataFrame, k: int = 5, pivots: dict[
                         q, i, s = search_block(ids[mine], x, *shared.value[n], shared_pivots.value[n], k)
                         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
-        return rows.select("id", "v").mapInArrow(run, "query_id long, vec_id long, score double")
-
-    found = reduce(DataFrame.unionByName, [search(grouped.filter(F.col("part") == g)) for g in range(groups)])
+        return rows.select("id", "v").mapInArrow(run, "query_id long, vec_id long, score double"), shared
+
+    if groups == 1:
+        found = search(grouped)[0]
+    else:  # one group's queries are held at a time; what each has found is kept in the shared folder
+        path = fresh_path(spark, "knn-found")
+        for g in range(groups):
+            part, held = search(grouped.filter(F.col("part") == g))
+            part.write.mode("append").parquet(path)
+            held.destroy()
+        found = spark.read.schema("query_id long, vec_id long, score double").parquet(path)
     over = "PARTITION BY query_id ORDER BY score DESC, vec_id"
     found = found.withColumn("rank", F.expr(f"row_number() OVER ({over})").cast("int")).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -27,10 +27,11 @@ def test_edges(spark):
     data += [(950, [1.0, 2.0]), (951, [2.0, 1.0]), (41, v()), (41, v())]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     rows = P.usable(df)
-    got = {}
-    for r in sorted(P.nearest_found(rows, rows.filter("id % 50 = 0")).collect(), key=lambda r: (r["query_id"], r["rank"])):
-        got.setdefault(r["query_id"], []).append((round(-r["score"], 12), r["vec_id"]))
-    assert got == brute(data)
+    for group in (8_192, 2):
+        got = {}
+        for r in sorted(P.nearest_found(rows, rows.filter("id % 50 = 0"), group=group).collect(), key=lambda r: (r["query_id"], r["rank"])):
+            got.setdefault(r["query_id"], []).append((round(-r["score"], 12), r["vec_id"]))
+        assert got == brute(data)
     assert len(got[950]) == 1 and [i for _, i in got[50]] == [100, 150, 1001, 1002, 1003]
 
 
