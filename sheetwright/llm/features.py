@@ -91,7 +91,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int,
     """(doc_id, y, text) of at most ``limit`` labelled documents, those with the least hash of doc_id.
 
     The limit bounds what is broadcast and what one training task reads. Rows with a
-    null id or label are out; a document with several labels takes the least.
+    null id or label are out; a document with several labels takes the least, one with
+    several texts the least too, so that an id gives one row however often it stands.
     """
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isNotNull())
     if keep is not None:
@@ -99,7 +100,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int,
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(target).cast("int").alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(rows), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return found.select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def sample_features(sample: DataFrame, families, bits: int) -> DataFrame:

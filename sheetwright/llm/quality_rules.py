@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .features import char_slots, labelled_sample, mean_score, sample_features, sigmoid, train, word_ids, word_slots
 
@@ -94,10 +95,10 @@ def train_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> byt
 
 
 def judge(docs: DataFrame, model: bytes) -> DataFrame:
-    """All columns of docs, then _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words (long) and _quality (double)."""
+    """All columns of docs as c0, c1, ..., then _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words (long) and _quality (double)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_quality"]
-    where = docs.columns.index("text")
+    plain, where = [f"c{k}" for k in range(len(docs.columns))], docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(shared.value, np.float32)
@@ -114,30 +115,18 @@ def judge(docs: DataFrame, model: bytes) -> DataFrame:
             new = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = [pa.int64()] * 5 + [pa.float64()]
             arrays = [*b.columns, *(pa.array(v, k) for v, k in zip(new, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f"c{k}" for k in range(len(arrays))])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*plain, *names])
 
-    extra = "".join(f", {n} {'double' if n == '_quality' else 'long'}" for n in names)
-    flat = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields) + extra
-    out = flat.mapInArrow(_renamed(run, len(docs.columns), names), schema)
-    return out.toDF(*docs.columns, *names)
-
-
-def _renamed(run, n: int, names: list[str]):
-    def renamed(batches):
-        for b in run(batches):
-            yield pa.RecordBatch.from_arrays(b.columns, names=[*(f"c{k}" for k in range(n)), *names])
-
-    return renamed
+    flat = docs.toDF(*plain)
+    new = T.StructType([T.StructField(n, T.DoubleType() if n == "_quality" else T.LongType()) for n in names])
+    return flat.mapInArrow(run, T.StructType([*flat.schema.fields, *new.fields]))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc (all columns of docs), the five counts, quality, base_failed and kept, a row for each row of docs."""
     rows = judge(docs, train_rules(docs, labels, sample))
     n = len(docs.columns)
-    names = [f"c{k}" for k in range(n)]
-    rows = rows.toDF(*names, *rows.columns[n:])
-    doc = F.struct(*(F.col(c).alias(old) for c, old in zip(names, docs.columns, strict=True)))
+    doc = F.struct(*(F.col(c).alias(old) for c, old in zip(rows.columns[:n], docs.columns, strict=True)))
     failed = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > MAX_REPEAT * F.col("_n_words"))
     kept = ~failed & (F.col("_quality") >= MIN_QUALITY)
     return rows.select(
