@@ -6,6 +6,9 @@ queries on files make files of the given tables and are held against the tables.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +71,6 @@ def spark_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; a local one only where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        import tempfile
-
         path = tempfile.mkdtemp(prefix="sheetwright-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
@@ -184,7 +185,7 @@ def u2_roundtrip_diff(spark, sf_dir):
 def s4_manifest_table(spark, sf_dir):
     from ..sources.tables import read_manifest, write_manifest
 
-    path = f"{spark_dir(spark)}/sheetwright/manifest-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    path = f"{spark_dir(spark)}/sheetwright/manifest-{uuid.uuid4().hex}"
     write_manifest(X.manifest(spark, sf_dir), path)
     return read_manifest(spark, path)
 
