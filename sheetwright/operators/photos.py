@@ -70,6 +70,14 @@ def union_sources(images: DataFrame, pdf_photos: DataFrame) -> DataFrame:
     return images.unionByName(pdf_photos, allowMissingColumns=True)
 
 
+def incoming(scan: DataFrame, album_id: int) -> DataFrame:
+    """Scanned files as a batch for add_photos: album_id, path, norm_path, src_seq.
+
+    One src_seq for all, so the batch is added in order of its normalised paths (our choice).
+    """
+    return scan.select(F.lit(album_id).cast("long").alias("album_id"), "path", "norm_path", F.lit(0).cast("long").alias("src_seq"))
+
+
 def add_photos(manifest: DataFrame, incoming: DataFrame) -> DataFrame:
     """The manifest with a batch appended: listed photos are skipped, the others follow the last pos.
 

@@ -55,7 +55,7 @@ def scan_files(spark: SparkSession, roots: list[str] | str, recursive: bool = Tr
 
 
 def scan_images(spark: SparkSession, roots: list[str] | str, recursive: bool = True, hidden: bool = False, windows: bool = False) -> DataFrame:
-    """Images below the roots with norm_path, ext, name and media; src_seq orders them by norm_path (our choice)."""
+    """Images below the roots with norm_path, ext, name and media; operators.photos.incoming makes a batch of them."""
     return with_paths(keep_supported(scan_files(spark, roots, recursive, hidden)), windows=windows)
 
 

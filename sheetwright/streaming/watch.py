@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.photos import keep_supported, with_paths
+from ..operators.photos import incoming, keep_supported, with_paths
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -20,6 +19,5 @@ def watch_folder(spark: SparkSession, folder: str, checkpoint: str, album_id: in
     """
     files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").load(folder)
     images = with_paths(keep_supported(files.select("path", "modificationTime", "length")), windows=False)
-    rows = images.select(F.lit(album_id).cast("long").alias("album_id"), "path", "norm_path", F.xxhash64("norm_path").alias("src_seq"))
-    writer = rows.writeStream.foreachBatch(lambda batch, _: add(batch)).option("checkpointLocation", checkpoint)
+    writer = incoming(images, album_id).writeStream.foreachBatch(lambda batch, _: add(batch)).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
