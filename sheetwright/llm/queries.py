@@ -145,4 +145,31 @@ SELECT whole.doc_id, whole.digest, known.license_id, coalesce(notices, '') AS no
 LEFT JOIN known ON unit = 'text' AND known.digest = whole.digest LEFT JOIN notes ON notes.doc_id = whole.doc_id
 """
 
-ORACLES = {"op3_mix_sources": _OP3, "op8_license_digest": _OP8, "op9_line_dedup": _OP9}
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _matches(rank: int, pattern: str, group: int = 0) -> str:
+    p = _quoted(pattern)
+    return f"SELECT row, {rank} AS k, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}, 0) AS ms, regexp_extract_all(t, {p}, {group}) AS ps FROM docs"
+
+
+# DuckDB's patterns have no lookaround: candidates are all maximal runs, and the filter asks for the digit and the length.
+_OP5 = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS row FROM documents),
+found AS ({_matches(0, secret_scan.ASSIGN.replace("(?i:", "(?i)", 1)[:-1], 2)} UNION ALL {_matches(1, secret_scan.ACCESS)}
+  UNION ALL {_matches(2, secret_scan.HEX)} UNION ALL {_matches(3, "[A-Za-z0-9+/_=-]+")}),
+each AS (SELECT row, k, unnest(ms) AS m, unnest(ps) AS p, unnest(gaps[1:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM found),
+placed AS (SELECT row, k, m, p, CAST(sum(length(g) + length(m)) OVER (PARTITION BY row, k ORDER BY i) AS BIGINT) AS stop FROM each),
+longer AS (SELECT *, k = 3 AND length(m) >= 20 AND regexp_matches(m, '[0-9]') AND NOT ({" OR ".join(f"regexp_matches(m, {_quoted(p)})" for p in secret_scan.ALLOWED)}) AS candidate FROM placed),
+judged AS (SELECT *, CASE WHEN candidate THEN list_max(list_transform(range(1, length(m) - 18), lambda j: list_aggregate(string_split(substr(m, j, 20), ''), 'entropy'))) END AS e FROM longer),
+spans AS (SELECT row, k, stop - length(m) AS start, stop, (['assign', 'access', 'hex', 'entropy'])[k + 1] || ':' || CAST(stop - length(m) AS VARCHAR) || ':' || CAST(stop AS VARCHAR) AS s FROM judged
+  WHERE CASE k WHEN 0 THEN length(p) >= {secret_scan.ASSIGN_LEAST} WHEN 3 THEN candidate AND e >= CASE {" ".join(f"WHEN regexp_matches(m, {_quoted(p)}) THEN {b}" for p, b in secret_scan.CLASSES[:-1])} ELSE {secret_scan.CLASSES[-1][1]} END ELSE true END)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+  sha256(coalesce(string_agg(s, ',' ORDER BY start, k) FILTER (WHERE k < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY start, k), '') AS spans
+FROM docs LEFT JOIN spans USING (row) GROUP BY row
+"""
+
+ORACLES = {"op5_secret_scan": _OP5, "op3_mix_sources": _OP3, "op8_license_digest": _OP8, "op9_line_dedup": _OP9}

@@ -76,8 +76,10 @@ def test_edges(spark):
 def test_query_digest(spark):
     from conftest import DATA
 
+    from oracle import same
+
     from sheetwright.llm.common import table
-    from sheetwright.llm.queries import op5_secret_scan
+    from sheetwright.llm.queries import ORACLES, op5_secret_scan
 
     texts = {r["doc_id"]: r["text"] for r in table(spark, f"{DATA}/sf0.001", "documents").collect()}
     for r in op5_secret_scan(spark, f"{DATA}/sf0.001").collect():
@@ -85,3 +87,4 @@ def test_query_digest(spark):
         base = ",".join(x for x in want if not x.startswith("entropy"))
         assert r["spans"] == ",".join(want) and r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x.startswith(k + ":") for x in want) for k in KINDS[:3])
+    assert same(op5_secret_scan(spark, f"{DATA}/sf0.001"), ORACLES["op5_secret_scan"], f"{DATA}/sf0.001") == 200
