@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,8 @@ def move_photo(manifest: DataFrame, start: int, to: int) -> DataFrame:
 def apply_moves(manifest: DataFrame, edits: DataFrame) -> DataFrame:
     """The manifest after all drags of each album in order of seq, with ``move_error``.
 
-    Folds the moves over the album's paths. A drag with a position outside the album
+    Folds the moves over the album's paths, for lists of up to some thousand photos;
+    apply_moves_long is for longer ones. A drag with a position outside the album
     changes nothing and is counted in move_error. Parallel over albums only.
     """
     moves = edits.filter("op = 'move'").groupBy("album_id").agg(
@@ -62,3 +65,34 @@ def apply_moves(manifest: DataFrame, edits: DataFrame) -> DataFrame:
         "album_id", cell["norm_path"].alias("norm_path"), cell["path"].alias("path"), "pos",
         cell["rotation"].alias("rotation"), cell["layout"].alias("layout"), "move_error",
     )
+
+
+def apply_moves_long(manifest: DataFrame, edits: DataFrame) -> DataFrame:
+    """apply_moves for albums of any length: a drag shifts a stretch of one array, an album is one group.
+
+    The moves of an album are sequential, so its list must fit in a task's memory.
+    """
+    columns = ["album_id", "norm_path", "path", "pos", "rotation", "layout"]
+
+    def fold(cells: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("pos", ignore_index=True)
+        order, n, errors = np.arange(len(cells)), len(cells), 0
+        for a, b in moves.sort_values("seq")[["from_pos", "to_pos"]].itertuples(index=False):
+            if not (0 <= a < n and 0 <= b < n):
+                errors += 1
+                continue
+            a, b = int(a), int(b)
+            x = order[a]
+            if a < b:
+                order[a:b] = order[a + 1 : b + 1].copy()
+            else:
+                order[b + 1 : a + 1] = order[b:a].copy()
+            order[b] = x
+        out = cells.iloc[order].assign(pos=np.arange(n, dtype=np.int32), move_error=np.int32(errors))
+        return out[[*columns, "move_error"]]
+
+    moves = edits.filter("op = 'move'").select("album_id", "seq", "from_pos", "to_pos")
+    pairs = manifest.select(*columns).groupBy("album_id").cogroup(moves.groupBy("album_id"))
+    return pairs.applyInPandas(
+        fold, "album_id long, norm_path string, path string, pos int, rotation int, layout string, move_error int"
+    )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cell_rect, compose_rotation, exif_upright, fit_rect, rotated_size
-from .layouts import layouts, with_layout
+from .layouts import GRIDS, with_layout
 
 
 def paginate(manifest: DataFrame) -> DataFrame:
@@ -53,10 +53,11 @@ def page_count(manifest: DataFrame) -> DataFrame:
     return rows.select("album_id", "layout", "n_photos", F.ceil(F.col("n_photos") / F.col("capacity")).cast("long").alias("n_pages"))
 
 
-def compare_layouts(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """album_id, layout, n_pages, n_blank for each of the eight grids (broadcast: eight constant rows)."""
+def compare_layouts(manifest: DataFrame) -> DataFrame:
+    """album_id, layout, n_pages, n_blank for each of the eight grids."""
     albums = manifest.groupBy("album_id").agg(F.count("*").alias("n_photos"))
-    rows = albums.crossJoin(F.broadcast(layouts(spark).select(F.col("name").alias("layout"), "capacity")))
+    grids = F.array(*(F.struct(F.lit(f"{r}x{c}").alias("layout"), F.lit(r * c).alias("capacity")) for r, c in GRIDS))
+    rows = albums.select("album_id", "n_photos", F.inline(grids))
     pages = F.ceil(F.col("n_photos") / F.col("capacity")).cast("long")
     return rows.select("album_id", "layout", pages.alias("n_pages"), (pages * F.col("capacity") - F.col("n_photos")).alias("n_blank"))
 

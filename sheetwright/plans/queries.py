@@ -202,7 +202,7 @@ def a2_duplicate_report(spark, sf_dir):
 grids(layout, capacity) AS (VALUES ('1x1', 1), ('2x2', 4), ('2x3', 6), ('3x2', 6), ('3x3', 9), ('3x4', 12), ('4x3', 12), ('4x4', 16))
 SELECT album_id, layout, CAST((n + capacity - 1) // capacity AS BIGINT) AS n_pages, CAST((n + capacity - 1) // capacity * capacity - n AS BIGINT) AS n_blank FROM albums CROSS JOIN grids""")
 def a3_compare_layouts(spark, sf_dir):
-    return pages.compare_layouts(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("album_id")))
+    return pages.compare_layouts(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("album_id")))
 
 
 @query(f"""WITH {X.EDITS_SQL} SELECT album_id, norm_path, CAST(((sum(CASE op WHEN 'rotate_cw' THEN 90 ELSE -90 END) % 360) + 360) % 360 AS INTEGER) AS rotation
@@ -266,6 +266,11 @@ def o4_apply_moves(spark, sf_dir):
     return edits.apply_moves(X.nine(spark, sf_dir), X.edits(spark, sf_dir)).select("album_id", "norm_path", "pos")
 
 
+@query(ORACLES["o4_apply_moves"])
+def o4_apply_moves_long(spark, sf_dir):
+    return edits.apply_moves_long(X.nine(spark, sf_dir), X.edits(spark, sf_dir)).select("album_id", "norm_path", "pos")
+
+
 # Geometry
 
 _A4 = "72.0::DOUBLE / 25.4::DOUBLE"

@@ -50,6 +50,7 @@ def test_moves_fold_in_order(spark, n, moves):
     log = spark.createDataFrame([(1, k, "move", None, a, b) for k, (a, b) in enumerate(moves)], EDITS)
     got = edits.apply_moves(manifest(spark, n), log).orderBy("pos").collect()
     assert [r["norm_path"] for r in got] == want and {r["move_error"] for r in got} == {errors}
+    assert edits.apply_moves_long(manifest(spark, n), log).orderBy("pos").collect() == got
 
 
 def test_one_move_and_back(spark):
