@@ -4,8 +4,9 @@ A vector is represented by its NEAREST nearest pivots in order. Vectors are deal
 bounded blocks (Arrow batches); each block has an inverted file for each pivot, with
 the vectors that list the pivot and its place in their lists. A query reads the files
 of its own pivots and ranks a block's vectors by the footrule distance between the
-lists (a pivot that a list lacks counts as one past its end). The best SHARE of a block is
-reranked by exact cosine in double precision; the best of all blocks are merged.
+lists (a pivot that a list lacks counts as one past its end). The best SHARE of a block's
+distinct vectors is reranked by exact cosine in double precision, so copies of one vector
+fill no places; the best of all blocks are merged.
 
 Every vector is indexed; pivots come from a bounded sample of distinct vectors. Queries
 meet all blocks in groups of QUERY_GROUP, which bounds what is broadcast.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh_path
 
-PIVOTS, NEAREST, SHARE, LEAST, QUERY_GROUP, SEED = 256, 64, 0.15, 200, 8_192, 42
+PIVOTS, NEAREST, SHARE, LEAST, QUERY_GROUP, SEED = 256, 128, 0.3, 200, 8_192, 42
 #: Lengths of vectors that get pivots of their own.
 MAX_LENGTHS = 16
 BLOCK = 8_192
@@ -95,23 +96,48 @@ def _cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return top / (np.sqrt((x * x).sum(1)) * nq)
 
 
+def _copies(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, kept, start): a row of each distinct vector, and its rows kept[start[d] : start[d + 1]].
+
+    Of a vector's rows those stay that can be among the k nearest of some query, where
+    smaller ids go first: the k + 1 least ids (one may be the query's own), k rows of each.
+    """
+    void = np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel()
+    _, first, of = np.unique(void, return_index=True, return_inverse=True)
+    order = np.lexsort((ids, of))
+    new_vector = np.r_[True, of[order][1:] != of[order][:-1]]
+    new_id = new_vector | np.r_[True, ids[order][1:] != ids[order][:-1]]
+    at = np.arange(len(order))
+    row_of_id = at - np.maximum.accumulate(np.where(new_id, at, 0))
+    nth_id = np.cumsum(new_id)
+    nth_id = nth_id - np.maximum.accumulate(np.where(new_vector, nth_id, 0))
+    kept = order[(row_of_id < k) & (nth_id <= k)]
+    return first, kept, np.searchsorted(of[kept], np.arange(len(first) + 1))
+
+
 def search_block(ids, x, query_ids, queries, pivots, k, share=SHARE, least=LEAST):
-    """The k best found in one block for each query: (query, rank key arrays)."""
-    files = InvertedFiles(orders(x, pivots), len(pivots))
+    """(query_id, vec_id, score) of the k best found in one block for each query; ranks distinct vectors."""
+    first, kept, start = _copies(ids, x, k)
+    files = InvertedFiles(orders(x[first], pivots), len(pivots))
     lists = orders(queries, pivots)
-    keep = min(len(ids), max(least, int(np.ceil(share * len(ids)))) + 1)
-    by_id = np.argsort(ids, kind="stable")  # so that of equal distances the smaller ids stay
-    rank = np.empty(len(ids), np.int64)
-    rank[by_id] = np.arange(len(ids))
+    n = len(first)
+    keep = min(n, max(least, int(np.ceil(share * n))) + 1)
+    by_id = np.argsort(ids[kept[start[:-1]]], kind="stable")  # so that of equal distances the smaller ids stay
+    rank = np.empty(n, np.int64)
+    rank[by_id] = np.arange(n)
     out_q, out_i, out_s = [], [], []
-    for n, q in enumerate(queries):
-        key = files.footrule(lists[n]).astype(np.int64) * len(ids) + rank
-        near = np.argpartition(key, keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
-        near = near[ids[near] != query_ids[n]]
-        score = _cosines(x[near], q)
-        best = np.lexsort((ids[near], -score))[:k]
-        out_q.append(np.full(len(best), query_ids[n]))
-        out_i.append(ids[near][best])
+    for at, q in enumerate(queries):
+        key = files.footrule(lists[at]).astype(np.int64) * n + rank
+        near = np.argpartition(key, keep - 1)[:keep] if keep < n else np.arange(n)
+        score = _cosines(x[first[near]], q)
+        size = (start[1:] - start[:-1])[near]
+        rows = kept[np.repeat(start[near] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        score, found = np.repeat(score, size), ids[rows]
+        other = found != query_ids[at]
+        score, found = score[other], found[other]
+        best = np.lexsort((found, -score))[:k]
+        out_q.append(np.full(len(best), query_ids[at]))
+        out_i.append(found[best])
         out_s.append(score[best])
     return tuple(np.concatenate(o) if o else np.zeros(0) for o in (out_q, out_i, out_s))
 

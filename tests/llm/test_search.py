@@ -58,3 +58,25 @@ def test_recall(spark, sf):
         got.setdefault(r["query_id"], []).append(round(-r["score"], 12))
     hits = sum(sum(s <= w[-1][0] + 1e-9 for s in got[q]) for q, w in want.items())
     assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_recall_beside_many_copies_of_one_vector():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 64))
+    x[rng.choice(3000, 1000, replace=False)] = rng.normal(size=64)
+    ids, queries = np.arange(3000), np.arange(0, 3000, 50)
+    pivots = P._unit(np.unique(x, axis=0)[rng.choice(2000, 256, replace=False)])
+    q, i, s = P.search_block(ids, x, queries, x[queries], pivots, 5)
+    want = brute([(int(k), v.tolist()) for k, v in enumerate(x)])
+    hits = sum(int((np.round(-s[q == k], 12) <= w[-1][0] + 1e-9).sum()) for k, w in want.items())
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_repeated_ids_and_copies_keep_what_can_win():
+    ids = np.array([7, 7, 7, 7, 7, 7, 1, 2, 3, 9, 9])
+    x = np.array([[1.0, 2.0]] * 9 + [[2.0, 1.0]] * 2)
+    pivots = P._unit(np.array([[1.0, 2.0], [2.0, 1.0]]))
+    q, i, _ = P.search_block(ids, x, np.array([7, 1, 50]), np.array([[1.0, 2.0]] * 3), pivots, 3)
+    assert i[q == 7].tolist() == [1, 2, 3] and i[q == 1].tolist() == [2, 3, 7] and i[q == 50].tolist() == [1, 2, 3]
+    q, i, _ = P.search_block(ids, x, np.array([1]), np.array([[1.0, 2.0]]), pivots, 7)
+    assert i.tolist() == [2, 3, 7, 7, 7, 7, 7]
