@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwright.llm import line_dedup, mixing, piece_transducer, quality_rules, simhash
+from sheetwright.llm import line_dedup, mixing, piece_transducer, quality_rules
+from sheetwright.llm import near_copies as near
 from sheetwright.llm.common import cut, table
 from sheetwright.llm.queries import PIECE_MODEL
 
@@ -26,10 +27,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least doc_id."""
-    rows = simhash.near_duplicates(docs)
-    keep = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi")
+    """One document of each group of near copies (Jaccard 0.8 or more of five-word shingles): the one with the least doc_id."""
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "rows")
+    groups = near.near_copies(rows.select("row", "doc.doc_id", "doc.text"))
+    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
+    return rows.join(keep, F.col("doc.doc_id").eqNullSafe(keep["keep_id"]), "left_semi").select("doc.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("pieces", pieces)]
 
-#: The quality model and SimHash's XXH64 can't be put in SQL; tests hold each stage against brute force.
+#: The quality model and XXH64 can't be put in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
