@@ -27,11 +27,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard 0.8 or more of five-word shingles): the one with the least doc_id."""
+    """One document of each group of near copies (Jaccard 0.8 or more of five-word shingles): one row, of the least doc_id, null last."""
     rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "rows")
     groups = near.near_copies(rows.select("row", "doc.doc_id", "doc.text"))
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
-    return rows.join(keep, F.col("doc.doc_id").eqNullSafe(keep["keep_id"]), "left_semi").select("doc.*")
+    return rows.join(groups.filter("row = first").select("row"), "row", "left_semi").select("doc.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ pairs; a pair is compared in the first of its common buckets only. Pairs whose s
 similarity are skipped. Each other pair is checked on whole sets.
 
 Edge cases: texts without words are one group; a null doc_id counts as larger than any id, and
-a component of null ids alone has a null component_id; only doc_id and text are read.
+a component of null ids alone has a null component_id; rows that repeat a doc_id stay rows of
+their own, each in the component of its text; only row, doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .simhash import NO_ID, components
+from .simhash import components
 
 SEED, SHINGLE, SIMILARITY, BANDS, WIDTH, STARS = 42, 5, 0.8, 24, 4, 2
 #: Rows and hashes of a chunk, about.
@@ -233,18 +234,19 @@ def _links(buckets: DataFrame, docs: DataFrame, similarity: float, shingle: int,
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
-    """(row, doc_id, component_id) for each row of docs; docs has a column ``row`` that names its rows.
+    """(row, doc_id, component_id, first) for each row of docs; docs has a column ``row`` that names its rows.
 
+    component_id, first: the doc_id and the row of the component's row with the least (doc_id, row).
     docs is read more than once and must give the same rows each time, so it has to be written.
     """
     prints = cut(_prints(docs, shingle), "prints")
-    names = prints.groupBy("h1", "h2").agg(F.min("row").alias("set"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"))
-    named = cut(prints.join(names, ["h1", "h2"]).select("row", "doc_id", "set", "least", "n", "bands"), "sets")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    names = prints.groupBy("h1", "h2").agg(F.min("row").alias("set"), head.alias("head"))
+    named = cut(prints.join(names, ["h1", "h2"]).select("row", "doc_id", "set", "head", "n", "bands"), "sets")
     buckets = named.filter("row = set").select("row", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1")
     buckets = cut(buckets.join(shared, "bucket").select("bucket", "band", "row", "n"), "buckets")
     roots = _links(buckets, docs, similarity, shingle, chunk).withColumnRenamed("v", "set")
-    first = named.filter("row = set").join(roots, "set").groupBy("root").agg(F.min("least").alias("component_id"))
-    label = roots.join(first, "root").select("set", "component_id")
-    out = named.join(label, "set", "left")
-    return out.select("row", "doc_id", F.nullif(F.coalesce("component_id", "least"), F.lit(NO_ID)).alias("component_id"))
+    least = named.filter("row = set").join(roots, "set").groupBy("root").agg(F.min("head").alias("least"))
+    out = named.join(roots.join(least, "root").select("set", "least"), "set", "left").withColumn("head", F.coalesce("least", "head"))
+    return out.select("row", "doc_id", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("first"))

@@ -82,3 +82,12 @@ def test_one_large_bucket(spark):
     docs = cut(spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string"), "rows")
     for chunk in (40, 1024):
         assert {r["row"]: r["component_id"] for r in N.near_copies(docs, chunk=chunk).collect()} == of
+
+
+def test_one_row_of_each_group(spark):
+    """Repeated ids and rows, a repeated id with another text, and null ids: the stage decides by row."""
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "a text that only rows without ids have")
+    data = [(1, a), (1, a), (2, a), (None, a), (1, b), (0, b), (None, b), (None, c), (None, c)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((tuple(r) for r in C.near_copies(spark, docs, "").collect()), key=repr)
+    assert got == [(0, b), (1, a), (None, c)]
