@@ -5,6 +5,10 @@ made one, everything but letters and digits one blank) and hashed with SHA-256;
 digests are hash-joined with those of the known texts. The known texts go through
 the same functions. DataFrame functions only.
 
+``digest`` is that of ``canonical``. A whole text that it doesn't match is looked up once more
+by ``bare``, which doesn't depend on where lines break: only real copyright statements and
+known title lines go, and punctuation of any script is a blank.
+
 Edge cases: null and empty texts match nothing; of known texts with one digest the
 least id is given; each input row gives one row; only doc_id and text are read.
 """
@@ -28,6 +32,15 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAME = "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_TAIL = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD = (("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL), ("BSD-3-Clause", _BSD_HEAD + _BSD_NAME + _BSD_TAIL))
+#: Known to ``bare`` alone; clauses with numbers and with other bullets.
+MORE_LICENSES = (*_BSD, *((i, t.replace("\n1.", "\n*").replace("\n2.", "\n*").replace("\n3.", "\n*")) for i, t in _BSD))
 LICENSES = (("0BSD", _0BSD), ("ISC", _ISC), ("MIT", _MIT), ("Zlib", _ZLIB))
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -41,6 +54,9 @@ NOTICES = (
 )
 #: Copyright lines; they name no license and differ from copy to copy.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: For ``bare``, after lower-casing: statements with a sign, a year or a colon, and lines that only name a license.
+STATEMENT = r"(?m)^[ \t]*(?:(?:portions[ \t]+)?copyright[ \t]*(?:\(c\)|©|:|[\[<{(]?(?:[0-9]{4}|y{4}|year))|\(c\)[ \t]|©)[^\n]*$|^[ \t]*all rights reserved[. \t\r]*$"
+TITLE = r"(?m)^[ \t#]*(?:the[ \t]+)?(?:mit|expat|isc|zlib|0bsd|(?:bsd[ \t]+)?zero[- ]clause(?:[ \t]+bsd)?|(?:new |simplified )?bsd(?:[ -][23][- ]clause)?|[23][- ]clause bsd)[ \t]+licen[cs]e(?:[ \t]+\([^)\n]*\))?[:. \t\r]*$"
 #: Equivalent spellings, after lower-casing.
 SPELLINGS = (("licence", "license"), ("acknowledgement", "acknowledgment"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("https://", "http://"), ("&", " and "))
 NO_WORD = r"[^a-z0-9\u0080-￿]+"
@@ -53,9 +69,18 @@ def canonical(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, NO_WORD, " "))
 
 
+def bare(text: Column) -> Column:
+    """The words of a text without copyright statements and titles; for the match of whole texts."""
+    text = F.regexp_replace(F.regexp_replace(ascii_lower(text), STATEMENT, ""), TITLE, "")
+    text = F.regexp_replace(text, "[\u2010\u2011]", "-")
+    for other, usual in SPELLINGS:
+        text = F.replace(text, F.lit(other), F.lit(usual))
+    return F.btrim(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}]+", " "))
+
+
 def known_digests(texts: DataFrame, unit: str) -> DataFrame:
     """(unit, digest, license_id) of known (license_id, text), each digest once."""
-    rows = texts.select(F.lit(unit).alias("unit"), F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id")
+    rows = texts.select(F.lit(unit).alias("unit"), F.sha2((bare if unit == "bare" else canonical)(F.col("text")), 256).alias("digest"), "license_id")
     return rows.groupBy("unit", "digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -69,13 +94,14 @@ def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None, notices: D
     spark = docs.sparkSession
     make = lambda rows: spark.createDataFrame(list(rows), "license_id string, text string")
     known = known_digests(make(LICENSES) if licenses is None else licenses, "text")
+    known = known.unionByName(known_digests(make(LICENSES + MORE_LICENSES) if licenses is None else licenses, "bare"))
     known = cut(known.unionByName(known_digests(make(NOTICES) if notices is None else notices, "line")), "license-digests")
     body = F.col("body")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("(?i)licen[cs]e"))
     lines = F.when(body.rlike("(?i)licen[cs]e"), F.transform(lines, lambda x: F.sha2(canonical(x), 256)))
     part = lambda unit, digest, at: F.struct(F.lit(unit).alias("unit"), digest.alias("digest"), at.alias("at"))
     units = F.concat(
-        F.array(part("text", F.sha2(canonical(body), 256), F.lit(-1))),
+        F.array(part("text", F.sha2(canonical(body), 256), F.lit(-1)), part("bare", F.sha2(bare(body), 256), F.lit(-1))),
         F.coalesce(
             F.transform(lines, lambda d, i: part("line", d, i)),
             F.expr("cast(array() as array<struct<unit:string,digest:string,at:int>>)"),
@@ -90,6 +116,6 @@ def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None, notices: D
     return rows.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.max(F.when(whole, F.col("digest"))).alias("digest"),
-        F.max(F.when(whole, F.col("license_id"))).alias("license_id"),
+        F.coalesce(F.max(F.when(whole, F.col("license_id"))), F.max(F.when(F.col("unit") == "bare", F.col("license_id")))).alias("license_id"),
         F.transform(F.sort_array(F.collect_list(notice)), lambda x: x["license_id"]).alias("notices"),
     )

@@ -98,3 +98,18 @@ def test_license_edges(spark):
     same_text = spark.createDataFrame([("b", "X y"), ("a", "x Y!")], "license_id string, text string")
     assert L.scan_licenses(spark.createDataFrame([(1, "x, y")], "doc_id long, text string"), licenses=same_text).first()["license_id"] == "a"
     assert spark.range(1).select(L.canonical(F.lit("  A—b\tC_d é ")).alias("x")).first()["x"] == "a—b c d é"
+
+
+def test_license_files_as_they_are_shipped(spark):
+    """Titles, copyright statements, any wrapping and typographic quotes leave the license known."""
+    import textwrap
+
+    known = dict(L.LICENSES) | dict(L.MORE_LICENSES[:2])
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(x, n) for x in t.split("\n"))
+    texts = [(i, wrap(t, n)) for i, t in known.items() for n in (40, 72, 76, 80)]
+    texts += [(i, f"{title}\n\nCopyright (c) 2020 A\n\n{wrap(known[i], 78)}\n") for i, title in (("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"), ("ISC", "ISC License"), ("BSD-3-Clause", "BSD 3-Clause License"))]
+    texts += [("MIT", known["MIT"].replace('"Software"', "“Software”").replace('"AS IS"', "“AS IS”")), ("Zlib", known["Zlib"].replace("'as-is'", "‘as‑is’"))]
+    texts += [(None, "MIT License\n\nCopyright (c) 2020 A"), (None, "")]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in L.scan_licenses(docs).collect()}
+    assert got == {k: i for k, (i, _) in enumerate(texts)}
