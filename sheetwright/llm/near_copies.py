@@ -1,19 +1,26 @@
-"""Near copies at a stated Jaccard similarity of word shingles: MinHash candidates, each checked exactly.
-
-A text's set holds the XXH64 hashes of its shingles of SHINGLE words (lower-cased A-Z, ASCII
-white space; a shorter text is one shingle). Two texts link if the Jaccard similarity of their
-sets is SIMILARITY or more. The work is on distinct sets, so exact copies never meet each other.
-
-Candidates: BANDS keys of WIDTH MinHash values each; sets that share a key are in one bucket. A
-pair at similarity s shares a bucket with probability 1 - (1 - s**4)**24, 0.999997 at 0.8.
-
-Check: a large bucket isn't compared pair by pair at first. In each of STARS rounds all its sets
-are compared with one of them, and components of the links so far are made; a pair in one
-component needs no check of its own. The last round takes every pair of a bucket that is still
-in two components, so no link between two components is left out: a bucket is dealt into chunks,
-and each pair of chunks is a unit of work that gives a spanning forest of its links, never all
-pairs; a pair is compared in the first of its common buckets only. Pairs whose sizes exclude the
-similarity are skipped. Each other pair is checked on whole sets.
+"""SimHash near-dedup at a stated Jaccard similarity of word shingles.
+
+A text's set holds the XXH64 hashes of its distinct shingles of SHINGLE words (lower-cased
+A-Z, ASCII white space; a shorter text is one shingle). Two texts link if the Jaccard
+similarity of their sets is ``similarity`` or more. The work is on distinct sets, so exact
+copies never meet each other.
+
+Fingerprint: each bit of a hash and of a mixed form of it is a vote of its shingle; the signs
+of the BITS sums of votes are the SimHash fingerprint. Sets of similarity s agree in the sign of
+a sum with probability 1 - acos(2s / (1 + s)) / pi, so the radius is the expected distance
+and SIGMAS standard deviations (32 of 128 bits at 0.8, where unlike texts differ in 64).
+
+Candidates: a key by equal bits would lose most pairs so far apart. Instead each table turns
+the vector of sums by fixed rotations and keeps the axis on which it is longest, with its
+sign: near vectors share these far more often than bits of the same entropy. There are as many
+rotations a table as hold random buckets to about BUCKET rows, and as many tables as find a
+pair at the least similarity with probability RECALL; both follow from the number of rows.
+
+Comparison: as in ``simhash``, bit-sliced within the buckets, in units of two chunks. Its
+forests make classes of candidates. In each class every pair is then checked exactly: chunks
+of whole sets meet in units, whose common shingles are counted by a product of their
+incidence matrices; a unit gives a spanning forest of its links. Work in a class of m distinct
+sets is m * m / 2 such counts, spread over units, each of CHUNK rows a side.
 
 Edge cases: texts without words are one group; a null doc_id counts as larger than any id, and
 a component of null ids alone has a null component_id; rows that repeat a doc_id stay rows of
@@ -22,6 +29,8 @@ their own, each in the component of its text; only row, doc_id and text are read
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .simhash import components
+from .simhash import bucket_links, components
 
-SEED, SHINGLE, SIMILARITY, BANDS, WIDTH, STARS = 42, 5, 0.8, 24, 4, 2
-#: Rows and hashes of a chunk, about.
-CHUNK, WEIGHT = 1024, 1 << 20
-#: Shingles that are hashed at once.
-STEP = 1 << 14
+SEED, SHINGLE, SIMILARITY = 42, 5, 0.8
+BITS, SIGMAS, RECALL, BUCKET = 128, 3.1, 0.995, 256
+#: Rows and hashes of a chunk, about; columns of a product; texts that are turned at once.
+CHUNK, WEIGHT, SLAB, TEXTS = 1024, 1 << 20, 4096, 128
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -54,25 +63,51 @@ def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array(hashes, np.uint64))
 
 
-def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Masks and odd factors of the MinHash functions, factors of the bands."""
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """The BITS sums of votes (+1 or -1 a shingle) of a set."""
+    total = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        h = hashes[at : at + (1 << 16)]
+        m = (h ^ (h >> np.uint64(32))) * _MIX
+        m = (m ^ (m >> np.uint64(32))) * _MIX
+        both = np.stack((h, m ^ (m >> np.uint64(32))), axis=1)
+        total += np.unpackbits(both.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return 2 * total - len(hashes)
+
+
+def radius_of(similarity: float) -> int:
+    """Distance that pairs at a similarity keep, but for one in a thousand."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(BITS * p + SIGMAS * math.sqrt(BITS * p * (1 - p)))
+
+
+@functools.lru_cache(2)
+def rotations(n: int) -> np.ndarray:
+    """n random rotations side by side."""
     rng = np.random.default_rng(SEED)
-    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
-    one = np.uint64(1)
-    return draw(BANDS * WIDTH)[:, None], draw(BANDS * WIDTH)[:, None] | one, draw(BANDS * WIDTH) | one
+    return np.concatenate([np.linalg.qr(rng.standard_normal((BITS, BITS)))[0] for _ in range(n)], axis=1).astype(np.float32)
+
 
+def longest_axes(sums: np.ndarray, n: int) -> np.ndarray:
+    """(rows, n): the axis of each rotation on which a vector is longest, doubled, plus 1 where it points up."""
+    turned = (sums.astype(np.float32) @ rotations(n)).reshape(len(sums), n, BITS)
+    axis = np.abs(turned).argmax(axis=2)
+    return 2 * axis + (np.take_along_axis(turned, axis[:, :, None], 2)[:, :, 0] > 0)
 
-MASKS, FACTORS, MIX = _constants()
 
+@functools.lru_cache(8)
+def agreement(similarity: float) -> float:
+    """How often vectors of sums at a similarity have one longest axis, by simulation."""
+    cos, rng = 2 * similarity / (1 + similarity), np.random.default_rng(SEED)
+    x, y = rng.standard_normal((2, 20_000, BITS))
+    y = cos * x + math.sqrt(1 - cos * cos) * y
+    return float((longest_axes(x, 1) == longest_axes(y, 1)).mean())
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The BANDS bucket keys of a set; none for an empty one."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * WIDTH, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), STEP):
-        least = np.minimum(least, ((hashes[None, at : at + STEP] ^ MASKS) * FACTORS).min(axis=1))
-    return (least * MIX).reshape(BANDS, WIDTH).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+def tables_of(rows: int, similarity: float) -> tuple[int, int]:
+    """(tables, rotations of a table) for a number of rows."""
+    parts = max(2, math.ceil(math.log(max(rows, 1) / BUCKET, 2 * BITS)))
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - agreement(similarity) ** parts)), parts
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -80,35 +115,41 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
-def _prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(row, doc_id, h1, h2, n, bands): 128 bits that name the set, its size and its bucket keys."""
+def _prints(docs: DataFrame, shingle: int, tables: int, parts: int) -> DataFrame:
+    """(row, doc_id, h1, h2, n, f0, f1, keys): 128 bits that name the set, its size, its fingerprint and its key in each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, sizes, keys = [], [], []
-            for t in b.column(2).cast(pa.binary()):
-                hashes = shingle_set(t.as_py(), shingle)
-                names.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                sizes.append(len(hashes))
-                keys.append(band_keys(hashes))
-            name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-            columns = [b.column(0), b.column(1), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy()), pa.array(sizes, pa.int64()), _lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "h1", "h2", "n", "bands"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(at, TEXTS)
+                names, sizes, sums = [], [], np.zeros((b.num_rows, BITS), np.int64)
+                for k, t in enumerate(b.column(2).cast(pa.binary())):
+                    hashes = shingle_set(t.as_py(), shingle)
+                    names.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    sizes.append(len(hashes))
+                    sums[k] = votes(hashes)
+                name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+                fp = np.packbits(sums > 0, axis=1, bitorder="little").view(np.int64)
+                axes = longest_axes(sums, tables * parts).reshape(b.num_rows, tables, parts)
+                keys = np.zeros((b.num_rows, tables), np.int64)
+                for p in range(parts):
+                    keys = keys * (2 * BITS) + axes[:, :, p]
+                columns = [pa.array(np.ascontiguousarray(c)) for c in (name[:, 0], name[:, 1], np.array(sizes, np.int64), fp[:, 0], fp[:, 1])]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns, _lists(list(keys))], ["row", "doc_id", "h1", "h2", "n", "f0", "f1", "keys"])
 
     rows = docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "row long, doc_id long, h1 long, h2 long, n long, bands array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, h1 long, h2 long, n long, f0 long, f1 long, keys array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(row, hashes, bands) of each row of docs."""
+    """(row, hashes) of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1).cast(pa.binary())]
-            columns = [b.column(0), _lists([x.view(np.int64) for x in sets]), _lists([band_keys(x) for x in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "hashes", "bands"])
+            sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets)], ["row", "hashes"])
 
-    return docs.select("row", F.col("text").cast("string")).mapInArrow(run, "row long, hashes array<long>, bands array<long>")
+    return docs.select("row", F.col("text").cast("string")).mapInArrow(run, "row long, hashes array<long>")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -117,136 +158,94 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _sets_of(rows: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    return cut(_sets(docs.join(rows.select("row").distinct(), "row", "left_semi"), shingle), "shingle-sets")
-
-
-def _checked(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) of rows whose sets are as similar as asked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (p, x), (q, y) = ((batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy()) for k in (2, 3))
-            near = [jaccard(x[p[i] : p[i + 1]], y[q[i] : q[i + 1]]) >= similarity for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    rows = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row")))
-    sets = _sets_of(rows, docs, shingle)
-    side = lambda name: sets.select(F.col("row").alias(name), F.col("hashes").alias(f"set_{name}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
-
-
-def unit_links(band: int, side: np.ndarray, root: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links (i, j) that join the roots of a unit as all its links do. Rows are sorted by side.
+def unit_links(side: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest (i, j) of the links of a unit. Rows are sorted by side.
 
     A unit with one side compares all its rows; with two, those of side 0 with those of side 1.
     """
-    m, root, found = len(sets), root.copy(), []
-    left = int((side == 0).sum())
+    m, left = len(sets), int((side == 0).sum())
+    one = left in (0, m)
     size = np.array([len(x) for x in sets])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int64)
-    ends = np.cumsum(size)
-    mark = np.zeros(int(ids.max()) + 1, bool)
-    for i in range(left if left < m else m - 1):
-        j = np.arange(left if left < m else i + 1, m)
-        j = j[root[j] != root[i]]
-        j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i])]
-        j = j[(bands[j] == bands[i]).argmax(axis=1) == band]
-        if not len(j):
-            continue
-        mark[ids[ends[i] - size[i] : ends[i]]] = True
-        if 4 * len(j) > m:
-            both = np.add.reduceat(mark[ids], ends - size, dtype=np.int64)[j]
-        else:
-            both = np.array([np.count_nonzero(mark[ids[ends[k] - size[k] : ends[k]]]) for k in j])
-        mark[ids[ends[i] - size[i] : ends[i]]] = False
-        for k in j[both / (size[j] + size[i] - both) >= similarity].tolist():
-            if root[k] != root[i]:
-                root[root == root[k]] = root[i]
-                found.append((i, k))
+    _, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    of, shared = np.repeat(np.arange(m), size), times[ids] > 1
+    of, ids = of[shared], (np.cumsum(times > 1) - 1)[ids[shared]]
+    order = np.argsort(ids, kind="stable")
+    of, ids = of[order], ids[order]
+    top = m if one else left
+    both = np.zeros((top, m - (0 if one else left)), np.float32)
+    for at in range(0, int(ids[-1]) + 1 if len(ids) else 0, SLAB):
+        a, b = np.searchsorted(ids, (at, at + SLAB))
+        x = np.zeros((m, min(SLAB, int(ids[-1]) + 1 - at)), np.float32)
+        x[of[a:b], ids[a:b] - at] = 1.0
+        both += x[:top] @ (x if one else x[left:]).T
+    other = size if one else size[left:]
+    near = both >= similarity * (size[:top, None] + other[None, :] - both)
+    root, found = np.arange(m), []
+    for i, j in zip(*np.nonzero(near), strict=True):
+        j += 0 if one else left
+        if root[i] != root[j]:
+            root[root == root[j]] = root[i]
+            found.append((int(i), int(j)))
     return found
 
 
 def _forests(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of rows (unit, side, band, row, root, hashes, bands), sorted by unit and side; a unit may go over batches."""
+    """Links (a, b) of rows (root, low, high, side, row, hashes), sorted by unit and side; a unit may go over batches."""
     held: list[tuple] = []
 
     def edges() -> pa.RecordBatch:
-        side, row, root = (np.array([x[k] for x in held], np.int64) for k in (1, 3, 4))
-        found = unit_links(held[0][2], side, root, [x[5] for x in held], np.stack([x[6] for x in held]), similarity)
+        row = np.array([x[2] for x in held], np.int64)
+        found = unit_links(np.array([x[1] for x in held]), [x[3] for x in held], similarity)
         a, b = (pa.array(row[[x[k] for x in found]]) for k in (0, 1))
         return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
     for batch in batches:
-        plain = [batch.column(k).to_pylist() for k in range(5)]
-        (p, x), (q, y) = ((batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy()) for k in (5, 6))
-        for i, (unit, *rest) in enumerate(zip(*plain, strict=True)):
+        ends, flat = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
+        for i, (*unit, side, row) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)):
             if held and held[0][0] != unit:
                 if len(held) > 1:
                     yield edges()
                 held = []
-            held.append((unit, *rest, x[p[i] : p[i + 1]].copy(), y[q[i] : q[i + 1]].copy()))
+            held.append((unit, side, row, flat[ends[i] : ends[i + 1]].copy()))
     if len(held) > 1:
         yield edges()
 
 
-def _rest(rows: DataFrame, docs: DataFrame, similarity: float, shingle: int, chunk: int) -> DataFrame:
-    """Links (a, b) between the components that open buckets, rows (bucket, band, row, n, root, many, weight), still hold."""
-    chunks = F.ceil(F.greatest(F.col("many") / chunk, F.col("weight") / WEIGHT)).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
+def _checked(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int, chunk: int) -> DataFrame:
+    """Forests (a, b) of the exact links inside the classes (row, root, n)."""
+    sums = classes.groupBy("root").agg(F.count("*").alias("many"), F.sum("n").alias("weight"))
+    rows = classes.join(cut(sums, "candidate-classes"), "root")
+    rows = rows.withColumn("chunks", F.ceil(F.greatest(F.col("many") / chunk, F.col("weight") / WEIGHT)).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select(
-        F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
-        (F.col("own") > F.col("other")).cast("long").alias("side"),
-        "band",
-        "row",
-        "root",
-    )
-    rows = rows.join(_sets_of(rows, docs, shingle), "row").select("unit", "side", "band", "row", "root", "hashes", "bands")
-    rows = rows.repartition("unit").sortWithinPartitions("unit", "side")
+    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    rows = rows.select("root", low, high, (F.col("own") > F.col("other")).cast("int").alias("side"), "row")
+    sets = cut(_sets(docs.join(classes.select("row"), "row", "left_semi"), shingle), "shingle-sets")
+    unit = ["root", "low", "high"]
+    rows = rows.join(sets, "row").select(*unit, "side", "row", "hashes").repartition(*unit).sortWithinPartitions(*unit, "side")
     return rows.mapInArrow(lambda it: _forests(it, similarity), "a long, b long")
 
 
-def _links(buckets: DataFrame, docs: DataFrame, similarity: float, shingle: int, chunk: int) -> DataFrame:
-    """(v, root) of the components of buckets (bucket, band, row, n), for each row that has a link."""
-    spark = buckets.sparkSession
-    tried = links = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "v long, root long")
-    for star in range(STARS + 1):
-        rows = buckets.join(roots.withColumnRenamed("v", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-        rows = cut(rows, "rooted")
-        pick = F.struct(F.xxhash64("row", F.lit(star)).alias("at"), F.col("row").alias("to"), F.col("root").alias("to_root"), F.col("n").alias("to_n"))
-        sums = [F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many"), F.sum("n").alias("weight")]
-        heads = rows.groupBy("bucket").agg(F.min(pick).alias("head"), *sums).filter("low < high")
-        if star == STARS:  # the only pair of a bucket of two was compared in the first round
-            rows = rows.join(heads.filter("many > 2").select("bucket", "many", "weight"), "bucket")
-            found = _rest(rows, docs, similarity, shingle, chunk)
-        else:
-            rows = rows.join(heads.select("bucket", "head.*"), "bucket").filter("root <> to_root")
-            rows = rows.filter(F.least("n", "to_n") >= similarity * F.greatest("n", "to_n"))
-            pairs = rows.select(F.least("row", "to").alias("a"), F.greatest("row", "to").alias("b")).distinct()
-            pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            tried = tried.unionByName(pairs)
-            found = _checked(pairs, docs, similarity, shingle)
-        links = links.unionByName(cut(found, "links"))
-        roots = cut(components(links), "components")
-    return roots
-
-
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
     """(row, doc_id, component_id, first) for each row of docs; docs has a column ``row`` that names its rows.
 
     component_id, first: the doc_id and the row of the component's row with the least (doc_id, row).
     docs is read more than once and must give the same rows each time, so it has to be written.
     """
-    prints = cut(_prints(docs, shingle), "prints")
+    prints = cut(_prints(docs, shingle, *tables_of(docs.count(), similarity)), "prints")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    names = prints.groupBy("h1", "h2").agg(F.min("row").alias("set"), head.alias("head"))
-    named = cut(prints.join(names, ["h1", "h2"]).select("row", "doc_id", "set", "head", "n", "bands"), "sets")
-    buckets = named.filter("row = set").select("row", "n", F.posexplode("bands").alias("band", "bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("many")).filter("many > 1")
-    buckets = cut(buckets.join(shared, "bucket").select("bucket", "band", "row", "n"), "buckets")
-    roots = _links(buckets, docs, similarity, shingle, chunk).withColumnRenamed("v", "set")
+    copies = prints.groupBy("h1", "h2").agg(F.min("row").alias("set"), head.alias("head"), F.count("*").alias("many"))
+    copies = cut(copies.filter("many > 1").drop("many"), "copies")  # written: a plain join, which Spark may split where copies are many
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    named = prints.join(copies, ["h1", "h2"], "left").withColumn("set", F.coalesce("set", "row")).withColumn("head", F.coalesce("head", own))
+    named = cut(named.select("row", "doc_id", "set", "head", "n", "f0", "f1", F.when(F.col("row") == F.col("set"), F.col("keys")).alias("keys")), "sets")
+    sets = named.filter("row = set AND n > 0")
+    rows = sets.select(F.col("row").alias("v"), "f0", "f1", F.posexplode("keys").alias("t", "key"))
+    rows = rows.select(F.shiftleft(F.col("t").cast("long"), 56).bitwiseOR(F.col("key")).alias("bucket"), "v", "f0", "f1")
+    classes = components(bucket_links(rows, ["f0", "f1"], radius_of(similarity), chunk)).withColumnRenamed("v", "row")
+    classes = cut(sets.select("row", "n").join(classes, "row"), "candidates")
+    roots = cut(components(_checked(classes, docs, similarity, shingle, chunk)).withColumnRenamed("v", "set"), "components")
     least = named.filter("row = set").join(roots, "set").groupBy("root").agg(F.min("head").alias("least"))
-    out = named.join(roots.join(least, "root").select("set", "least"), "set", "left").withColumn("head", F.coalesce("least", "head"))
+    least = cut(roots.join(cut(least, "heads"), "root").select("set", "least"), "labels")
+    out = named.join(least, "set", "left").withColumn("head", F.coalesce("least", "head"))
     return out.select("row", "doc_id", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("first"))

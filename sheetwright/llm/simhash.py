@@ -6,11 +6,12 @@ The work is on distinct fingerprints, so copies never meet each other.
 Candidates: the 64 bits are cut into radius + 2 blocks. Fingerprints that link agree
 in two whole blocks at least, so each pair of blocks gives a bucket key and no link
 is lost. A bucket of more than CHUNK fingerprints is dealt into chunks, and each pair
-of chunks is a unit of work of its own; no unit holds more than about 2 * CHUNK rows.
+of chunks is a unit of work of its own, named by bucket and chunks; no unit holds more
+than about 2 * CHUNK rows.
 
 Comparison: the rows of a task lie vertically, one bit plane a bit and 64 rows a word.
 A row is compared with the words of its unit: planes are XORed with its bit and added
-by carry-save counters (ones, twos, fours, more), 64 distances at once. Words in
+by carry-save counters (ones, twos, fours and so on), 64 distances at once. Words in
 which every distance has passed the radius are given up. A unit yields a spanning
 forest of its links, never all pairs; the forests meet in star contraction.
 
@@ -77,38 +78,46 @@ def _csa(a, b, c):
 def close_words(fp: np.ndarray, planes: np.ndarray, row: np.ndarray, word: np.ndarray, radius: int = RADIUS):
     """For each (row, word): the rows of the word, as bits, within radius of the row.
 
-    Returns (index into row and word, bits); words in which all exceed the radius are given up.
-    radius: 7 or less.
+    fp: rows x words of 64 bits. Returns (index into row and word, bits); words in which all
+    exceed the radius are given up.
     """
     index = np.arange(len(row))
-    ones, twos, fours, more = (np.zeros(len(row), np.uint64) for _ in range(4))
-    limit = [ALL if radius >> k & 1 else NONE for k in range(3)]
+    count = [np.zeros(len(row), np.uint64) for _ in range(max(3, radius.bit_length()))]
+    more = np.zeros(len(row), np.uint64)
     far = more
-    for at in range(0, 64, STEP):
-        for k in range(at, at + STEP, 4):
-            x = [planes[j][word] ^ (NONE - ((fp[row] >> np.uint64(j)) & np.uint64(1))) for j in range(k, k + 4)]
-            ones, a = _csa(ones, x[0], x[1])
-            ones, b = _csa(ones, x[2], x[3])
-            twos, c = _csa(twos, a, b)
-            more = more | (fours & c)
-            fours = fours ^ c
+    for at in range(0, len(planes), STEP):
+        x = [planes[j][word] ^ (NONE - ((fp[row, j >> 6] >> np.uint64(j & 63)) & np.uint64(1))) for j in range(at, at + STEP)]
+        fours = []
+        for k in range(0, STEP, 4):
+            count[0], a = _csa(count[0], x[k], x[k + 1])
+            count[0], b = _csa(count[0], x[k + 2], x[k + 3])
+            count[1], c = _csa(count[1], a, b)
+            fours.append(c)
+        count[2], carry = _csa(count[2], *fours)
+        for k in range(3, len(count)):
+            count[k], carry = count[k] ^ carry, count[k] & carry
+        more = more | carry
+        if at + STEP <= radius:
+            continue
         # count > radius, bit by bit from the top
         above, equal = more, ~more
-        for bit, lim in ((fours, limit[2]), (twos, limit[1]), (ones, limit[0])):
-            above = above | (equal & bit & ~lim)
-            equal = equal & ~(bit ^ lim)
+        for k in reversed(range(len(count))):
+            lim = ALL if radius >> k & 1 else NONE
+            above = above | (equal & count[k] & ~lim)
+            equal = equal & ~(count[k] ^ lim)
         far = above
         alive = far != ALL
         if not alive.all():
-            index, row, word, ones, twos, fours, more, far = (v[alive] for v in (index, row, word, ones, twos, fours, more, far))
+            index, row, word, more, far = (v[alive] for v in (index, row, word, more, far))
+            count = [c[alive] for c in count]
     return index, ~far
 
 
 def bit_planes(fp: np.ndarray) -> np.ndarray:
-    """The fingerprints as 64 planes of words; bit r of word w of plane k is bit k of fingerprint 64 * w + r."""
-    padded = np.zeros(-(-len(fp) // 64) * 64, np.uint64)
+    """The fingerprints (rows x words) as planes; bit r of word w of plane k is bit k of fingerprint 64 * w + r."""
+    padded = np.zeros((-(-len(fp) // 64) * 64, fp.shape[1]), np.uint64)
     padded[: len(fp)] = fp
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
@@ -126,13 +135,13 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def unit_forest(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """label[r]: the least row that links reach from row r in its unit. Rows are sorted by unit, then side.
+    """label[r]: the least row that links reach from row r in its unit. Rows are sorted by unit (rows x columns), then side.
 
     A unit with one side compares all its rows; with two, those of side 0 with those of side 1.
     """
     n = len(fp)
     label, planes = np.arange(n), bit_planes(fp)
-    start = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+    start = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]).any(axis=1)])
     size = np.diff(np.r_[start, n])
     of = np.repeat(np.arange(len(start)), size)
     end = (start + size)[of]
@@ -159,20 +168,20 @@ def unit_forest(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int
 
 
 def _forests(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of rows (unit, side, fp), sorted by unit and side; a unit may go over batches."""
+    """Spanning forests (a, b) of rows (bucket, low, high, side, v, fp words), sorted; a unit may go over batches."""
     held: list[np.ndarray] = []
 
     def edges(rows: np.ndarray) -> pa.RecordBatch:
-        fp = rows[:, 2].copy()
-        label = unit_forest(rows[:, 0], rows[:, 1], fp.view(np.uint64), radius)
+        label = unit_forest(rows[:, :3], rows[:, 3], rows[:, 5:].copy().view(np.uint64), radius)
         r = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[r]), pa.array(fp[label[r]])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[r, 4]), pa.array(rows[label[r], 4])], ["a", "b"])
 
     for b in batches:
-        held.append(np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], axis=1))
+        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1))
         if sum(map(len, held)) >= ROWS:
             rows = np.concatenate(held)
-            whole = int(np.flatnonzero(rows[:, 0] != rows[-1, 0])[-1]) + 1 if rows[0, 0] != rows[-1, 0] else 0
+            others = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))
+            whole = int(others[-1]) + 1 if len(others) else 0
             if whole:
                 yield edges(rows[:whole])
             held = [rows[whole:]]
@@ -180,6 +189,29 @@ def _forests(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         yield edges(np.concatenate(held))
 
 
+def bucket_links(rows: DataFrame, words: list[str], radius: int, chunk: int) -> DataFrame:
+    """(a, b): forests of the links inside the buckets of rows (bucket, v, words).
+
+    A unit is a bucket and two of its chunks, named by all three. ``sizes`` is written first,
+    so that the join with it is a plain one, which Spark may split where a bucket is hot.
+    """
+    sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
+    rows = rows.join(sizes, "bucket").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    unit = ["bucket", "low", "high"]
+    rows = rows.select(
+        "bucket",
+        F.least("own", "other").alias("low"),
+        F.greatest("own", "other").alias("high"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "v",
+        *words,
+    )
+    rows = rows.repartition(*unit).sortWithinPartitions(*unit, "side", "v")
+    return rows.mapInArrow(lambda it: _forests(it, radius), "a long, b long").distinct()
+
+
 def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """(a, b): forests whose components are those of all links between the distinct fingerprints ``fp``."""
     blocks = radius + 2
@@ -190,19 +222,8 @@ def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame
     keys = [
         F.shiftleft(F.shiftleft(part(i), width).bitwiseOR(part(j)), 8).bitwiseOR(F.lit(k)) for k, (i, j) in enumerate(pairs)
     ]
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(sizes, "bucket")
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select(
-        F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
-        (F.col("own") > F.col("other")).cast("long").alias("side"),
-        "fp",
-    )
-    rows = rows.repartition("unit").sortWithinPartitions("unit", "side", "fp")
-    return rows.mapInArrow(lambda it: _forests(it, radius), "a long, b long").distinct()
+    rows = fps.select("fp", F.explode(F.array(*keys)).alias("bucket")).select("bucket", F.col("fp").alias("v"), "fp")
+    return bucket_links(rows, ["fp"], radius, chunk)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,9 +254,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -
     fps = prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"))
     fps = cut(fps, "distinct-fingerprints")
     roots = cut(components(links(fps, radius, chunk)), "components")
-    named = fps.join(roots.withColumnRenamed("v", "fp"), "fp")
+    named = cut(fps.join(roots.withColumnRenamed("v", "fp"), "fp"), "named-fingerprints")
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
     first = named.select("fp", "root").join(first, "root").select("fp", "component_id")
+    # Written first, so that the join is a plain one, which Spark may split where copies are many.
     label = fps.join(first, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    out = prints.join(label, "fp")
+    out = prints.join(cut(label, "fingerprint-labels"), "fp")
     return out.select("doc_id", "fp", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))

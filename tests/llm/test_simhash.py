@@ -94,8 +94,8 @@ def test_close_words_gives_up_no_near_word():
     fp = rng.integers(0, 2**63, 256, dtype=np.uint64)
     fp[100:140] = fp[7] ^ (np.uint64(1) << np.arange(40, dtype=np.uint64))
     row, word = (x.ravel() for x in np.meshgrid(np.arange(256), np.arange(4), indexing="ij"))
-    for radius in (0, 3, 4, 7):
-        index, bits = S.close_words(fp, S.bit_planes(fp), row, word, radius)
+    for radius in (0, 3, 4, 7, 8, 21, 31, 40):
+        index, bits = S.close_words(fp[:, None], S.bit_planes(fp[:, None]), row, word, radius)
         near = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         got = {(int(row[i]), int(word[i]) * 64 + int(r)) for i, r in zip(index[np.nonzero(near)[0]], np.nonzero(near)[1], strict=True)}
         want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius), strict=True)}
