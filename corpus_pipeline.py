@@ -18,11 +18,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the lines that repeat over documents; n_chars follows the text."""
+    """The documents without the lines that repeat over documents; n_chars, where there is one, follows the text."""
     rows = line_dedup.dedup_lines(docs)
     changed = F.col("n_dropped") > 0
     new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("doc.text"))}
-    new["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
     return rows.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
@@ -30,7 +31,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (Jaccard 0.8 or more of five-word shingles): one row, of the least doc_id, null last."""
     rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "rows")
     groups = near.near_copies(rows.select("row", "doc.doc_id", "doc.text"))
-    return rows.join(groups.filter("row = first").select("row"), "row", "left_semi").select("doc.*")
+    others = cut(groups.filter("row <> first").select("row"), "near-copies")
+    return rows.join(others, "row", "left_anti").select("doc.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
