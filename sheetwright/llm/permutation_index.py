@@ -1,37 +1,51 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its NEAREST nearest pivots in order. Vectors are dealt into
-bounded blocks (Arrow batches); each block has an inverted file for each pivot, with
-the vectors that list the pivot and its place in their lists. A query reads the files
-of its own pivots and ranks a block's vectors by the footrule distance between the
-lists (a pivot that a list lacks counts as one past its end). The best SHARE of a block's
-distinct vectors is reranked by exact cosine in double precision, so copies of one vector
-fill no places; the best of all blocks are merged.
-
-Every vector is indexed; pivots come from a bounded sample of distinct vectors. Queries
-meet all blocks in groups of QUERY_GROUP, which bounds what is broadcast.
+Index: a vector is represented by its LIST nearest pivots, the nearest first, and written
+with this list. A block of vectors is posted in inverted files, one a pivot, each with the
+vectors that list the pivot and its place in their lists. There are PIVOT_ROOTS * sqrt(n)
+pivots for n distinct vectors (MAX_PIVOTS at most, which bounds what is broadcast), so files
+get shorter, as a share of the table, while it grows.
+
+Search: a query reads the files of its READ nearest pivots and ranks vectors by the footrule
+distance, the sum of differences in place, where a pivot that a list lacks stands past its
+end. Candidates are the vectors within the query's radius: the distance that holds
+CANDIDATE_ROOTS * sqrt(n) distinct vectors, read from a sample of at most about SAMPLE
+distinct vectors, the whole table up to there. The radius is one for the whole table, so
+answers don't depend on how the vectors are dealt into blocks. Candidates are reranked by
+exact cosine in double precision. A task keeps its k best of each query; these are merged.
+
+A query's work: READ * LIST / pivots of all places, which grows as sqrt(n), and as many cosines
+as candidates. Queries meet all blocks in groups of QUERY_GROUP, which bounds what is
+broadcast. Pivots and sample come from the distinct vectors with the least seeded hash;
+every vector is indexed, where it lies.
 
 Edge cases: vectors null, zero or with null or non-finite components take no part, as
-rows or queries; vectors meet only vectors of their own length; rows that repeat a
-vec_id are candidates of their own, but never for their own id; null ids take no part;
+rows or queries; vectors meet only vectors of their own length, and each length has pivots
+and radii of its own; components of any finite size give finite scores, as vectors are
+first scaled by powers of two; copies of one vector fill no candidate places; rows that
+repeat a vec_id are candidates of their own, but never for their own id; null ids take no part;
 fewer than k candidates give fewer rows; only vec_id and embedding are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh_path
 
-PIVOTS, NEAREST, SHARE, LEAST, QUERY_GROUP, SEED = 256, 128, 0.3, 200, 8_192, 42
-#: Lengths of vectors that get pivots of their own.
-MAX_LENGTHS = 16
-BLOCK = 8_192
+LIST, READ, PIVOT_ROOTS, CANDIDATE_ROOTS, SEED = 128, 64, 16, 6, 42
+MAX_PIVOTS, SAMPLE, QUERY_GROUP = 16_384, 65_536, 4_096
+#: Rows of a block; rows whose lists are made at once.
+BLOCK, TURN = 8_192, 512
+FOUND = "query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -42,30 +56,53 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.filter(finite & F.exists("v", lambda x: x != 0))
 
 
-def choose_pivots(rows: DataFrame, pivots: int = PIVOTS, seed: int = SEED) -> dict[int, np.ndarray]:
-    """For each length of vectors, unit pivots: distinct vectors with the least seeded hash."""
-    lengths = [r["n"] for r in rows.select(F.size("v").alias("n")).distinct().limit(MAX_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"more than {MAX_LENGTHS} lengths of vectors")
+@dataclass
+class Pivots:
+    """Of one length of vectors: unit pivots, the lists of the sample, and the candidates that a query takes of it."""
+
+    pivots: np.ndarray
+    sample: np.ndarray
+    take: int
+
+
+def fit(rows: DataFrame, seed: int = SEED, sample: int = SAMPLE) -> dict[int, Pivots]:
+    """Pivots and samples by length of vectors. A part of all hash values is read, so copies count once."""
+    share = min(1.0, sample / max(1, rows.count()))
+    h = F.xxhash64(F.lit(seed), "v").alias("h")
+    some = rows.select(F.size("v").alias("n"), h, "v").filter(F.pmod("h", F.lit(1 << 32)) < int(share * (1 << 32)))
+    got = some.groupBy("n", "h", "v").agg(F.lit(1)).select("n", "h", "v").orderBy("n", "h", "v").toArrow()
+    size = got.column(0).to_numpy()
+    flat, ends = pc.list_flatten(got.column(2)).to_numpy(), np.cumsum(size, dtype=np.int64)
     out = {}
-    for n in sorted(lengths):
-        same = rows.filter(F.size("v") == n).select("v", F.xxhash64(F.lit(seed), "v").alias("h"))
-        first = [tuple(r["v"]) for r in same.orderBy("h", "v").limit(8 * pivots).collect()]
-        chosen = list(dict.fromkeys(first))[:pivots]
-        if len(chosen) < pivots and len(first) == 8 * pivots:  # copies of a few vectors fill the first rows
-            chosen = [r["v"] for r in same.distinct().orderBy("h", "v").limit(pivots).collect()]
-        out[n] = _unit(np.array(chosen))
+    for n in np.unique(size).tolist():
+        mine = np.flatnonzero(size == n)
+        x = flat[(ends[mine] - n)[:, None] + np.arange(n)]
+        root = math.sqrt(len(x) / share)
+        pivots = _unit(x[: min(MAX_PIVOTS, math.ceil(PIVOT_ROOTS * root))])
+        out[n] = Pivots(pivots, orders(x, pivots), math.ceil(CANDIDATE_ROOTS * root * share))
     return out
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """The vectors times powers of two, so that no square is too large or too small; this rounds nothing."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def orders(x: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
-    """The nearest pivots of each vector, the nearest first."""
-    return np.argsort(-(_unit(x) @ pivots.T), axis=1, kind="stable")[:, :nearest]
+def orders(x: np.ndarray, pivots: np.ndarray, nearest: int = LIST) -> np.ndarray:
+    """The nearest pivots of each vector, the nearest first; of pivots equally near (to 2**-40) the first."""
+    n = len(pivots)
+    nearest, out = min(nearest, n), []
+    for at in range(0, len(x), TURN):
+        far = np.rint((_unit(x[at : at + TURN]) @ pivots.T) * -(2.0**40)).astype(np.int64) * n + np.arange(n)
+        if nearest < n:
+            far = np.partition(far, nearest - 1, axis=1)[:, :nearest]
+        out.append(np.sort(far, axis=1) % n)
+    return np.concatenate(out).astype(np.int32) if out else np.zeros((0, nearest), np.int32)
 
 
 class InvertedFiles:
@@ -79,21 +116,20 @@ class InvertedFiles:
         self.start = np.searchsorted(flat[by], np.arange(pivots + 1))
 
     def footrule(self, query: np.ndarray) -> np.ndarray:
-        """Footrule distance of the query's list from the lists of all vectors of the block."""
-        # As if no pivot were shared, then put right for those that the query's files hold.
-        ends = self.length - np.arange(self.length)
-        far = np.full(self.n, 2 * int(ends.sum()), np.int32)
-        for at, p in enumerate(query):
-            s = slice(self.start[p], self.start[p + 1])
-            place = self.place[s]
-            far[self.vector[s]] -= (self.length - at) + (self.length - place) - np.abs(place - at)
-        return far
+        """Footrule distance of the query's pivots, the nearest first, from the lists of all vectors of the block."""
+        # As if no pivot were listed, then put right for those that the query's files hold.
+        at = np.arange(len(query))
+        low, size = self.start[query], self.start[query + 1] - self.start[query]
+        rows = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+        at_query = np.repeat(at, size)
+        gain = (self.length - at_query) - np.abs(self.place[rows] - at_query)
+        return int((self.length - at).sum()) - np.bincount(self.vector[rows], gain, self.n).astype(np.int64)
 
 
 def _cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosines of the rows of x with q; a row's value doesn't depend on the other rows."""
-    top, nq = (x * q).sum(1), np.sqrt((q * q).sum())
-    return top / (np.sqrt((x * x).sum(1)) * nq)
+    x, q = _scaled(x), _scaled(q)
+    return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
 
 
 def _copies(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,67 +151,115 @@ def _copies(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return first, kept, np.searchsorted(of[kept], np.arange(len(first) + 1))
 
 
-def search_block(ids, x, query_ids, queries, pivots, k, share=SHARE, least=LEAST):
-    """(query_id, vec_id, score) of the k best found in one block for each query; ranks distinct vectors."""
+@dataclass
+class Queries:
+    """Queries of one length of vectors, each with its nearest pivots and its radius."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    lists: np.ndarray
+    radius: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, vectors: np.ndarray, fitted: Pivots) -> Queries:
+        lists = orders(vectors, fitted.pivots)[:, :READ]
+        files, radius = InvertedFiles(fitted.sample, len(fitted.pivots)), np.full(len(ids), np.iinfo(np.int64).max)
+        if fitted.take < files.n:  # the query's own vector is one more
+            for k, q in enumerate(lists):
+                radius[k] = np.partition(files.footrule(q), fitted.take)[fitted.take]
+        return cls(ids, vectors, lists, radius)
+
+
+def search_block(ids, x, lists, queries: Queries, pivots: int, k: int, best: dict) -> None:
+    """Merge the k best of one block into best: query id -> (ids, scores), sorted."""
     first, kept, start = _copies(ids, x, k)
-    files = InvertedFiles(orders(x[first], pivots), len(pivots))
-    lists = orders(queries, pivots)
-    n = len(first)
-    keep = min(n, max(least, int(np.ceil(share * n))) + 1)
-    by_id = np.argsort(ids[kept[start[:-1]]], kind="stable")  # so that of equal distances the smaller ids stay
-    rank = np.empty(n, np.int64)
-    rank[by_id] = np.arange(n)
-    out_q, out_i, out_s = [], [], []
-    for at, q in enumerate(queries):
-        key = files.footrule(lists[at]).astype(np.int64) * n + rank
-        near = np.argpartition(key, keep - 1)[:keep] if keep < n else np.arange(n)
+    files = InvertedFiles(lists[first], pivots)
+    for at, q in enumerate(queries.vectors):
+        near = np.flatnonzero(files.footrule(queries.lists[at]) <= queries.radius[at])
         score = _cosines(x[first[near]], q)
         size = (start[1:] - start[:-1])[near]
         rows = kept[np.repeat(start[near] - np.cumsum(size) + size, size) + np.arange(size.sum())]
         score, found = np.repeat(score, size), ids[rows]
-        other = found != query_ids[at]
+        other = found != queries.ids[at]
         score, found = score[other], found[other]
-        best = np.lexsort((found, -score))[:k]
-        out_q.append(np.full(len(best), query_ids[at]))
-        out_i.append(found[best])
-        out_s.append(score[best])
-    return tuple(np.concatenate(o) if o else np.zeros(0) for o in (out_q, out_i, out_s))
+        if (queries.ids[at], at) in best:
+            old = best[queries.ids[at], at]
+            found, score = np.concatenate((old[0], found)), np.concatenate((old[1], score))
+        order = np.lexsort((found, -score))[:k]
+        best[queries.ids[at], at] = found[order], score[order]
+
+
+def _by_length(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, rows, vectors) of each length of the vectors in column 1."""
+    size = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+    ends, flat = np.cumsum(size), b.column(1).flatten().to_numpy()
+    for n in np.unique(size).tolist():
+        mine = np.flatnonzero(size == n)
+        yield n, mine, flat[(ends[mine] - n)[:, None] + np.arange(n)]
+
+
+def index(rows: DataFrame, fitted: dict[int, Pivots]) -> DataFrame:
+    """(id, v, list): every row (id, v) with its nearest pivots (int32 as binary), written."""
+    shared = rows.sparkSession.sparkContext.broadcast({n: f.pivots for n, f in fitted.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = np.full(b.num_rows, b"", object)
+            for n, mine, x in _by_length(b):
+                if n in shared.value:
+                    lists[mine] = [o.tobytes() for o in orders(x, shared.value[n])]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.binary())], ["id", "v", "list"])
+
+    return cut(rows.select("id", "v").mapInArrow(run, "id long, v array<double>, list binary"), "permutations")
 
 
-def nearest_found(
-    rows: DataFrame, queries: DataFrame, k: int = 5, pivots: dict[int, np.ndarray] | None = None, group: int = QUERY_GROUP
-) -> DataFrame:
+def nearest_found(rows: DataFrame, queries: DataFrame, k: int = 5, group: int = QUERY_GROUP, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query (id, v) the k nearest found among rows (id, v), but its own id."""
     spark = rows.sparkSession
-    pivots = choose_pivots(rows) if pivots is None else pivots
-    shared_pivots = spark.sparkContext.broadcast(pivots)
+    fitted = fit(rows, sample=sample)
+    indexed = index(rows, fitted)
     groups = max(1, -(-queries.count() // group))
     grouped = cut(queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")), "knn-queries", partition_by="part")
+    pivots = {n: len(f.pivots) for n, f in fitted.items()}
+    whole = spark.sparkContext.broadcast(fitted)
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["n", "ids", "vectors", "lists", "radius"]
+        for b in batches:
+            for n, mine, x in _by_length(b):
+                ids = b.column(0).to_numpy()[mine]
+                nothing = Pivots(np.zeros((0, n)), np.zeros((0, 0), np.int32), 0)
+                q = Queries.of(ids, x, whole.value.get(n, nothing))
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (n, ids.tobytes(), x.tobytes(), q.lists.tobytes(), q.radius.tobytes())], names)
 
     def search(part: DataFrame):
-        got = part.select("id", "v").orderBy("id").toArrow()
-        held: dict[int, tuple[list, list]] = {}
-        for i, v in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-            held.setdefault(len(v), ([], []))[0].append(i)
-            held[len(v)][1].append(v)
-        shared = spark.sparkContext.broadcast({n: (np.array(i), np.array(v)) for n, (i, v) in held.items()})
+        ready: dict[int, list] = {}
+        for r in part.select("id", "v").mapInArrow(prepare, "n long, ids binary, vectors binary, lists binary, radius binary").collect():
+            ready.setdefault(r["n"], []).append(r)
+        held = {}
+        for n, some in ready.items():
+            of = lambda c, kind, some=some: np.concatenate([np.frombuffer(r[c], kind) for r in some])
+            ids = of("ids", np.int64)
+            held[n] = Queries(ids, of("vectors", np.float64).reshape(-1, n), of("lists", np.int32).reshape(len(ids), -1), of("radius", np.int64))
+        shared = spark.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, BLOCK):
-                    b = whole.slice(at, BLOCK)
-                    ids, v = b.column(0).to_numpy(), b.column(1)
-                    size = pa.compute.list_value_length(v).to_numpy(zero_copy_only=False)
-                    ends, flat = np.cumsum(size), v.flatten().to_numpy()
-                    for n in np.unique(size).tolist():
-                        if n not in shared.value:
-                            continue
-                        mine = np.flatnonzero(size == n)
-                        x = flat[(ends[mine] - n)[:, None] + np.arange(n)]
-                        q, i, s = search_block(ids[mine], x, *shared.value[n], shared_pivots.value[n], k)
-                        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
-
-        return rows.select("id", "v").mapInArrow(run, "query_id long, vec_id long, score double"), shared
+            best: dict[int, dict] = {}
+            for whole_batch in batches:
+                for at in range(0, whole_batch.num_rows, BLOCK):
+                    b = whole_batch.slice(at, BLOCK)
+                    lists = b.column(2).to_numpy(zero_copy_only=False)
+                    for n, mine, x in _by_length(b):
+                        if n in shared.value:
+                            of = np.frombuffer(b"".join(lists[mine]), np.int32).reshape(len(mine), -1)
+                            search_block(b.column(0).to_numpy()[mine], x, of, shared.value[n], pivots.get(n, 0), k, best.setdefault(n, {}))
+            for some in best.values():
+                size = [len(i) for i, _ in some.values()]
+                q = np.repeat(np.array([i for i, _ in some], np.int64), size)
+                i, s = (np.concatenate([x[c] for x in some.values()]) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+
+        return indexed.mapInArrow(run, FOUND), shared
 
     if groups == 1:
         found = search(grouped)[0]
@@ -185,7 +269,7 @@ def nearest_found(
             part, held = search(grouped.filter(F.col("part") == g))
             part.write.mode("append").parquet(path)
             held.destroy()
-        found = spark.read.schema("query_id long, vec_id long, score double").parquet(path)
+        found = spark.read.schema(FOUND).parquet(path)
     over = "PARTITION BY query_id ORDER BY score DESC, vec_id"
     found = found.withColumn("rank", F.expr(f"row_number() OVER ({over})").cast("int")).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")

@@ -41,12 +41,42 @@ def test_empty_table(spark):
 
 
 def test_footrule_counts_missing_pivots_as_past_the_end():
-    lists = np.array([[0, 1, 2], [2, 1, 0], [3, 4, 5], [1, 0, 5]])
+    lists = np.array([[0, 1, 2], [2, 1, 0], [3, 4, 5], [1, 0, 5]], np.int32)
     files = P.InvertedFiles(lists, 6)
     place = lambda x: {p: k for k, p in enumerate(x)}
     for q in lists:
-        want = [sum(abs(place(q).get(p, 3) - place(x).get(p, 3)) for p in range(6)) for x in lists]
-        assert files.footrule(q).tolist() == want
+        for read in (1, 2, 3):
+            want = [sum(abs(k - place(x).get(p, 3)) for k, p in enumerate(q[:read])) for x in lists]
+            assert files.footrule(q[:read]).tolist() == want
+
+
+def test_lists_name_the_nearest_pivots():
+    rng = np.random.default_rng(2)
+    x, pivots = rng.normal(size=(700, 9)), P._unit(rng.normal(size=(300, 9)))
+    want = np.argsort(-(P._unit(x) @ pivots.T), axis=1, kind="stable")[:, : P.LIST]
+    assert (P.orders(x, pivots) == want).all() and P.orders(x, pivots[:3]).shape == (700, 3)
+
+
+def test_many_lengths_and_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(6)
+    data = [(50 * n + k, rng.normal(size=n).tolist()) for n in range(1, 40) for k in range(3)]
+    data += [(5000 + k, (rng.normal(size=5) * size).tolist()) for k, size in enumerate([1e200, 1e-200, 1e308, 5e-300] * 20)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    rows = P.usable(df)
+    got = {}
+    for r in sorted(P.nearest_found(rows, rows.filter("id % 50 = 0")).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((round(-r["score"], 12), r["vec_id"]))
+    small = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in data]
+    assert got == {q: near for q, near in brute(small).items() if near}
+
+
+def test_answers_do_not_depend_on_the_deal(spark):
+    rows = P.usable(table(spark, f"{DATA}/sf0.01", "embeddings"))
+    queries, out = rows.filter("id % 50 = 0"), []
+    for parts in (1, 7):
+        dealt = rows.repartition(parts)
+        out.append(sorted(tuple(r) for r in P.nearest_found(dealt, queries, sample=300).collect()))
+    assert out[0] == out[1]
 
 
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
@@ -57,18 +87,19 @@ def test_recall(spark, sf):
     for r in op1_permutation_index(spark, f"{DATA}/{sf}").collect():
         got.setdefault(r["query_id"], []).append(round(-r["score"], 12))
     hits = sum(sum(s <= w[-1][0] + 1e-9 for s in got[q]) for q, w in want.items())
+    print(sf, hits / sum(map(len, want.values())))
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
-def test_recall_beside_many_copies_of_one_vector():
+def test_recall_beside_many_copies_of_one_vector(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(3000, 64))
     x[rng.choice(3000, 1000, replace=False)] = rng.normal(size=64)
-    ids, queries = np.arange(3000), np.arange(0, 3000, 50)
-    pivots = P._unit(np.unique(x, axis=0)[rng.choice(2000, 256, replace=False)])
-    q, i, s = P.search_block(ids, x, queries, x[queries], pivots, 5)
-    want = brute([(int(k), v.tolist()) for k, v in enumerate(x)])
-    hits = sum(int((np.round(-s[q == k], 12) <= w[-1][0] + 1e-9).sum()) for k, w in want.items())
+    data = [(k, v.tolist()) for k, v in enumerate(x)]
+    rows, want, got = P.usable(spark.createDataFrame(data, "vec_id long, embedding array<double>")), brute(data), {}
+    for r in P.nearest_found(rows, rows.filter("id % 50 = 0")).collect():
+        got.setdefault(r["query_id"], []).append(round(-r["score"], 12))
+    hits = sum(sum(s <= w[-1][0] + 1e-9 for s in got[q]) for q, w in want.items())
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
@@ -76,7 +107,12 @@ def test_repeated_ids_and_copies_keep_what_can_win():
     ids = np.array([7, 7, 7, 7, 7, 7, 1, 2, 3, 9, 9])
     x = np.array([[1.0, 2.0]] * 9 + [[2.0, 1.0]] * 2)
     pivots = P._unit(np.array([[1.0, 2.0], [2.0, 1.0]]))
-    q, i, _ = P.search_block(ids, x, np.array([7, 1, 50]), np.array([[1.0, 2.0]] * 3), pivots, 3)
-    assert i[q == 7].tolist() == [1, 2, 3] and i[q == 1].tolist() == [2, 3, 7] and i[q == 50].tolist() == [1, 2, 3]
-    q, i, _ = P.search_block(ids, x, np.array([1]), np.array([[1.0, 2.0]]), pivots, 7)
-    assert i.tolist() == [2, 3, 7, 7, 7, 7, 7]
+    lists = P.orders(x, pivots)
+
+    def near(some, k):
+        q, best = np.array([[1.0, 2.0]] * len(some)), {}
+        P.search_block(ids, x, lists, P.Queries.of(np.array(some), q, P.Pivots(pivots, lists, 99)), 2, k, best)
+        return [found.tolist() for found, _ in best.values()]
+
+    assert near([7, 1, 50], 3) == [[1, 2, 3], [2, 3, 7], [1, 2, 3]]
+    assert near([1], 7) == [[2, 3, 7, 7, 7, 7, 7]]
