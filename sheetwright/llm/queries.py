@@ -163,7 +163,8 @@ found AS ({_matches(0, secret_scan.ASSIGN.replace("(?i:", "(?i)", 1)[:-1], 2)} U
   UNION ALL {_matches(2, secret_scan.HEX)} UNION ALL {_matches(3, "[A-Za-z0-9+/_=-]+")}),
 each AS (SELECT row, k, unnest(ms) AS m, unnest(ps) AS p, unnest(gaps[1:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM found),
 placed AS (SELECT row, k, m, p, CAST(sum(length(g) + length(m)) OVER (PARTITION BY row, k ORDER BY i) AS BIGINT) AS stop FROM each),
-longer AS (SELECT *, k = 3 AND length(m) >= 20 AND regexp_matches(m, '[0-9]') AND NOT ({" OR ".join(f"regexp_matches(m, {_quoted(p)})" for p in secret_scan.ALLOWED)}) AS candidate FROM placed),
+longer AS (SELECT *, k = 3 AND length(m) >= 20 AND regexp_matches(m, '[0-9]') AND NOT ({" OR ".join(f"regexp_matches(m, {_quoted(p)})" for p in secret_scan.ALLOWED)})
+  AND NOT (regexp_matches(m, {_quoted(secret_scan.SLUG)}) AND NOT regexp_matches(m, {_quoted(secret_scan.SIDE_BY_SIDE)})) AS candidate FROM placed),
 judged AS (SELECT *, CASE WHEN candidate THEN list_max(list_transform(range(1, length(m) - 18), lambda j: list_aggregate(string_split(substr(m, j, 20), ''), 'entropy'))) END AS e FROM longer),
 spans AS (SELECT row, k, stop - length(m) AS start, stop, (['assign', 'access', 'hex', 'entropy'])[k + 1] || ':' || CAST(stop - length(m) AS VARCHAR) || ':' || CAST(stop AS VARCHAR) AS s FROM judged
   WHERE CASE k WHEN 0 THEN length(p) >= {secret_scan.ASSIGN_LEAST} WHEN 3 THEN candidate AND e >= CASE {" ".join(f"WHEN regexp_matches(m, {_quoted(p)}) THEN {b}" for p, b in secret_scan.CLASSES[:-1])} ELSE {secret_scan.CLASSES[-1][1]} END ELSE true END)

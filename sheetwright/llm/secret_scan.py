@@ -6,8 +6,8 @@ are the offsets, in code points.
 
 A candidate is a maximal run of token characters of 20 or more with a digit in it.
 Its character class sets the least entropy (bits a character) that some window of 20
-characters must reach. The window moves by one character at a time: two counts
-change, and with them two terms of the sum that gives the entropy. Candidates that
+characters must reach. The window moves by one character at a time: the counts of two
+characters change, and with them two terms of the sum that gives the entropy. Candidates that
 the allow-list names (uuids, plain numbers, slugs, alphabets, placeholders) give no span.
 
 Edge cases: a null text is an empty one and has no spans; each input row gives one
@@ -16,6 +16,8 @@ row, also when rows repeat or doc_id is null; only doc_id and text are read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +38,12 @@ CLASSES = ((r"^[0-9a-fA-F]+$", 3.0), (r"^([0-9a-z]+|[0-9A-Z]+)$", 3.5), (r"", 3.
 ALLOWED = (
     r"^[0-9]+$",
     r"^(?i:[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12})$",
-    r"^[A-Za-z]+([-_/=][A-Za-z]+)*[-_/=]?[0-9]{1,4}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[-_/]",
     r"(?i:example|placeholder|dummy|xxxx|changeme|0123456789|abcdefghij)",
 )
+#: A slug is allowed too: letters and separators, then up to four digits, and nowhere two separators side by side.
+#: Two patterns without a repeated group, as Java recurses once for each round of such a group.
+SLUG, SIDE_BY_SIDE = r"^[A-Za-z][A-Za-z/_=-]*[0-9]{1,4}$", r"[-_/=][-_/=]"
 
 
 def _found(text: Column, pattern: str, group: int | None = None) -> Column:
@@ -68,50 +72,38 @@ def _ranked(found: Column, rank: int) -> Column:
 def window_entropy(text: Column, window: int = WINDOW) -> Column:
     """Largest Shannon entropy (bits a character) of a window over text, 0 if it is shorter than a window.
 
-    text: ASCII. The state holds a count for each character code, and the sum of
-    c * log2(c) over the counts; a step changes both for the character that leaves and
-    for the one that enters.
+    The state is the window, the sum of c * log2(c) over its counts c, and the least such sum
+    of a whole window. A step takes from the sum what the count of the leaving character loses
+    and adds what that of the entering one gains. Sums are whole numbers of 2**-40, so that they
+    don't drift in long candidates.
     """
-    terms = F.expr(f"transform(sequence(0, {window}), c -> if(c = 0, 0D, c * log2(c)))")
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    late = F.concat(F.array_repeat(F.lit(-1), window), codes)
-    steps = F.filter(
-        F.zip_with(codes, late, lambda a, b: F.struct(a.alias("enters"), b.alias("leaves"))), lambda x: x["enters"].isNotNull()
-    )
-    term = lambda c: F.element_at(terms, c.cast("int") + 1)
-    count = lambda counts, code: F.element_at(counts, code + 1)
-
-    def leave(state: Column, code: Column) -> Column:
-        c = count(state["counts"], F.greatest(code, F.lit(0)))
-        return F.when(
-            code >= 0,
-            F.struct(
-                F.transform(state["counts"], lambda n, k: n - (k == code).cast("int")).alias("counts"),
-                (state["total"] - term(c) + term(F.greatest(c - 1, F.lit(0)))).alias("total"),
-                state["n"].alias("n"),
-                state["best"].alias("best"),
-            ),
-        ).otherwise(state)
-
-    def enter(state: Column, code: Column) -> Column:
-        c = count(state["counts"], code)
-        total = state["total"] - term(c) + term(c + 1)
-        n = state["n"] + 1
-        return F.struct(
-            F.transform(state["counts"], lambda m, k: m + (k == code).cast("int")).alias("counts"),
-            total.alias("total"),
-            n.alias("n"),
-            F.when(n >= window, F.greatest(state["best"], F.log2(F.lit(float(window))) - total / window))
-            .otherwise(state["best"])
-            .alias("best"),
+    unit = float(1 << 40)
+    change = F.array(*(F.lit(round(unit * (c * math.log2(c) - (c - 1) * math.log2(max(c - 1, 1))))) for c in range(1, window + 1)))
+    count = lambda w, c: F.length(w) - F.length(F.replace(w, c, F.lit("")))
+
+    def leave(s: Column) -> Column:
+        w = s["w"]
+        less = F.struct(
+            F.substring(w, 2, window).alias("w"),
+            (s["total"] - F.element_at(change, count(w, F.substring(w, 1, 1)))).alias("total"),
+            s["least"].alias("least"),
         )
+        return F.when(F.length(w) == window, less).otherwise(s)
 
-    first = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit(0.0).alias("best")
-    )
-    # array(state) | transform: names the state after a leave, which enter uses several times
-    step = lambda s, x: F.element_at(F.transform(F.array(leave(s, x["leaves"])), lambda t: enter(t, x["enters"])), 1)
-    return F.aggregate(steps, first, step, lambda s: s["best"])
+    def enter(s: Column, c: Column) -> Column:
+        total = s["total"] + F.element_at(change, count(s["w"], c) + 1)
+        return F.struct(F.concat(s["w"], c).alias("w"), total.alias("total"), s["least"].alias("least"))
+
+    def note(s: Column) -> Column:
+        least = F.when(F.length(s["w"]) == window, F.least(s["least"], s["total"])).otherwise(s["least"])
+        return F.struct(s["w"].alias("w"), s["total"].alias("total"), least.alias("least"))
+
+    # array(state) | transform: names a state that the next expression uses several times
+    named = lambda s, f: F.element_at(F.transform(F.array(s), f), 1)
+    step = lambda s, c: named(named(leave(s), lambda t: enter(t, c)), note)
+    first = F.struct(F.lit("").alias("w"), F.lit(0).cast("long").alias("total"), F.lit(None).cast("long").alias("least"))
+    entropy = lambda s: F.coalesce(math.log2(window) - s["least"] / (unit * window), F.lit(0.0))
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), first, step, entropy)
 
 
 def is_random(text: Column, window: int = WINDOW) -> Column:
@@ -119,7 +111,7 @@ def is_random(text: Column, window: int = WINDOW) -> Column:
     least = F.lit(CLASSES[-1][1])
     for pattern, bits in reversed(CLASSES[:-1]):
         least = F.when(text.rlike(pattern), F.lit(bits)).otherwise(least)
-    allowed = F.lit(False)
+    allowed = text.rlike(SLUG) & ~text.rlike(SIDE_BY_SIDE)
     for pattern in ALLOWED:
         allowed = allowed | text.rlike(pattern)
     return F.when(allowed, F.lit(False)).otherwise(window_entropy(text, window) >= least)
