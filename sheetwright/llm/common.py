@@ -20,13 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
+    """The folder that driver and executors share; the session has to name one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and spark.sparkContext.master.startswith("local["):  # one machine, as in tests
         path = tempfile.mkdtemp(prefix="sheetwright-")
         spark.sparkContext.setCheckpointDir(path)
+    if not path:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return path
 
 
@@ -44,6 +44,12 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what was written under path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

@@ -1,10 +1,14 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of line hashes, bucketed and sorted by hash, in which each hash
-stands once. A batch of documents becomes one run on level 0. Once a level holds
-``fanout`` runs they are merged into one run on the next level, so a store that
-took n batches has about fanout * log(n) runs. A batch first meets the runs in
-merge joins (anti joins for the lines that no run holds), then adds its own run.
+A run is a table of line hashes, bucketed and sorted by hash. A batch of documents first
+meets the runs in merge anti joins: hashes that no run holds are fresh, and the batch's
+largest document with such a line keeps it. The fresh hashes become a run on level 0, so each
+hash stands in one run only; of the others just their number of documents is noted. Once a
+level holds ``fanout`` runs they are compacted into one run on the next level, so a store that
+took n batches has about fanout * log(n) runs.
+
+A line common to many documents makes its hash a hot key. It meets the written, small table
+of repeated hashes in a plain join, which Spark may broadcast or split.
 
 Edge cases: a null text is one empty line; a null doc_id counts as one document
 that is smaller than any other; rows that repeat a doc_id count as one document;
@@ -18,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, ascii_strip, cut, fresh_path, text_or_empty
+from .common import ascii_lower, ascii_strip, cut, fresh_path, remove, text_or_empty
 
 HASH = ["h1", "h2"]
 RUN = "h1 long, h2 long, n_docs long, keeper long"
@@ -37,12 +41,13 @@ def key_hash(line: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled runs; rows are (h1, h2, n_docs, keeper), keeper null where an older run holds it."""
+    """The levelled runs; rows are (h1, h2, n_docs, keeper), each hash in one run. ``later`` holds the counts of seen hashes."""
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
         self.spark, self.fanout, self.paths = spark, fanout, {}
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.later: list[str] = []
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -57,6 +62,10 @@ class LineRuns:
         )
         return name
 
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        remove(self.spark, self.paths.pop(run))
+
     def runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
 
@@ -67,49 +76,66 @@ class LineRuns:
         return keys
 
     def add(self, batch: DataFrame) -> None:
-        """Add the lines (h1, h2, doc_id), distinct, of documents larger than none that the runs hold."""
-        keys = batch.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("largest"))
+        """Add the lines (h1, h2, doc_id), distinct, of documents smaller than all that the runs hold."""
+        keys = batch.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
         if self.runs():
             keys = cut(keys, "line-batch")
-            fresh = self.unseen(keys).select(*HASH, "n_docs", F.col("largest").alias("keeper"))
-            fresh = cut(fresh, "line-fresh")
-            seen = keys.join(fresh.select(*HASH).hint("merge"), HASH, "left_anti")
-            keys = fresh.unionByName(seen.select(*HASH, "n_docs", F.lit(None).cast("long").alias("keeper")))
-        else:
-            keys = keys.withColumnRenamed("largest", "keeper")
+            fresh = cut(self.unseen(keys), "line-fresh")
+            self.later.append(fresh_path(self.spark, "line-later"))
+            keys.join(fresh.select(*HASH).hint("merge"), HASH, "left_anti").select(*HASH, "n_docs").write.parquet(self.later[-1])
+            keys = fresh
         self._push(0, self._write(keys))
 
-    def _merge(self, runs: list[str]) -> DataFrame:
+    def _rows(self, runs: list[str]) -> DataFrame:
         # Read as plain files: Spark 4.1 takes the buckets of a union of columnar bucketed scans for its
         # partitions (spark.sql.unionOutputPartitioning) though it only strings them together.
-        rows = self.spark.read.schema(RUN).parquet(*(self.paths[run] for run in runs))
-        return rows.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+        return self.spark.read.schema(RUN).parquet(*(self.paths[run] for run in runs))
 
     def _push(self, level: int, run: str) -> None:
         if len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._write(self._merge(self.levels[level]))
-            self.levels[level] = []
+            old, self.levels[level] = self.levels[level], []
+            merged = self._write(self._rows(old))
+            for run in old:
+                self._drop(run)
             self._push(level + 1, merged)
 
     def totals(self) -> DataFrame:
-        """Each hash once: its documents over all runs and the document that keeps it."""
-        return self._merge(self.runs())
-
-
-def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    line = F.explode(F.split(text_or_empty(F.col("text")), "\n"))
-    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), line.alias("line"))
+        """Each hash once: its documents over all batches and the document that keeps it."""
+        rows = self._rows(self.runs())
+        if not self.later:
+            return rows
+        later = self.spark.read.schema("h1 long, h2 long, n_docs long").parquet(*self.later)
+        later = later.groupBy(*HASH).agg(F.sum("n_docs").alias("more"))
+        return rows.join(later, HASH, "left").select(*HASH, (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), "keeper")
+
+    def close(self) -> None:
+        """Drop the runs and what goes with them."""
+        for run in self.runs():
+            self._drop(run)
+        for path in self.later:
+            remove(self.spark, path)
+        self.levels, self.later = [], []
+
+
+def _places(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, body, pos, h1, h2) of each line that is long enough; body is a hash of its whole text."""
+    text = text_or_empty(F.col("text"))
+    lines = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
+        F.xxhash64(text).alias("body"),
+        F.posexplode(F.split(text, "\n")).alias("pos", "line"),
+    )
     lines = lines.filter(F.length(ascii_strip(F.col("line"))) >= min_chars)
-    return lines.select("doc_id", key_hash(F.col("line")).alias("h")).select("doc_id", "h.h1", "h.h2").distinct()
+    return lines.select("doc_id", "body", "pos", key_hash(F.col("line")).alias("h")).select("doc_id", "body", "pos", "h.h1", "h.h2")
 
 
 def dedup_lines(
     docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3, fanout: int = 2
 ) -> DataFrame:
-    """Documents without the repeated lines: doc_id, text, n_lines, n_dropped and ``kept``.
+    """Documents without the repeated lines: doc (all columns of docs), n_lines, n_dropped and ``kept``.
 
     Keys of at least min_chars code points found in at least min_docs documents lose
     all their lines but those in the largest doc_id that holds them. The documents
@@ -117,33 +143,32 @@ def dedup_lines(
     holds a key names the document that keeps it.
     """
     spark = docs.sparkSession
-    ids = _occurrences(docs, min_chars)
+    places = cut(_places(docs, min_chars), "line-places")
     cuts = [i / batches for i in range(1, batches)]
     bounds = docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", cuts, 0.01) if cuts else []
     batch = F.lit(0)
     for i, b in enumerate(bounds):
         batch = F.when(F.col("doc_id").cast("double") >= F.lit(b), F.lit(i + 1)).otherwise(batch)
-    ids = cut(ids.withColumn("batch", batch), "line-ids", partition_by="batch")
+    ids = cut(places.select("doc_id", *HASH).distinct().withColumn("batch", batch), "line-ids", partition_by="batch")
     runs = LineRuns(spark, fanout)
     for i in reversed(range(len(bounds) + 1)):
         runs.add(ids.filter(F.col("batch") == i).select(*HASH, "doc_id"))
-    repeated = runs.totals().filter(F.col("n_docs") >= min_docs).select(*HASH, "keeper")
-    drops = (
-        ids.join(repeated, HASH)
-        .filter(F.col("doc_id") != F.col("keeper"))
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct(*HASH)).alias("drops"))
-        .withColumnRenamed("doc_id", "line_doc")
-    )
-    lines = F.split(F.col("body"), "\n")
-    stays = F.filter(lines, lambda x: ~F.array_contains(F.col("drops"), key_hash(x)))
+    repeated = cut(runs.totals().filter(F.col("n_docs") >= min_docs).select(*HASH, "keeper"), "line-repeated")
+    runs.close()
+    drops = places.join(repeated, HASH).filter(F.col("doc_id") != F.col("keeper"))
+    drops = cut(drops.groupBy("doc_id", "body").agg(F.collect_set("pos").alias("drops")), "line-drops")
+    drops = drops.withColumnsRenamed({"doc_id": "line_doc", "body": "line_body"})
     out = docs.select(F.struct("*").alias("doc"), text_or_empty(F.col("text")).alias("body"))
-    out = out.join(drops, F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(NO_ID)) == F.col("line_doc"), "left")
-    out = out.withColumn("n_lines", F.size(lines).cast("long"))
-    out = out.withColumn("stays", F.when(F.col("drops").isNotNull(), stays))
+    same_id = F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(NO_ID)) == F.col("line_doc")
+    out = out.join(drops, same_id & (F.xxhash64("body") == F.col("line_body")), "left")
+    # a column of its own, used more than once, so that it is split once and not for each line
+    out, lines = out.withColumn("lines", F.split("body", "\n")), F.col("lines")
+    # array_except works on hashed numbers: its time is that of the lines, however many of them go
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
+    stays = F.transform(stay, lambda i: F.element_at(lines, i + 1))
     return out.select(
         "doc",
-        "n_lines",
-        F.when(F.col("stays").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("stays")).cast("long").alias("n_dropped"),
-        F.coalesce(F.array_join("stays", "\n"), F.col("body")).alias("kept"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.when(F.col("drops").isNotNull(), F.col("drops"))), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("drops").isNull(), F.col("body")).otherwise(F.array_join(stays, "\n")).alias("kept"),
     )

@@ -68,6 +68,18 @@ def test_runs_hold_each_line_once_and_levels_compact(spark):
     assert [len(x) for x in runs.levels] == [1, 1]
     got = {r["h1"]: (r["n_docs"], r["keeper"]) for r in runs.totals().collect()}
     assert got == {i: (1 + (5 <= i < 10) + (i < 3), 30 if i < 10 else 20) for i in range(15)}
+    held = [r["h1"] for run in runs.runs() for r in spark.table(run).collect()]
+    assert sorted(held) == list(range(15))
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_many_lines_and_ids_that_repeat_with_other_texts(spark):
+    line = lambda k: f"line {k} that is long enough to count as one of those that repeat"
+    data = [(k % 7, "\n".join(line(j) for j in range(k, 3000, 1 + k % 3)) + f"\nend {k}") for k in range(15)]
+    data += [(None, f"{line(1)}\n{line(1)}\nno id {k}") for k in range(4)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert ours(D.dedup_lines(df)) == slow_dedup(data)
 
 
 def test_license_query(spark):
