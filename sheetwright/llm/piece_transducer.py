@@ -1,20 +1,25 @@
 """SentencePiece encoding and decoding as shortest paths through a weighted transducer.
 
-Compiled from a model file:
-
-* the normaliser maps characters to characters (white space to U+2581, with a dummy one in front);
-* the piece transducer reads characters and writes ids; its arcs are the pieces, and for
-  characters that no piece holds, the bytes of their UTF-8 form (byte fallback);
-* weights are in the tropical semiring (min, +). In a unigram model an arc weighs
-  minus its piece's score and any arc may follow any other. In a BPE model the state
-  is the last piece: piece v may follow u only where merging "u v" by the scores
-  gives u and v again (weight 1, else infinity). A sequence of pieces is what
-  BPE makes of a text just if each two neighbours are such a pair, so one path is left.
-
-A text is composed with this arc by arc, in order of its characters. No piece crosses
-from other characters into white space, or between classes of characters, so every
-path passes the states between them; the parts between such states are solved one by
-one and remembered within a task.
+Compiled once from a model file into one table of arcs (state, character) -> state:
+
+* normaliser: its map of blank to U+2581 is composed with the pieces at once, so that each arc
+  on U+2581 has a twin on the blank; a dummy U+2581 stands in front of each text;
+* pieces: a trie from the initial state; where a piece ends, its id is written and the
+  initial state entered again, now with that piece as history;
+* byte fallback: a character on no arc from the initial state has an arc of its own, which
+  writes the bytes of its UTF-8 form.
+
+Weights are in the tropical semiring (min, +). In a unigram model a piece weighs minus its score,
+whatever its history. In a BPE model piece v after u weighs 1 if merging by the scores would leave
+both as they are, else infinity; this is read from the compiled splits: undo the later merge
+of the two pieces again and again, and see whether their inner neighbours would have merged
+across the border before. A sequence of pieces is what BPE makes of a text just if each two
+neighbours have finite weight, so each prefix has one history and the whole text one path.
+
+A text is composed with the table arc by arc, in order of its characters, and each position
+keeps the least weight and the arc that gave it. No piece crosses from other characters into
+white space, or between classes of characters, so every path passes the positions between
+them; the parts between such positions are solved one by one and remembered within a task.
 
 Models whose normaliser has a character map or collapses white space are refused.
 
@@ -34,9 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-#: Parts remembered in a task at most, and pairs of pieces; then the memory starts anew.
-MEMORY, PAIRS = 300_000, 500_000
-UNKNOWN_WEIGHT = 1e6
+#: Parts remembered in a task at most, and weights of pairs of pieces; then the memory starts anew.
+MEMORY, PAIRS = 250_000, 300_000
+UNKNOWN_WEIGHT, FAR = 1e6, float("inf")
+#: Bits of a character in a key of the arc table.
+CHAR = 21
 
 
 def _runs(pieces) -> re.Pattern:
@@ -64,7 +71,7 @@ def _runs(pieces) -> re.Pattern:
     for c in root:
         classes.setdefault(top(c), []).append(c)
     sets = sorted(("".join(map(re.escape, sorted(x))) for x in classes.values()), key=lambda x: (-len(x), x))
-    return re.compile(f"{BLANK}*(?:{''.join(f'[{x}]+|' for x in sets)}[^{BLANK}])|{BLANK}+", re.DOTALL)
+    return re.compile(f"[{BLANK} ]*(?:{''.join(f'[{x}]+|' for x in sets)}[^{BLANK} ])|[{BLANK} ]+", re.DOTALL)
 
 
 class PieceTransducer:
@@ -85,7 +92,6 @@ class PieceTransducer:
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in plain and p.type != kind.UNUSED}
         self.score = [p.score for p in proto.pieces]
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kind.BYTE}
-        self.longest = max(map(len, self.ids), default=1)
         self.unknown = next((i for i, p in enumerate(proto.pieces) if p.type == kind.UNKNOWN), 0)
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("a piece has white space behind other characters")
@@ -96,101 +102,101 @@ class PieceTransducer:
             b"" if i in silent else bytes([value[i]]) if i in value else p.replace(BLANK, " ").encode()
             for i, p in enumerate(self.pieces)
         ]
-        self.pair: dict[tuple[str, str] | int, bool] = {}
+        self.pair: dict[int, float] = {}
         self.known: dict[str, tuple[int, ...]] = {}
-
-    def _merge(self, text: str) -> list[str]:
-        """Merge neighbours, the best score and then the leftmost first, until no two make a piece."""
-        parts, ids, score = list(text), self.ids, self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or score[i] > best):
-                    best, at = score[i], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _follows(self, u: str, v: str) -> bool:
-        """Whether piece v may follow piece u: weight 1, else infinity."""
-        i, j = self.ids.get(u), self.ids.get(v)
-        key = (u, v) if i is None or j is None else i << 24 | j
-        found = self.pair.get(key)
-        if found is None:
-            if len(self.pair) >= PAIRS:
-                self.pair.clear()
-            found = self.pair[key] = self._merge(u + v) == [u, v]
-        return found
-
-    def _path(self, text: str) -> tuple[int, ...]:
-        """Ids on the shortest path over a part of the normalised text."""
-        return self._ids(self._merged_path(text) if self.bpe else self._lightest_path(text))
-
-    def _merged_path(self, text: str) -> list[str]:
-        """The one path of finite weight of a BPE model, found depth first; states that lead nowhere are not entered again."""
-        n, ids, longest = len(text), self.ids, self.longest
-        path, ends, dead = [], [0], set()
-        i, j = 0, min(n, longest)  # the piece to try next is text[i:j], the longest first
-        while i < n:
-            while j > i:
-                v = text[i:j]
-                if (v in ids or j == i + 1) and j not in dead and (self._follows(path[-1], v) if i else len(v) == 1 or self._whole(v)):
-                    break
-                j -= 1
-            if j > i:
-                path.append(v)
-                ends.append(j)
-                i, j = j, min(n, j + longest)
-            else:
-                dead.add(i)
-                j = ends.pop() - 1
-                path.pop()
-                i = ends[-1]
-        return path
-
-    def _lightest_path(self, text: str) -> list[str]:
-        """The shortest path where any piece may follow any other, by relaxing the arcs in order of the characters."""
-        n, ids = len(text), self.ids
-        best: list[tuple[float, int]] = [(0.0, 0)] + [(np.inf, 0)] * n
+        self._compile()
+
+    def _compile(self) -> None:
+        """The arc table, and for BPE each piece's rank and the two pieces that its last merge joined."""
+        order = {x: k for k, x in enumerate(sorted({self.score[i] for i in self.ids.values()}, reverse=True))}
+        self.rank = {p: -1 if len(p) == 1 else order[self.score[i]] for p, i in self.ids.items()}
+        self.split: dict[str, tuple[str, str]] = {}
+        if self.bpe:
+            whole = {p for p in self.ids if len(p) == 1} | {c for p in self.ids for c in p}
+            for p in sorted((p for p in self.ids if len(p) > 1), key=lambda p: (self.rank[p], len(p))):
+                for k in range(1, len(p)):
+                    u, v = p[:k], p[k:]
+                    if u in whole and v in whole and self._stand(u, v, self.rank[p]):
+                        self.split[p] = u, v
+                        whole.add(p)
+                        break
+        self.arc: dict[int, int] = {}
+        self.writes: list[int] = [-1]
+        for p, i in self.ids.items():
+            if self.bpe and len(p) > 1 and p not in self.split:
+                continue  # merging never makes it
+            state = 0
+            for c in p:
+                key = state << CHAR | ord(c)
+                if key not in self.arc:
+                    self.writes.append(-1)
+                    self.arc[key] = len(self.writes) - 1
+                    if c == BLANK:
+                        self.arc[state << CHAR | ord(" ")] = self.arc[key]
+                state = self.arc[key]
+            self.writes[state] = i
+
+    def _stand(self, u: str, v: str, limit: float = FAR) -> bool:
+        """Whether no merge takes place across the border of neighbours u and v before ``limit``."""
+        rank = self.rank
+        while True:
+            if rank.get(u + v, FAR) < limit:
+                return False
+            made_u, made_v = rank.get(u, -1), rank.get(v, -1)
+            if made_u < 0 and made_v < 0:
+                return True
+            if made_u > made_v:
+                limit, u = made_u, self.split[u][1]
+            else:  # of equal merges the left one is the first, so one across the border goes before that of v
+                limit, v = made_v + 1, self.split[v][0]
+
+    def _after(self, u: int, v: int) -> float:
+        """Weight of piece v after piece u in a BPE model."""
+        if len(self.pair) >= PAIRS:
+            self.pair.clear()
+        w = self.pair[u << 32 | v] = 1.0 if self._stand(self.pieces[u], self.pieces[v]) else FAR
+        return w
+
+    def _shortest(self, text: str) -> tuple[int, ...]:
+        """What the shortest path over a part of the text writes."""
+        n, arc, writes, bpe, score, pair = len(text), self.arc.get, self.writes, self.bpe, self.score, self.pair
+        codes = [ord(c) for c in text]
+        far, last, back = [0.0] + [FAR] * n, [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = ids.get(text[i:j])
-                if piece is None and j > i + 1:
-                    continue
-                w = best[i][0] + (UNKNOWN_WEIGHT if piece is None else -self.score[piece])
-                if w < best[j][0]:
-                    best[j] = (w, i)
-        path, j = [], n
-        while j:
-            path.append(text[best[j][1] : j])
-            j = best[j][1]
-        return path[::-1]
-
-    def _ids(self, path: list[str]) -> tuple[int, ...]:
-        """The output labels of a path; a character that is no piece gives its bytes."""
+            state, j, here, u = arc(codes[i], -1), i + 1, far[i], last[i]
+            while state >= 0:
+                v = writes[state]
+                if v >= 0 and (not bpe or far[j] == FAR):  # a BPE prefix has one path: no other can be finite
+                    if not bpe:
+                        w = -score[v]
+                    elif u < 0:
+                        w = 1.0
+                    else:
+                        w = pair.get(u << 32 | v) or self._after(u, v)
+                    w += here
+                    if w < far[j]:
+                        far[j], last[j], back[j] = w, v, i
+                if j == n:
+                    break
+                state = arc(state << CHAR | codes[j], -1)
+                j += 1
+            if far[i + 1] == FAR and writes[arc(codes[i], 0)] < 0:  # byte fallback
+                far[i + 1], last[i + 1], back[i + 1] = here + UNKNOWN_WEIGHT, -1, i
         out: list[int] = []
-        for v in path:
-            i = self.ids.get(v)
-            if i is not None:
-                out.append(i)
+        while n:
+            i = back[n]
+            if last[n] >= 0:
+                out.append(last[n])
             elif self.byte:
-                out += [self.byte[b] for b in v.encode()]
+                out += [self.byte[b] for b in reversed(text[i:n].encode())]
             else:
                 out.append(self.unknown)
-        return tuple(out)
-
-    def _whole(self, v: str) -> bool:
-        """Whether merging makes the piece v of its characters."""
-        found = self.pair.get(v)
-        if found is None:
-            found = self.pair[v] = self._merge(v) == [v]
-        return found
+            n = i
+        return tuple(out[::-1])
 
     def parts(self, text: str) -> list[str]:
-        """The normalised text, cut where no piece crosses."""
-        return self.runs.findall((BLANK if self.dummy else "") + text.replace(" ", BLANK))
+        """The text behind its dummy blank, cut where no piece crosses."""
+        return self.runs.findall((BLANK if self.dummy else "") + text)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -199,10 +205,10 @@ class PieceTransducer:
         for part in self.parts(text):
             ids = known.get(part)
             if ids is None:
-                if len(known) >= MEMORY:
-                    known.clear()
-                ids = self._path(part)
+                ids = self._shortest(part)
                 if len(part) <= 64:
+                    if len(known) >= MEMORY:
+                        known.clear()
                     known[part] = ids
             out += ids
         return out
