@@ -52,14 +52,15 @@ def shape_slots(ids: np.ndarray, distinct: list[bytes], bits: int, last: int = 3
     return _slot(crc + np.uint64(0x7F4A7C15), bits)
 
 
-def char_slots(text: bytes, bits: int, n: int = 4) -> np.ndarray:
-    """Slots of the n-grams (n up to 8) of UTF-8 bytes, white space runs as they are."""
-    b = np.frombuffer(text, np.uint8).astype(np.uint64)
-    if len(b) < n:
+def char_slots(text: str, bits: int, n: int = 4) -> np.ndarray:
+    """Slots of the n-grams of code points, white space runs as they are."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(c) < n:
         return np.zeros(0, np.int32)
-    h = b[: len(b) - n + 1].copy()
+    h = c[: len(c) - n + 1].copy()
     for k in range(1, n):
-        h = (h << np.uint64(8)) | b[k : len(b) - n + 1 + k]
+        h *= np.uint64(1000003)
+        h += c[k : len(c) - n + 1 + k]
     return _slot(h + np.uint64(0x5BD1E995), bits)
 
 

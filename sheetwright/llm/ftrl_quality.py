@@ -2,6 +2,8 @@
 
 It learns from a bounded, documented sample of labelled rows (SAMPLE); every text is scored.
 A score is the sigmoid of a bias and the sparse dot product of weights and n-gram shares.
+Beside n-grams of words it has two kinds of features made of them: word endings in which each
+letter or digit stands for its kind, and one slot shared by all n-grams that repeat one word.
 
 Edge cases: null and empty texts have no n-grams and score the sigmoid of the bias;
 without usable labels every score is 0.5; a null doc_id is in the training fold of none

@@ -1,8 +1,11 @@
 """Quality rules: fixed rules on counts, then a calibrated hashed n-gram model against a fixed threshold.
 
-The model is a logistic regression over hashed word and character n-grams, trained on
-a bounded, documented sample of labelled rows (SAMPLE) by AdaGrad; a fifth of the
-sample is set aside for Platt calibration. Texts are scored whole, in Arrow batches.
+The model is a logistic regression over hashed n-grams of words (to ORDER) and of characters
+(CHARS code points), each a share of its family. It is trained on a bounded, documented
+sample of labelled rows (SAMPLE) by AdaGrad, one row at a time: with g the gradient of the
+logistic loss and the ridge, and G the sum of its squares so far, w -= RATE * g / sqrt(G). A fifth
+of the sample is set aside for Platt calibration, so that probabilities are right on rows it
+hasn't learned from. Texts are scored whole, in Arrow batches.
 
 Edge cases: null and empty texts have no words and fail the rules; without labels of
 both kinds the model rejects nothing; each input row gives one row, and all its
@@ -24,10 +27,12 @@ from .features import char_slots, labelled_sample, mean_score, sample_features,
 BITS, ORDER, CHARS = 18, 2, 4
 #: Labelled rows that the model learns from, at most.
 SAMPLE = 5_000
-RATE, RIDGE, EPOCHS = 4.0, 1e-6, 4
+RATE, RIDGE, EPOCHS = 3.0, 1e-6, 4
 #: Fixed thresholds: the least number of words, the most repeated words in a hundred, the least probability of quality.
 MIN_WORDS, MAX_REPEAT, MIN_QUALITY = 50, 50, 0.3
 SYMBOLS = "#*$%&|<>"
+#: Rows of a batch that goes back to Spark.
+ROWS = 1_000
 _SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -59,7 +64,7 @@ def counts(text: str, ids: np.ndarray, distinct: int) -> tuple[int, int, int, in
 
 
 def families(text: bytes) -> list[np.ndarray]:
-    return [*word_slots(*word_ids(text.split()), BITS, ORDER), char_slots(text, BITS, CHARS)]
+    return [*word_slots(*word_ids(text.split()), BITS, ORDER), char_slots(text.decode(), BITS, CHARS)]
 
 
 def fit_calibrated(rows) -> bytes:
@@ -75,7 +80,7 @@ def fit_calibrated(rows) -> bytes:
             at, x = np.concatenate((slots, one)), np.concatenate((values, [0.1]))
             g = (sigmoid(float(w[at] @ x)) - y) * x + RIDGE * w[at]
             g2[at] += g * g
-            w[at] -= RATE * g / np.sqrt(g2[at]) * x.clip(0.0, 1.0) ** 0.5
+            w[at] -= RATE * g / np.sqrt(g2[at])
     w[-1] *= 0.1
     s = np.array([float(w[r[1]] @ r[2]) + w[-1] for r in held])
     y = np.array([r[0] for r in held], float)
@@ -103,19 +108,19 @@ def judge(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(shared.value, np.float32)
         w, (bias, slope, offset) = w[:-3], w[-3:].astype(float)
-        for b in batches:
-            rows = []
-            for t in b.column(where).cast(pa.string()):
-                text = t.as_py() or ""
-                raw = text.encode()
-                ids, distinct = word_ids(raw.split())
-                grams = [*word_slots(ids, distinct, BITS, ORDER), char_slots(raw, BITS, CHARS)]
-                quality = float(sigmoid(slope * (mean_score(grams, w) + bias) + offset))
-                rows.append((*counts(text, ids, len(distinct)), quality))
-            new = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64()] * 5 + [pa.float64()]
-            arrays = [*b.columns, *(pa.array(v, k) for v, k in zip(new, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*plain, *names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):  # small batches out, as texts go with them
+                b, rows = whole.slice(at, ROWS), []
+                for t in b.column(where).cast(pa.string()):
+                    text = t.as_py() or ""
+                    ids, distinct = word_ids(text.encode().split())
+                    grams = [*word_slots(ids, distinct, BITS, ORDER), char_slots(text, BITS, CHARS)]
+                    quality = float(sigmoid(slope * (mean_score(grams, w) + bias) + offset))
+                    rows.append((*counts(text, ids, len(distinct)), quality))
+                new = list(zip(*rows, strict=True))
+                kinds = [pa.int64()] * 5 + [pa.float64()]
+                arrays = [*b.columns, *(pa.array(v, k) for v, k in zip(new, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*plain, *names])
 
     flat = docs.toDF(*plain)
     new = T.StructType([T.StructField(n, T.DoubleType() if n == "_quality" else T.LongType()) for n in names])

@@ -49,6 +49,66 @@ def test_counts_and_verdicts(spark, labelled):
     assert kept_good >= 0.98 * good and kept_bad <= 0.1 * bad
 
 
+def test_verdict_and_calibration_on_labels_it_has_not_seen(spark):
+    """Labels of half the ids are hidden from the model; its probabilities then hold on them."""
+    docs, labels = (table(spark, f"{DATA}/sf0.1", t) for t in ("documents", "labels"))
+    seen = labels.filter("doc_id % 2 = 0")
+    truth = {r["doc_id"]: r["quality"] for r in labels.filter("doc_id % 2 = 1").collect()}
+    rows = [(r["quality"], truth[r["doc"]["doc_id"]], r["kept"], r["base_failed"]) for r in R.apply_rules(docs, seen, sample=1000).collect() if r["doc"]["doc_id"] in truth]
+    assert len(rows) > 1500
+    assert sum((p >= 0.5) == (y == 1) for p, y, _, _ in rows) >= 0.98 * len(rows)
+    assert all(kept == (not failed and p >= R.MIN_QUALITY) for p, _, kept, failed in rows)
+    for low, high in ((0.0, 0.1), (0.1, 0.9), (0.9, 1.01)):
+        some = [(p, y) for p, y, _, _ in rows if low <= p < high]
+        off = abs(sum(p - y for p, y in some)) / max(1, len(some))
+        assert off <= 0.03 + 1.5 / max(1, len(some)) ** 0.5
+    assert sum((p - y) ** 2 for p, y, _, _ in rows) / len(rows) < 0.02
+
+
+def test_character_grams_are_of_code_points():
+    from sheetwright.llm.features import char_slots
+
+    a, b = char_slots("漢字漢字漢", 18, 4), char_slots("漢字漢字字", 18, 4)
+    assert len(a) == 2 and a[0] == b[0] and a[1] != b[1] and len(char_slots("漢字漢", 18, 4)) == 0
+
+
+def slow_ftrl(rows, n):
+    """FTRL-proximal as in the paper, weight by weight."""
+    import math
+
+    z, g2 = [0.0] * n, [0.0] * n
+
+    def weight(i):
+        if abs(z[i]) <= Q.L1:
+            return 0.0
+        return -(z[i] - math.copysign(Q.L1, z[i])) / ((Q.BETA + math.sqrt(g2[i])) / Q.ALPHA + Q.L2)
+
+    for _ in range(Q.EPOCHS):
+        for y, x in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(g2[i] + g * g) - math.sqrt(g2[i])) / Q.ALPHA * w[i]
+                g2[i] += g * g
+    return [weight(i) for i in range(n)]
+
+
+def test_ftrl_against_the_formula():
+    import random
+
+    import numpy as np
+
+    rng, bias = random.Random(1), 1 << Q.BITS
+    rows = []
+    for _ in range(60):
+        slots = sorted(rng.sample(range(40), 6))
+        rows.append((rng.randint(0, 1), np.array(slots, np.int32), np.array([rng.random() for _ in slots], np.float32)))
+    got = np.frombuffer(Q.fit_ftrl(rows), np.float32)
+    want = slow_ftrl([(y, {**dict(zip(s.tolist(), v.tolist(), strict=True)), 40: 0.1}) for y, s, v in rows], 41)
+    assert np.allclose(got[:40], want[:40], atol=1e-5) and abs(got[bias] - 0.1 * want[40]) < 1e-5
+
+
 def test_edges(spark, labelled):
     docs = documents(spark, extra=[(20, "a b a b a b c", "en", "a", 1), (21, "<#> <#>\n<#> <#>\n\n", "en", "a", 1)])
     for labels in (labelled[1], spark.createDataFrame([], LABELS), spark.createDataFrame([(3, 1, 0), (None, 1, 0), (4, None, 0)], LABELS)):
