@@ -8,8 +8,10 @@ classes. So the model's tables are bounded while its counts cover every word, an
     log p(text) = log p(classes of the text; HMM) + sum of log p(word | class).
 
 Each Baum-Welch round reads every training token; partitions add up expected counts and
-only these sums (classes x states) reach the driver. Training sequences are the texts
-cut into SEGMENT tokens; scoring runs over whole texts.
+only these sums (classes x states) reach the driver. Training and scoring both run over whole
+texts. For training the texts of a batch are strung together in lanes that run side by side;
+a lane starts anew at each text. The forward pass keeps the states at every STRETCH-th step
+only; the backward pass computes those between again, so memory doesn't grow with a text.
 
 Counts of common words (HEAD of them, a bounded table) are broadcast; those of all other
 words meet the texts in a join, of a row for each text and rare word.
@@ -21,6 +23,7 @@ their own; only doc_id and text are read.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,12 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, cut
 
-STATES, OWN_CLASSES, BUCKETS, HEAD, SEGMENT, ROUNDS, SEED = 8, 16_384, 4_096, 262_144, 256, 4, 42
+STATES, OWN_CLASSES, BUCKETS, HEAD, ROUNDS, SEED = 8, 16_384, 4_096, 262_144, 4, 42
 FOLDS, HELD = 7, 2
 #: Pseudo-count of each class in each state, and of each transition.
 SMOOTH = 0.05
-#: Sequences that a task runs side by side; words it counts before it passes them on.
-LANES, FLUSH = 512, 200_000
+#: Lanes that a task runs side by side, steps between kept states; words it counts before it passes them on.
+LANES, STRETCH, FLUSH = 512, 256, 200_000
 END = b""
 _TRANSITION, _INITIAL, _LIKELIHOOD = -1000, -2000, -3000
 
@@ -97,10 +100,29 @@ class Vocabulary:
         return out
 
 
+def common_words(counts: DataFrame, limit: int) -> DataFrame:
+    """(word, c) of about the ``limit`` commonest words, from every partition its own.
+
+    A histogram of counts (by value to 2**16, then by 1/1024 of a doubling, a bounded table) gives
+    the level down to which all words fit; of the next level a part by hash fills the rest.
+    """
+    level = F.when(F.col("c") < 1 << 16, F.col("c")).otherwise((1 << 16) + F.floor(1024 * (F.log2("c") - 16))).cast("long")
+    rows = counts.withColumn("level", level)
+    room, least, part = limit, 0, 0.0
+    for r in sorted(rows.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        if r["count"] > room:
+            least, part = r["level"] + 1, room / r["count"]
+            break
+        room -= r["count"]
+    of_next = (F.col("level") == least - 1) & (F.pmod(F.xxhash64("word"), F.lit(1 << 32)) < int(part * (1 << 32)))
+    return rows.filter((F.col("level") >= least) | of_next).select("word", "c")
+
+
 def vocabulary(counts: DataFrame, head: int = HEAD, own: int = OWN_CLASSES, buckets: int = BUCKETS) -> Vocabulary:
     tokens, types = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()
-    words, c = top.column(0).to_pylist(), top.column(1).to_numpy().astype(np.int64)
+    top = common_words(counts, head).toArrow()
+    top = sorted(zip(top.column(1).to_pylist(), top.column(0).to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
+    words, c = [w for _, w in top], np.array([n for n, _ in top], np.int64)
     spread = np.ones(buckets)
     for r in counts.groupBy((F.crc32("word") % buckets).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         spread[r["k"]] += r["c"] + r["n"]
@@ -161,9 +183,9 @@ def first_guess(class_counts: np.ndarray, states: int = STATES, seed: int = SEED
     return Hmm(np.full(states, 1 / states), a / a.sum(1, keepdims=True), e / e.sum(0))
 
 
-def forward(hmm: Hmm, seqs: list[np.ndarray], keep: bool = False):
-    """Natural log likelihood of each sequence; with keep also the scaled states and scales by step. Longest first."""
-    log, states, scales = np.zeros(len(seqs)), [], []
+def forward(hmm: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
+    """Natural log likelihood of each sequence. Longest first."""
+    log = np.zeros(len(seqs))
     lengths = np.array([len(s) for s in seqs])
     flat, start = np.concatenate(seqs).astype(np.int64), np.concatenate(([0], np.cumsum(lengths)[:-1]))
     alpha = None
@@ -174,30 +196,70 @@ def forward(hmm: Hmm, seqs: list[np.ndarray], keep: bool = False):
         scale = alpha.sum(1)
         alpha /= scale[:, None]
         log[:n] += np.log(scale)
-        if keep:
-            states.append(alpha)
-            scales.append(scale)
-    return (log, states, scales, flat, start) if keep else log
+    return log
+
+
+def lanes_of(seqs: list[np.ndarray], blank: int) -> tuple[np.ndarray, np.ndarray]:
+    """(steps x lanes of classes, whether a text starts): the sequences strung together in lanes of about one length.
+
+    The rest of a lane is ``blank``, of which the first starts a text of its own.
+    """
+    total, longest = sum(map(len, seqs)), max(map(len, seqs))
+    lanes = [(0, k, []) for k in range(max(1, min(LANES, len(seqs), -(-total // longest))))]
+    for s in sorted(seqs, key=len, reverse=True):
+        used, k, held = lanes[0]
+        held.append(s)
+        heapq.heapreplace(lanes, (used + len(s), k, held))
+    steps = max(used for used, _, _ in lanes)
+    seen, starts = np.full((steps, len(lanes)), blank, np.int32), np.zeros((steps, len(lanes)), bool)
+    for n, (used, _, held) in enumerate(lanes):
+        seen[:used, n] = np.concatenate(held) if held else 0
+        at = np.cumsum([0, *map(len, held)])
+        starts[at[at < steps], n] = True
+    return seen, starts
 
 
 def expected_counts(hmm: Hmm, seqs: list[np.ndarray]):
-    """Initial, transition and class x state counts, and the log likelihood. Longest sequence first."""
-    log, states, scales, flat, start = forward(hmm, seqs, keep=True)
-    xi, gammas, classes, beta = np.zeros_like(hmm.transition), [], [], None
-    for t in reversed(range(len(states))):
-        n = len(states[t])
-        if beta is None or len(beta) < n:
-            beta = np.concatenate((beta, np.ones((n - len(beta), len(xi))))) if beta is not None else np.ones((n, len(xi)))
-        seen = flat[start[:n] + t]
-        gammas.append(states[t] * beta)
-        classes.append(seen)
-        if t:
-            ahead = hmm.emission[seen] * beta / scales[t][:, None]
-            xi += states[t - 1][:n].T @ ahead
-            beta = ahead @ hmm.transition.T
-    gamma, seen = np.concatenate(gammas), np.concatenate(classes)
-    emission = np.stack([np.bincount(seen, gamma[:, s], len(hmm.emission)) for s in range(gamma.shape[1])], axis=1)
-    return gammas[-1].sum(0), xi * hmm.transition, emission, log.sum()
+    """Initial, transition and class x state counts, and the log likelihood, over whole sequences."""
+    blank, states = hmm.emission.shape
+    emission = np.concatenate((hmm.emission, np.ones((1, states))))
+    seen, starts = lanes_of(seqs, blank)
+    steps, log = len(seen), 0.0
+
+    def ahead(alpha, t):
+        """The scaled states of step t and their scales."""
+        alpha = np.where(starts[t][:, None], hmm.initial, alpha @ hmm.transition) * emission[seen[t]]
+        scale = alpha.sum(1)
+        return alpha / scale[:, None], scale
+
+    alpha, kept = np.ones((seen.shape[1], states)), []
+    for t in range(steps):
+        if t % STRETCH == 0:
+            kept.append(alpha)
+        alpha, scale = ahead(alpha, t)
+        log += float(np.log(scale)[seen[t] != blank].sum())
+    initial, xi, counts = np.zeros(states), np.zeros((states, states)), np.zeros((blank + 1, states))
+    beta = np.ones_like(alpha)
+    for low in reversed(range(0, steps, STRETCH)):
+        alphas, scales = [kept[low // STRETCH]], []
+        for t in range(low, min(low + STRETCH, steps)):
+            alpha, scale = ahead(alphas[-1], t)
+            alphas.append(alpha)
+            scales.append(scale)
+        gammas = []
+        for t in reversed(range(low, low + len(scales))):
+            gamma = alphas[t - low + 1] * beta
+            gammas.append(gamma)
+            start = starts[t]
+            initial += gamma[start & (seen[t] != blank)].sum(0)
+            onward = emission[seen[t]] * beta / scales[t - low][:, None]
+            onward[start | (seen[t] == blank)] = 0.0
+            xi += alphas[t - low].T @ onward
+            beta = np.where(start[:, None], 1.0, onward @ hmm.transition.T)
+        classes, gamma = seen[low : low + len(scales)][::-1].ravel(), np.concatenate(gammas)
+        for k in range(states):
+            counts[:, k] += np.bincount(classes, gamma[:, k], blank + 1)
+    return initial, xi * hmm.transition, counts[:blank], log
 
 
 def _lanes(seqs: list[np.ndarray]) -> Iterator[list[int]]:
@@ -216,12 +278,8 @@ def baum_welch_round(rows: DataFrame, hmm: Hmm) -> tuple[Hmm, float]:
         m = shared.value
         initial, transition, emission, log = np.zeros(n), np.zeros((n, n)), np.zeros_like(m.emission), 0.0
         for b in batches:
-            seqs = []
-            for x in b.column(0):
-                c = np.frombuffer(x.as_py(), np.uint16)
-                seqs += [c[k : k + SEGMENT] for k in range(0, len(c), SEGMENT)]
-            for some in _lanes(seqs):
-                i, x, e, w = expected_counts(m, [seqs[k] for k in some])
+            if b.num_rows:
+                i, x, e, w = expected_counts(m, [np.frombuffer(c.as_py(), np.uint16) for c in b.column(0)])
                 initial, transition, emission, log = initial + i, transition + x, emission + e, log + w
         used = np.flatnonzero(emission.sum(1))
         keys = np.concatenate((used, _TRANSITION - np.arange(n), [_INITIAL, _LIKELIHOOD]))

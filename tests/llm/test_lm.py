@@ -42,6 +42,44 @@ def test_forward_and_counts():
     assert np.allclose(H.expected_counts(hmm, [seq])[2], want)
 
 
+def slow_counts(hmm, seq):
+    """Transition and emission counts of one sequence by unscaled forward and backward sums."""
+    n, a, e = len(seq), hmm.transition, hmm.emission
+    f, b = np.zeros((n, len(a))), np.ones((n, len(a)))
+    for t in range(n):
+        f[t] = (f[t - 1] @ a if t else hmm.initial) * e[seq[t]]
+    for t in reversed(range(n - 1)):
+        b[t] = a @ (e[seq[t + 1]] * b[t + 1])
+    p, counts = f[-1].sum(), np.zeros_like(e)
+    for t in range(n):
+        counts[seq[t]] += f[t] * b[t] / p
+    return sum((np.outer(f[t], e[seq[t + 1]] * b[t + 1]) * a / p for t in range(n - 1)), np.zeros_like(a)), counts, f[0] * b[0] / p, math.log(p)
+
+
+def test_lanes_of_whole_sequences(monkeypatch):
+    """Lanes with many texts, and stretches shorter than a text, count as each whole text alone does."""
+    rng = np.random.default_rng(4)
+    hmm = H.first_guess(rng.random(9) + 0.1, states=3)
+    seqs = [rng.integers(0, 9, k).astype(np.uint16) for k in (1, 90, 2, 33, 1, 7, 64, 20, 5)]
+    want = [slow_counts(hmm, s) for s in seqs]
+    for lanes, stretch in ((512, 256), (2, 8), (3, 1), (1, 13)):
+        monkeypatch.setattr(H, "LANES", lanes)
+        monkeypatch.setattr(H, "STRETCH", stretch)
+        initial, transition, emission, log = H.expected_counts(hmm, seqs)
+        assert np.allclose(transition, sum(w[0] for w in want)) and np.allclose(emission, sum(w[1] for w in want))
+        assert np.allclose(initial, sum(w[2] for w in want)) and abs(log - sum(w[3] for w in want)) < 1e-6
+
+
+def test_common_words_are_the_commonest(spark):
+    rng = np.random.default_rng(9)
+    c = {f"w{k}": int(x) for k, x in enumerate(rng.zipf(1.3, 4000).clip(1, 10**9))}
+    counts = spark.createDataFrame([(w.encode(), n) for w, n in c.items()], "word binary, c long")
+    for limit in (10, 300, 1500, 5000):
+        got = {r["word"].decode(): r["c"] for r in H.common_words(counts, limit).collect()}
+        left = max((n for w, n in c.items() if w not in got), default=0)
+        assert 0.8 * min(limit, 4000) <= len(got) <= limit * 1.1 + 10 and min(got.values()) >= left * (1 - 1 / 1000)
+
+
 def test_scores_of_edge_cases(spark, monkeypatch):
     logs, one = [], H.baum_welch_round
 
@@ -82,4 +120,5 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     from sheetwright.llm.queries import op2_hmm_lm
 
     r = op2_hmm_lm(spark, f"{DATA}/sf0.01").filter("held_out").groupBy().sum("base_score", "score").first()
+    print(r["sum(score)"] / r["sum(base_score)"])
     assert r["sum(score)"] > r["sum(base_score)"] * 0.97
