@@ -1,4 +1,9 @@
-"""Edits: turns and drags. A drag takes the photo out and puts it in (our choice, against a swap)."""
+"""Edits: turns and drags. A drag takes the photo out and puts it in (our choice, against a swap).
+
+Drags are sequential in an album, but they compose: the drags of a stretch of seq make one
+rearrangement, whatever the album's length and the other stretches. So stretches are worked on
+in tasks of their own, and only their results are put together in order.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Values of seq in a stretch, stretches (or results of them) put together at once, positions of a block.
+STRETCH, TOGETHER, BLOCK = 4_096, 16, 1 << 16
+_COLUMNS = ["album_id", "norm_path", "path", "pos", "rotation", "layout"]
+
 
 def net_rotation(edits: DataFrame) -> DataFrame:
     """album_id, norm_path, rotation: the sum of all quarter turns, 0 to 270; needs no order."""
@@ -33,19 +42,23 @@ def move_photo(manifest: DataFrame, start: int, to: int) -> DataFrame:
     return manifest.withColumn("pos", moved.otherwise(pos).cast("int"))
 
 
+def _moves(manifest: DataFrame, edits: DataFrame) -> DataFrame:
+    """album_id, seq, from_pos, to_pos, n (photos of the album) and stretch of each drag."""
+    n = manifest.groupBy("album_id").agg(F.count("*").alias("n"))
+    moves = edits.filter("op = 'move'").select("album_id", "seq", "from_pos", "to_pos", F.floor(F.col("seq") / STRETCH).cast("long").alias("stretch"))
+    return moves.join(n, "album_id")
+
+
 def apply_moves(manifest: DataFrame, edits: DataFrame) -> DataFrame:
     """The manifest after all drags of each album in order of seq, with ``move_error``.
 
-    Folds the moves over the album's paths, for lists of up to some thousand photos;
+    For lists of up to some thousand photos, as whole orders are put together;
     apply_moves_long is for longer ones. A drag with a position outside the album
-    changes nothing and is counted in move_error. Parallel over albums only.
+    changes nothing and is counted in move_error.
     """
-    moves = edits.filter("op = 'move'").groupBy("album_id").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "from_pos", "to_pos"))).alias("_moves")
-    )
-    cells = F.struct("pos", "norm_path", "path", "rotation", "layout")
-    lists = manifest.groupBy("album_id").agg(F.sort_array(F.collect_list(cells)).alias("_cells")).join(moves, "album_id", "left")
-    n = F.size("_cells")
+    n = F.col("n").cast("int")
+    move = F.struct("seq", "from_pos", "to_pos")
+    moves = _moves(manifest, edits).groupBy("album_id", "stretch").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(move)).alias("_moves"))
     fits = lambda m: (m["from_pos"] >= 0) & (m["from_pos"] < n) & (m["to_pos"] >= 0) & (m["to_pos"] < n)
     start = F.struct(F.sequence(F.lit(0), n - 1).alias("order"), F.lit(0).alias("errors"))
 
@@ -57,42 +70,126 @@ def apply_moves(manifest: DataFrame, edits: DataFrame) -> DataFrame:
             F.struct(state["order"].alias("order"), (state["errors"] + 1).alias("errors"))
         )
 
-    empty = F.expr("cast(array() as array<struct<seq:bigint,from_pos:int,to_pos:int>>)")
-    folded = lists.withColumn("_end", F.aggregate(F.coalesce("_moves", empty), start, step))
-    rows = folded.select("album_id", "_cells", F.col("_end.errors").alias("move_error"), F.posexplode("_end.order").alias("pos", "_was"))
-    cell = F.element_at("_cells", F.col("_was") + 1)
-    return rows.select(
-        "album_id", cell["norm_path"].alias("norm_path"), cell["path"].alias("path"), "pos",
-        cell["rotation"].alias("rotation"), cell["layout"].alias("layout"), "move_error",
+    folded = moves.withColumn("_end", F.aggregate("_moves", start, step)).select("album_id", "stretch", "n", "_end.order", "_end.errors")
+    parts = folded.groupBy("album_id").agg(
+        F.first("n").alias("n"), F.sum("errors").cast("int").alias("move_error"), F.sort_array(F.collect_list(F.struct("stretch", "order"))).alias("_parts")
     )
+    after = F.aggregate("_parts", F.sequence(F.lit(0), n - 1), lambda acc, p: F.transform(p["order"], lambda i: F.element_at(acc, i + 1)))
+    ends = parts.select("album_id", "move_error", F.posexplode(after).alias("_to", "pos"))
+    rows = manifest.select(*_COLUMNS).join(ends, ["album_id", "pos"], "left")
+    pos = F.coalesce("_to", "pos").alias("pos")
+    return rows.select("album_id", "norm_path", "path", pos, "rotation", "layout", F.coalesce("move_error", F.lit(0)).alias("move_error"))
+
+
+# A rearrangement as pieces: stretches (start, length) of the old list in the order of the new one.
+
+
+def _compact(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces with neighbours that follow each other in both lists made one."""
+    first = np.r_[True, start[1:] != start[:-1] + length[:-1]]
+    return start[first], np.add.reduceat(length, np.flatnonzero(first))
+
+
+def drag(start: np.ndarray, length: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces after the photo at a was taken out and put in at b."""
+    ends = np.cumsum(length)
+    k = int(np.searchsorted(ends, a, "right"))
+    inside = a - (ends[k] - length[k])
+    x = start[k] + inside
+    rest_start = np.r_[start[:k], start[k], x + 1, start[k + 1 :]]
+    rest_length = np.r_[length[:k], inside, length[k] - inside - 1, length[k + 1 :]]
+    ends = np.cumsum(rest_length)
+    k = min(int(np.searchsorted(ends, b, "right")), len(ends) - 1)
+    inside = b - (ends[k] - rest_length[k])
+    out_start = np.r_[rest_start[:k], rest_start[k], x, rest_start[k] + inside, rest_start[k + 1 :]]
+    out_length = np.r_[rest_length[:k], inside, 1, rest_length[k] - inside, rest_length[k + 1 :]]
+    some = out_length > 0
+    return out_start[some], out_length[some]
+
+
+def compose(first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of one rearrangement after another."""
+    (start, length), (s, n) = first, then
+    ends = np.cumsum(length)
+    low, high = np.searchsorted(ends, s, "right"), np.searchsorted(ends, s + n - 1, "right")
+    many = high - low + 1
+    of = np.repeat(np.arange(len(s)), many)
+    piece = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + low[of]
+    begin = ends[piece] - length[piece]
+    a, b = np.maximum(s[of], begin), np.minimum(s[of] + n[of], ends[piece])
+    return _compact(start[piece] + a - begin, b - a)
+
+
+def _pack(album, stretch, n, errors, pieces) -> pd.DataFrame:
+    return pd.DataFrame([{"album_id": album, "stretch": stretch, "n": n, "errors": errors, "start": pieces[0].tobytes(), "length": pieces[1].tobytes()}])
+
+
+def _unpack(r) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(r.start, np.int64), np.frombuffer(r.length, np.int64)
+
+
+def rearrangements(manifest: DataFrame, edits: DataFrame) -> DataFrame:
+    """album_id, stretch, n, errors, start, length: the pieces of all drags of each album, in one row with stretch 0."""
+    schema = "album_id long, stretch long, n long, errors long, start binary, length binary"
+
+    def fold(key, moves):
+        n, errors = int(moves["n"].iloc[0]), 0
+        pieces = np.array([0]), np.array([n])
+        for a, b in moves.sort_values(["seq", "from_pos", "to_pos"])[["from_pos", "to_pos"]].itertuples(index=False):
+            if 0 <= a < n and 0 <= b < n:
+                pieces = drag(*pieces, int(a), int(b))
+            else:
+                errors += 1
+        return _pack(key[0], key[1], n, errors, _compact(*pieces))
+
+    def together(key, parts):
+        rows = list(parts.sort_values("stretch").itertuples())
+        pieces = _unpack(rows[0])
+        for r in rows[1:]:
+            pieces = compose(pieces, _unpack(r))
+        return _pack(key[0], key[1], rows[0].n, sum(r.errors for r in rows), pieces)
+
+    moves = _moves(manifest, edits)
+    bounds = moves.agg(F.min("stretch"), F.max("stretch")).first()
+    low, spread = bounds[0] or 0, (bounds[1] or 0) - (bounds[0] or 0)
+    parts = moves.withColumn("stretch", F.col("stretch") - low).groupBy("album_id", "stretch").applyInPandas(fold, schema)
+    while spread > 0:
+        parts = parts.withColumn("stretch", F.floor(F.col("stretch") / TOGETHER).cast("long")).groupBy("album_id", "stretch").applyInPandas(together, schema)
+        spread //= TOGETHER
+    return parts
 
 
 def apply_moves_long(manifest: DataFrame, edits: DataFrame) -> DataFrame:
-    """apply_moves for albums of any length: a drag shifts a stretch of one array, an album is one group.
+    """apply_moves for albums of any length: no task holds an album's list or all its drags.
 
-    The moves of an album are sequential, so its list must fit in a task's memory.
+    What is left of the drags are the pieces that they cut the list into, at most three
+    a drag; a block of positions meets those that lie in it.
     """
-    columns = ["album_id", "norm_path", "path", "pos", "rotation", "layout"]
-
-    def fold(cells: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values("pos", ignore_index=True)
-        order, n, errors = np.arange(len(cells)), len(cells), 0
-        for a, b in moves.sort_values("seq")[["from_pos", "to_pos"]].itertuples(index=False):
-            if not (0 <= a < n and 0 <= b < n):
-                errors += 1
-                continue
-            a, b = int(a), int(b)
-            x = order[a]
-            if a < b:
-                order[a:b] = order[a + 1 : b + 1].copy()
-            else:
-                order[b + 1 : a + 1] = order[b:a].copy()
-            order[b] = x
-        out = cells.iloc[order].assign(pos=np.arange(n, dtype=np.int32), move_error=np.int32(errors))
-        return out[[*columns, "move_error"]]
 
-    moves = edits.filter("op = 'move'").select("album_id", "seq", "from_pos", "to_pos")
-    pairs = manifest.select(*columns).groupBy("album_id").cogroup(moves.groupBy("album_id"))
+    def blocks(batches):
+        for b in batches:
+            for r in b.itertuples():
+                start, length = _unpack(r)
+                shift = np.cumsum(length) - length - start
+                order = np.argsort(start)
+                start, shift = start[order], shift[order]
+                for low in range(0, int(r.n), BLOCK):
+                    a, z = np.searchsorted(start, low, "right") - 1, np.searchsorted(start, low + BLOCK, "left")
+                    yield pd.DataFrame(
+                        [{"album_id": r.album_id, "block": low // BLOCK, "errors": r.errors, "start": start[a:z].tobytes(), "shift": shift[a:z].tobytes()}]
+                    )
+
+    def place(cells: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        pos, errors = cells["pos"].to_numpy(), 0
+        if len(parts) and len(cells):
+            r = next(parts.itertuples())
+            start, shift = np.frombuffer(r.start, np.int64), np.frombuffer(r.shift, np.int64)
+            pos, errors = pos + shift[np.searchsorted(start, pos, "right") - 1], r.errors
+        return cells[_COLUMNS].assign(pos=pos.astype(np.int32), move_error=np.int32(errors))
+
+    parts = rearrangements(manifest, edits).mapInPandas(blocks, "album_id long, block long, errors long, start binary, shift binary")
+    cells = manifest.select(*_COLUMNS, F.floor(F.col("pos") / BLOCK).cast("long").alias("block"))
+    pairs = cells.groupBy("album_id", "block").cogroup(parts.groupBy("album_id", "block"))
     return pairs.applyInPandas(
-        fold, "album_id long, norm_path string, path string, pos int, rotation int, layout string, move_error int"
+        place, "album_id long, norm_path string, path string, pos int, rotation int, layout string, move_error int"
     )

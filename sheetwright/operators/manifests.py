@@ -1,22 +1,28 @@
-"""Manifests: an album's edit state in one row, and back."""
+"""Manifests: an album's edit state in rows of bounded size, and back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.state import manifest_json, parse_manifest
 
 COLUMNS = ["album_id", "path", "pos", "rotation", "layout"]
+#: Positions of the photos in one row of packed state.
+BLOCK = 24_000
 
 
-def pack_manifest(cells: DataFrame) -> DataFrame:
-    """album_id, state (JSON): one row an album, photos in order."""
-    rows = cells.groupBy("album_id").agg(
+def pack_manifest(cells: DataFrame, block: Column | None = None) -> DataFrame:
+    """album_id, block, state (JSON): a row for each block of an album, photos in order.
+
+    block: by default BLOCK positions; so no row grows with its album.
+    """
+    block = F.floor(F.col("pos") / BLOCK) if block is None else block
+    rows = cells.groupBy("album_id", block.cast("int").alias("block")).agg(
         F.first("layout", ignorenulls=True).alias("layout"),
         F.sort_array(F.collect_list(F.struct("pos", "path", "rotation"))).alias("cells"),
     )
-    return rows.select("album_id", manifest_json(F.col("album_id"), F.col("layout"), F.col("cells")).alias("state"))
+    return rows.select("album_id", "block", manifest_json(F.col("album_id"), F.col("layout"), F.col("cells")).alias("state"))
 
 
 def unpack_manifest(states: DataFrame) -> DataFrame:
@@ -26,7 +32,12 @@ def unpack_manifest(states: DataFrame) -> DataFrame:
 
 
 def roundtrip_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows of either manifest that the other lacks, with ``side``; none after a faithful round trip."""
-    a, b = before.select(*COLUMNS), after.select(*COLUMNS)
-    gone, new = a.exceptAll(b).withColumn("side", F.lit("before")), b.exceptAll(a).withColumn("side", F.lit("after"))
-    return gone.unionByName(new)
+    """Rows of either manifest that the other lacks, with ``side``; none after a faithful round trip.
+
+    Each side is planned once: rows count +1 and -1, and those that don't cancel out are left.
+    """
+    signed = before.select(*COLUMNS, F.lit(1).alias("_n")).unionByName(after.select(*COLUMNS, F.lit(-1).alias("_n")))
+    left = signed.groupBy(*COLUMNS).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    side = F.when(F.col("_n") > 0, "before").otherwise("after")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n")))
+    return left.select(*COLUMNS, side.alias("side"), each.alias("_k")).drop("_k")

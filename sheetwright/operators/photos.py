@@ -40,7 +40,7 @@ def duplicate_report(photos: DataFrame) -> DataFrame:
 
 
 def number_photos(photos: DataFrame) -> DataFrame:
-    """Adds pos, 0 to n-1 in each album by src_seq."""
+    """Adds pos, 0 to n-1 in each album by src_seq. An album is sorted in one task, which spills; number_global is for a list too long for that."""
     order = Window.partitionBy("album_id").orderBy("src_seq", "norm_path")
     return photos.withColumn("pos", (F.row_number().over(order) - 1).cast("int"))
 
@@ -84,7 +84,9 @@ def add_photos(manifest: DataFrame, incoming: DataFrame) -> DataFrame:
     incoming: album_id, norm_path, path, src_seq. That new photos go to the end, and that
     the first copy stays, is our choice.
     """
-    fresh = dedupe_keep_first(incoming).join(manifest.select(*KEY), KEY, "left_anti")
+    # First the hits in the manifest, for which Spark may broadcast a small batch; then the batch without them.
+    hits = manifest.select(*KEY).join(incoming.select(*KEY), KEY, "left_semi").distinct()
+    fresh = dedupe_keep_first(incoming).join(hits, KEY, "left_anti")
     last = manifest.groupBy("album_id").agg(F.max("pos").alias("_last"), F.first("layout", ignorenulls=True).alias("_layout"))
     fresh = number_photos(fresh).join(last, "album_id", "left")
     fresh = fresh.select(

@@ -65,15 +65,16 @@ def _album(path):
 
 
 def _grey_sum(images: DataFrame) -> DataFrame:
-    """album_id, src_page, src_index, width, height, grey: the sum of a picture's pixels."""
+    """album_id, src_page, src_index, src_part, width, height, grey: the sum of a picture's pixels, each times its place (from 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total = [int(raster.pixels_of(x.as_py()).sum(dtype=np.int64)) for x in b.column(5)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(total, pa.int64())], ["album_id", "src_page", "src_index", "width", "height", "grey"])
+            flat = [raster.pixels_of(x.as_py()).ravel().astype(np.int64) for x in b.column(6)]
+            total = [int(p @ np.arange(1, len(p) + 1)) for p in flat]
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(total, pa.int64())], [*b.schema.names[:6], "grey"])
 
-    rows = images.filter("error IS NULL").select(_album(F.col("src_pdf")).alias("album_id"), "src_page", "src_index", "width", "height", "content")
-    return rows.mapInArrow(run, "album_id long, src_page int, src_index int, width int, height int, grey long")
+    rows = images.filter("error IS NULL").select(_album(F.col("src_pdf")).alias("album_id"), "src_page", "src_index", "src_part", "width", "height", "content")
+    return rows.mapInArrow(run, "album_id long, src_page int, src_index int, src_part int, width int, height int, grey long")
 
 
 _PAGED = f"""WITH {_PIXELS}, spots AS (SELECT vec_id, CAST(label AS BIGINT) AS album_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings)"""
@@ -84,7 +85,7 @@ def x6_probe_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.probe_images(pictures(spark, sf_dir)).select("vec_id", "format", "width", "height")
 
 
-@query("SELECT CAST(label AS BIGINT) AS album_id, CAST(count(*) AS INTEGER) AS n_photos, CAST((count(*) + 11) // 12 AS INTEGER) AS n_pages FROM embeddings GROUP BY 1")
+@query(f"""{_PAGED} SELECT album_id, CAST(pos // 24000 AS INTEGER) AS volume, CAST(count(*) AS INTEGER) AS n_photos, CAST((count(*) + 11) // 12 AS INTEGER) AS n_pages FROM spots GROUP BY ALL""")
 def s5_export_pdf(spark, sf_dir):
     photos = pictures(spark, sf_dir).select("label", "vec_id", F.format_string("/vec/%010d.png", "vec_id").alias("norm_path"), "content")
     nth = F.expr("row_number() OVER (PARTITION BY label ORDER BY vec_id)")
@@ -92,7 +93,7 @@ def s5_export_pdf(spark, sf_dir):
         F.col("label").alias("album_id"), "norm_path", F.col("norm_path").alias("path"), (nth - 1).cast("int").alias("pos"),
         F.lit(0).alias("rotation"), F.lit("3x4").alias("layout"), "width", "height", "exif_orientation",
     )
-    return pdf.export_pdf(place(paginate(cells)), photos, _folder(spark, "albums")).select("album_id", "n_photos", "n_pages")
+    return pdf.export_pdf(place(paginate(cells)), photos, _folder(spark, "albums")).select("album_id", "volume", "n_photos", "n_pages")
 
 
 @query("""SELECT CAST(label AS BIGINT) AS album_id, '/vec/' || lpad(CAST(vec_id AS VARCHAR), 10, '0') || '.png' AS path,
@@ -101,31 +102,33 @@ def s6_import_own_pdf(spark, sf_dir):
     return pdf.import_own_pdf(exported(spark, sf_dir))
 
 
-@query("SELECT DISTINCT 'album-' || CAST(label AS VARCHAR) || '.pdf' AS name, true AS own FROM embeddings")
+@query("""SELECT DISTINCT 'album-' || CAST(label AS VARCHAR) || '.pdf' AS name, true AS own FROM embeddings
+UNION ALL SELECT 'scan-' || CAST(vec_id AS VARCHAR) || '.pdf', false FROM embeddings""")
 def p4_is_own_pdf(spark, sf_dir):
-    rows = pdf.is_own_pdf(exported(spark, sf_dir))
+    other = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.format_string("/in/scan-%d.pdf", "vec_id").alias("path"), F.encode(F.concat(F.lit("%PDF-1.4\n% "), "vec_id"), "UTF-8").alias("content"))
+    rows = pdf.is_own_pdf(exported(spark, sf_dir).select("path", "content").unionByName(other))
     return rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "own")
 
 
-@query(f"""{_PAGED} SELECT album_id, CAST(pos // 12 AS INTEGER) AS src_page, CAST(pos % 12 AS INTEGER) AS src_index, 8 AS width, 8 AS height, CAST(sum(g) AS BIGINT) AS grey
+@query(f"""{_PAGED} SELECT album_id, CAST(pos // 12 AS INTEGER) AS src_page, CAST(pos % 12 AS INTEGER) AS src_index, CAST(NULL AS INTEGER) AS src_part, 8 AS width, 8 AS height, CAST(sum(g * (y * 8 + x + 1)) AS BIGINT) AS grey
 FROM px JOIN spots USING (vec_id) GROUP BY ALL""")
 def x1_extract_pdf_images(spark, sf_dir):
     return _grey_sum(pdf.extract_pdf_images(exported(spark, sf_dir)))
 
 
-@query(f"""{_PAGED} SELECT album_id, CAST(pos // 12 AS INTEGER) AS src_page, 0 AS src_index, 8 AS width, 8 AS height, CAST(sum(g) AS BIGINT) AS grey
+@query(f"""{_PAGED} SELECT album_id, CAST(pos // 12 AS INTEGER) AS src_page, 0 AS src_index, CAST(NULL AS INTEGER) AS src_part, 8 AS width, 8 AS height, CAST(sum(g * (y * 8 + x + 1)) AS BIGINT) AS grey
 FROM px JOIN spots USING (vec_id) WHERE pos % 12 = 0 GROUP BY ALL""")
 def x2_split_page_whole(spark, sf_dir):
     return _grey_sum(pdf.split_page_whole(pdf.extract_pdf_images(exported(spark, sf_dir))))
 
 
-@query(f"""{_PAGED} SELECT album_id, CAST(pos // 12 AS INTEGER) AS src_page, CAST(pos % 12 * 1000 + y // 4 * 2 + x // 4 AS INTEGER) AS src_index, 4 AS width, 4 AS height, CAST(sum(g) AS BIGINT) AS grey
+@query(f"""{_PAGED} SELECT album_id, CAST(pos // 12 AS INTEGER) AS src_page, CAST(pos % 12 AS INTEGER) AS src_index, CAST(y // 4 * 2 + x // 4 AS INTEGER) AS src_part, 4 AS width, 4 AS height, CAST(sum(g * (y % 4 * 4 + x % 4 + 1)) AS BIGINT) AS grey
 FROM px JOIN spots USING (vec_id) GROUP BY ALL""")
 def x3_split_page_grid(spark, sf_dir):
     return _grey_sum(pdf.split_page_grid(pdf.extract_pdf_images(exported(spark, sf_dir)), 2, 2))
 
 
-@query(f"""{_PAGED} SELECT album_id, CAST(pos // 12 AS INTEGER) AS src_page, CAST(pos % 12 * 1000 + (y // 4) * 2 + x // 4 AS INTEGER) AS src_index, 3 AS width, 3 AS height, CAST(sum(g) AS BIGINT) AS grey
+@query(f"""{_PAGED} SELECT album_id, CAST(pos // 12 AS INTEGER) AS src_page, CAST(pos % 12 AS INTEGER) AS src_index, CAST(y // 4 * 2 + x // 4 AS INTEGER) AS src_part, 3 AS width, 3 AS height, CAST(sum(g * (y % 5 * 3 + x % 5 + 1)) AS BIGINT) AS grey
 FROM px JOIN spots USING (vec_id) WHERE y NOT IN (3, 4) AND x NOT IN (3, 4) GROUP BY ALL""")
 def x4_split_page_gutters(spark, sf_dir):
     return _grey_sum(pdf.split_page_gutters(pdf.extract_pdf_images(exported(spark, sf_dir, gutters=True))))
@@ -138,33 +141,43 @@ def s7_import_foreign_pdf(spark, sf_dir):
 
 
 def _picture_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """A folder with a file for each label's first picture, in a folder of the label's, and its (label, path)."""
+    """A folder with a file for each vector, in folders by label, names of odd ids hidden; and (vec_id, path)."""
     out = _folder(spark, "pictures")
     folder = re.sub(r"^file:/+", "/", out)
-    first = pictures(spark, sf_dir).groupBy("label").agg(F.min_by("content", "vec_id").alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         for b in batches:
             done = []
-            for label, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for vec_id, label, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 os.makedirs(f"{folder}/{label}", exist_ok=True)
-                done.append(f"{folder}/{label}/_first [{label}] {{a}}.PNG" if label % 2 else f"{folder}/{label}/first [{label}] {{a}}.PNG")
-                with open(done[-1] + ".part", "wb") as f:
+                done.append(f"{folder}/{label}/{'_' if vec_id % 2 else ''}picture [{vec_id}] {{a}}.PNG")
+                part = f"{folder}/{label}/.part-{vec_id}-{os.getpid()}"
+                with open(part, "wb") as f:
                     f.write(data)
-                os.replace(done[-1] + ".part", done[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string())], ["label", "path"])
+                os.replace(part, done[-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string())], ["vec_id", "path"])
 
-    return out, first.mapInArrow(run, "label long, path string")
+    files = pictures(spark, sf_dir).mapInArrow(run, "vec_id long, path string")
+    files.write.parquet(f"{out}.list")  # writes the pictures too
+    return out, spark.read.schema("vec_id long, path string").parquet(f"{out}.list")
 
 
-@query("SELECT DISTINCT CAST(label AS BIGINT) AS label, 'png' AS ext FROM embeddings")
+def _vec_id(path):
+    return F.regexp_extract(path, r"\[(-?\d+)\]", 1).cast("long").alias("vec_id")
+
+
+@query("SELECT CAST(vec_id AS BIGINT) AS vec_id, 'png' AS ext FROM embeddings")
 def s1_scan_images(spark, sf_dir):
-    out, files = _picture_files(spark, sf_dir)
-    files.collect()  # a row a label: writes the files
-    rows = scan.scan_images(spark, re.sub(r"^file:/+", "/", out), hidden=True)
-    return rows.select(F.regexp_extract("path", r"\[(-?\d+)\]", 1).cast("long").alias("label"), "ext")
+    out, _ = _picture_files(spark, sf_dir)
+    return scan.scan_images(spark, re.sub(r"^file:/+", "/", out), hidden=True).select(_vec_id("path"), "ext")
+
+
+@query("SELECT CAST(vec_id AS BIGINT) AS vec_id, 'png' AS ext FROM embeddings WHERE vec_id % 2 = 0")
+def s1_scan_visible_images(spark, sf_dir):
+    out, _ = _picture_files(spark, sf_dir)
+    return scan.scan_images(spark, out).select(_vec_id("path"), "ext")
 
 
 @query("SELECT DISTINCT 'album-' || CAST(label AS VARCHAR) || '.pdf' AS name FROM embeddings")
@@ -172,8 +185,7 @@ def s2_scan_pdfs(spark, sf_dir):
     return exported(spark, sf_dir).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
 
 
-@query("SELECT DISTINCT CAST(label AS BIGINT) AS label FROM embeddings WHERE label % 2 = 0")
+@query("SELECT CAST(vec_id AS BIGINT) AS vec_id FROM embeddings")
 def s3_load_paths(spark, sf_dir):
     _, files = _picture_files(spark, sf_dir)
-    chosen = [r["path"] for r in files.collect() if r["label"] % 2 == 0]
-    return scan.load_paths(spark, chosen).select(F.regexp_extract("path", r"\[(-?\d+)\]", 1).cast("long").alias("label"))
+    return scan.load_paths(spark, [r["path"] for r in files.collect()]).select(_vec_id("path"))

@@ -49,8 +49,8 @@ def reopen(spark: SparkSession, pdfs: list[str]) -> DataFrame:
 
 
 def add_foreign(manifest: DataFrame, pdfs: DataFrame, album_id: int, split: str = "extract", rows: int = 3, cols: int = 3) -> DataFrame:
-    """The manifest with the photos of foreign PDFs (path, content) added behind its own, by page and place."""
+    """The manifest with the photos of foreign PDFs (path, content) added behind its own, by PDF, page and place."""
     parts = pdf.import_foreign_pdf(pdfs, split, rows, cols).filter("error IS NULL")
-    order = F.col("src_page").cast("long") * 10_000_000 + F.col("src_index")
-    batch = parts.select(F.lit(album_id).cast("long").alias("album_id"), "norm_path", F.col("norm_path").alias("path"), order.alias("src_seq"))
+    order = ["src_pdf", "src_page", "src_index", F.coalesce("src_part", F.lit(0)), "norm_path"]
+    batch = parts.select(F.lit(album_id).cast("long").alias("album_id"), "norm_path", F.col("norm_path").alias("path"), F.struct(*order).alias("src_seq"))
     return add_photos(manifest, batch)

@@ -211,8 +211,8 @@ def a4_net_rotation(spark, sf_dir):
     return edits.net_rotation(X.edits(spark, sf_dir))
 
 
-_PACK = f"""WITH {X.MANIFEST_SQL} SELECT album_id, '{{"album_id":' || CAST(album_id AS VARCHAR) || coalesce(',"layout":"' || any_value(layout) || '"', '') || ',"cells":[' ||
-string_agg('{{"pos":' || CAST(pos AS VARCHAR) || ',"path":"' || path || '","rotation":' || CAST(rotation AS VARCHAR) || '}}', ',' ORDER BY pos) || ']}}' AS state FROM manifest GROUP BY album_id"""
+_PACK = f"""WITH {X.MANIFEST_SQL} SELECT album_id, CAST(pos // 24000 AS INTEGER) AS block, '{{"album_id":' || CAST(album_id AS VARCHAR) || coalesce(',"layout":"' || any_value(layout) || '"', '') || ',"cells":[' ||
+string_agg('{{"pos":' || CAST(pos AS VARCHAR) || ',"path":"' || path || '","rotation":' || CAST(rotation AS VARCHAR) || '}}', ',' ORDER BY pos) || ']}}' AS state FROM manifest GROUP BY album_id, pos // 24000"""
 
 
 @query(_PACK)

@@ -22,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import A4_HEIGHT_MM, A4_WIDTH_MM, POINTS_PER_MM
+from ..functions.paths import normalize_path
 from ..operators.manifests import pack_manifest, unpack_manifest
 from ..schemas import EXTRACTED, PDFS
 from .raster import gutter_boxes, grid_boxes, pixels_of, png_parts, probe, to_png, unfilter
 
 STATE_KEY = "SheetwrightState"
+#: Pages of a file; a longer album has more volumes.
+VOLUME = 2_000
 _PAGE = "album_id bigint, page_no int, n_photos int, dicts array<string>, streams array<binary>"
 _WIDTH, _HEIGHT = A4_WIDTH_MM * POINTS_PER_MM, A4_HEIGHT_MM * POINTS_PER_MM
 
@@ -141,14 +144,16 @@ class _File:
 
 
 def export_pdf(cells: DataFrame, photos: DataFrame, out: str) -> DataFrame:
-    """Write one PDF an album to the folder out (mounted on all executors); returns the table ``pdfs``.
+    """Write the albums as PDFs to the folder out (mounted on all executors); returns the table ``pdfs``.
 
-    Written when the result is computed. An album's file is renamed into place once whole, so
-    a task that runs again replaces it.
+    A file is a volume of VOLUME pages with the state of its own photos, so no task or row
+    grows with its album: album-<id>.pdf, album-<id>-1.pdf and so on. Written when the result
+    is computed. A file is renamed into place once whole, so a task that runs again replaces it.
     """
-    states = pack_manifest(cells).select("album_id", F.lit(0).alias("page_no"), "state")
-    pages = render_pages(cells, photos).join(states, ["album_id", "page_no"], "left")
-    pages = pages.repartition("album_id").sortWithinPartitions("album_id", "page_no")
+    volume = F.floor(F.col("page_no") / VOLUME).cast("int")
+    states = pack_manifest(cells, volume).select("album_id", (F.col("block") * VOLUME).alias("page_no"), "state")
+    pages = render_pages(cells, photos).join(states, ["album_id", "page_no"], "left").withColumn("volume", volume)
+    pages = pages.repartition("album_id", "volume").sortWithinPartitions("album_id", "volume", "page_no")
     folder = re.sub(r"^file:/+", "/", out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,17 +162,18 @@ def export_pdf(cells: DataFrame, photos: DataFrame, out: str) -> DataFrame:
 
         def done():
             size = pdf.close()
-            values = ([album], [len(pdf.kids)], [pdf.photos], [size], [pdf.path])
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+            values = ([album[0]], [album[1]], [len(pdf.kids)], [pdf.photos], [size], [pdf.path])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], PDFS.fieldNames())
 
         for b in batches:
             for k in range(b.num_rows):
                 r = {n: b.column(n)[k].as_py() for n in b.schema.names}
-                if pdf is None or r["album_id"] != album:
+                if pdf is None or (r["album_id"], r["volume"]) != album:
                     if pdf is not None:
                         yield done()
-                    album, pdf = r["album_id"], _File(f"{folder}/album-{r['album_id']}.pdf")
+                    album = r["album_id"], r["volume"]
+                    pdf = _File(f"{folder}/album-{album[0]}{f'-{album[1]}' if album[1] else ''}.pdf")
                 pdf.state = r["state"] if r["state"] is not None else pdf.state
                 pdf.page(r["dicts"], r["streams"], r["n_photos"])
         if pdf is not None:
@@ -323,19 +329,19 @@ def extract_pdf_images(pdfs: DataFrame) -> DataFrame:
                     for page, number in enumerate(reader.pages()):
                         for k, n in enumerate(reader.images(page=number)):
                             try:
-                                rows.append((path, page, k, *reader.image(n), None))
+                                rows.append((path, page, k, None, *reader.image(n), None))
                             except (ValueError, KeyError, IndexError, zlib.error) as e:
-                                rows.append((path, page, k, None, None, None, None, str(e)))
+                                rows.append((path, page, k, None, None, None, None, None, str(e)))
                 except (ValueError, KeyError, IndexError, zlib.error) as e:
-                    rows.append((path, None, None, None, None, None, None, str(e)))
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+                    rows.append((path, None, None, None, None, None, None, None, str(e)))
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     return pdfs.select("path", "content").mapInArrow(run, EXTRACTED)
 
 
 def _split(images: DataFrame, boxes) -> DataFrame:
-    """Each picture cut into boxes(pixels): EXTRACTED rows with src_index counting the parts of the page."""
+    """Each picture cut into boxes(pixels): EXTRACTED rows with src_part counting the parts of the picture."""
     names = EXTRACTED.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,10 +354,10 @@ def _split(images: DataFrame, boxes) -> DataFrame:
                     pixels = pixels_of(r["content"])
                     for k, (top, left, bottom, right) in enumerate(boxes(pixels)):
                         part = np.ascontiguousarray(pixels[top:bottom, left:right])
-                        rows.append((r["src_pdf"], r["src_page"], r["src_index"] * 1000 + k, "png", right - left, bottom - top, to_png(part), None))
+                        rows.append((r["src_pdf"], r["src_page"], r["src_index"], k, "png", right - left, bottom - top, to_png(part), None))
                 except (ValueError, zlib.error) as e:
-                    rows.append((r["src_pdf"], r["src_page"], r["src_index"], r["format"], r["width"], r["height"], None, str(e)))
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+                    rows.append((r["src_pdf"], r["src_page"], r["src_index"], None, r["format"], r["width"], r["height"], None, str(e)))
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], names)
 
     return images.select(*names).mapInArrow(run, EXTRACTED)
@@ -379,10 +385,10 @@ def split_page_gutters(images: DataFrame, white: int = 255) -> DataFrame:
     return _split(images, lambda p: gutter_boxes(p, white))
 
 
-def import_foreign_pdf(pdfs: DataFrame, split: str = "extract", rows: int = 3, cols: int = 3) -> DataFrame:
-    """Photos of PDFs by other software, with norm_path as their own identity: <pdf>#p<page>i<index>.
+def import_foreign_pdf(pdfs: DataFrame, split: str = "extract", rows: int = 3, cols: int = 3, windows: bool = False) -> DataFrame:
+    """Photos of PDFs by other software, with norm_path as their own identity: <pdf>#p<page>i<index>, and k<part> if split.
 
-    split: extract, whole, grid or gutters. These are ours; the tool's four ways are not described.
+    <pdf> is the PDF's normalised path, so that one PDF in two spellings gives its photos once. split: extract, whole, grid or gutters. These are ours; the tool's four ways are not described.
     """
     images = extract_pdf_images(pdfs)
     if split == "whole":
@@ -393,5 +399,6 @@ def import_foreign_pdf(pdfs: DataFrame, split: str = "extract", rows: int = 3, c
         images = split_page_gutters(images)
     elif split != "extract":
         raise ValueError(f"no way to split called {split}")
-    name = F.format_string("%s#p%di%d", F.col("src_pdf"), F.col("src_page"), F.col("src_index"))
-    return images.withColumn("norm_path", name)
+    name = F.format_string("%s#p%di%d", normalize_path(F.col("src_pdf"), windows=windows), F.col("src_page"), F.col("src_index"))
+    part = F.when(F.col("src_part").isNull(), "").otherwise(F.concat(F.lit("k"), F.col("src_part")))
+    return images.withColumn("norm_path", F.concat(name, part))

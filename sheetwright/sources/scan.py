@@ -1,14 +1,16 @@
 """Listing files. Content is not selected here, so Spark does not read it.
 
 Spark's binaryFile source leaves out names that begin with ``_`` or ``.``, as cameras
-write them. hidden=True lists with the operating system instead, a task for each root;
-the roots must then be mounted on all executors.
+write them. hidden=True lists with the operating system instead: a task for each root finds
+its folders, which are then dealt out and listed. The roots must then be mounted on all executors.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+import stat
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,29 +22,42 @@ from ..operators.photos import keep_supported, with_paths
 _FILES = "path string, modificationTime timestamp, length bigint"
 
 
+def _listed(paths: list[str]) -> pa.RecordBatch:
+    """The files among the paths; those that are gone, dangling links and other kinds are left out."""
+    info = []
+    for p in paths:
+        try:
+            i = os.stat(p)
+        except OSError:
+            continue
+        if stat.S_ISREG(i.st_mode):
+            info.append((p, i))
+    when = pa.array([int(i.st_mtime * 1e6) for _, i in info], pa.int64()).cast(pa.timestamp("us", "UTC"))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([f"file:{p}" for p, _ in info], pa.string()), when, pa.array([i.st_size for _, i in info], pa.int64())],
+        ["path", "modificationTime", "length"],
+    )
+
+
 def _walk(spark: SparkSession, roots: list[str], recursive: bool) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for root in b.column(0).to_pylist():
-                for folder, below, names in os.walk(root):
-                    if not recursive:
-                        below.clear()
-                    info = [(p, os.stat(p)) for p in (os.path.join(folder, n) for n in names)] if names else []
-                    if os.path.isfile(root):
-                        info = [(root, os.stat(root))]
-                    yield _rows(info)
-                if os.path.isfile(root):
-                    yield _rows([(root, os.stat(root))])
-
-    def _rows(info):
-        when = pa.array([int(s.st_mtime * 1e6) for _, s in info], pa.int64()).cast(pa.timestamp("us", "UTC"))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([p for p, _ in info], pa.string()), when, pa.array([s.st_size for _, s in info], pa.int64())],
-            ["path", "modificationTime", "length"],
-        )
-
-    rows = spark.createDataFrame([(os.path.abspath(r.removeprefix("file:")),) for r in roots], "root string")
-    return rows.repartition(max(1, len(roots)), "root").mapInArrow(run, _FILES)
+                found = [folder for folder, _, _ in os.walk(root)] if recursive and os.path.isdir(root) else [root]
+                for at in range(0, len(found), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 10_000], pa.string())], ["folder"])
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                try:
+                    yield _listed([os.path.join(at, n) for n in os.listdir(at)] if os.path.isdir(at) else [at])
+                except OSError:  # a folder that is gone or closed
+                    continue
+
+    rows = spark.createDataFrame([(os.path.abspath(re.sub(r"^file:/*", "/", r)),) for r in roots], "root string")
+    found = rows.repartition(max(1, min(len(roots), 4 * spark.sparkContext.defaultParallelism)), "root").mapInArrow(folders, "folder string").distinct()
+    return found.repartition("folder").mapInArrow(files, _FILES)
 
 
 def scan_files(spark: SparkSession, roots: list[str] | str, recursive: bool = True, hidden: bool = False) -> DataFrame:
@@ -65,15 +80,30 @@ def scan_pdfs(spark: SparkSession, roots: list[str] | str, recursive: bool = Tru
 
 
 def load_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, modificationTime, length of chosen files; their names are taken literally, hidden ones too."""
-    if any(os.path.basename(p).startswith(("_", ".")) for p in paths):
-        return _walk(spark, paths, recursive=False)
-    escaped = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
-    return spark.read.format("binaryFile").load(escaped).select("path", "modificationTime", "length")
+    """path, modificationTime, length of chosen files; their names are taken literally, hidden ones too.
+
+    Hidden ones are listed with the operating system; of these, missing ones are left out.
+    """
+    hidden = [p for p in paths if os.path.basename(p).startswith(("_", "."))]
+    plain = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths if p not in set(hidden)]
+    found = [_walk(spark, hidden, recursive=False)] if hidden or not plain else []
+    if plain:
+        found.append(spark.read.format("binaryFile").load(plain).select("path", "modificationTime", "length"))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def with_content_of(spark: SparkSession, files: DataFrame, roots: list[str] | str) -> DataFrame:
+    """Adds content read by Spark from below the roots, on any file system that it knows; null where there is none."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
+    read = read.select(F.col("path").alias("_read"), "content")
+    return files.join(read, F.col("path") == F.col("_read"), "left").drop("_read")
 
 
 def with_content(files: DataFrame) -> DataFrame:
-    """Adds content: each file is opened in its task, so only paths are shuffled. A missing file gives null."""
+    """Adds content: each file is opened in its task, so only paths are shuffled. A missing file gives null.
+
+    For mounted folders; with_content_of reads other file systems.
+    """
     fields = [f for f in files.schema.fields if f.name != "content"]
     where = [f.name for f in fields].index("path")
 

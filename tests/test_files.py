@@ -129,12 +129,34 @@ def test_foreign_pdfs(spark):
     got = [(r["src_pdf"], r["width"], r["error"]) for r in images.orderBy("src_pdf").collect()]
     assert got == [("a.pdf", 9, None), ("b.pdf", 9, None), ("c.pdf", None, "encrypted"), ("d.pdf", None, "not a PDF")]
     parts = pdf.import_foreign_pdf(df, "gutters").filter("error IS NULL")
-    assert rows(parts, "norm_path", "width") == [(f"{p}.pdf#p0i{k}", 4) for p in "ab" for k in (0, 1)]
+    assert rows(parts, "norm_path", "width") == [(f"{p}.pdf#p0i0k{k}", 4) for p in "ab" for k in (0, 1)]
     assert pdf.import_foreign_pdf(df, "grid", 3, 3).filter("width = 3").count() == 18
     assert pdf.import_foreign_pdf(df, "whole").filter("error IS NULL").count() == 2
     assert rows(pdf.is_own_pdf(df), "own") == [(False,)] * 5
 
 
+def test_sheets_of_many_parts_keep_their_identities(spark):
+    """More than a thousand parts a picture, one PDF in two spellings."""
+    cells = np.full((99, 99), 255, np.uint8)
+    cells[::3, ::3], cells[::3, 1::3], cells[1::3, ::3], cells[1::3, 1::3] = 7, 8, 9, 10
+    images = spark.createDataFrame([("a.pdf", 0, k, None, "png", 99, 99, bytearray(raster.to_png(cells)), None) for k in (0, 1)], pdf.EXTRACTED)
+    parts = pdf.split_page_gutters(images)
+    assert parts.select("src_index", "src_part").distinct().count() == parts.count() == 2 * 33 * 33
+    twice = spark.createDataFrame([(p, bytearray(foreign())) for p in ("/d/./a.pdf", "/d/a.pdf")], "path string, content binary")
+    assert rows(pdf.import_foreign_pdf(twice), "norm_path") == [("/d/a.pdf#p0i0",)] * 2
+
+
+def test_volumes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pdf, "VOLUME", 2)
+    data = [(1, f"p{k}.x", bytearray(raster.to_png(PIXELS)), k) for k in range(9)]
+    photos_ = spark.createDataFrame(data, "album_id long, norm_path string, content binary, pos int")
+    cells = raster.probe_images(photos_).select("album_id", "norm_path", F.col("norm_path").alias("path"), "pos", F.lit(0).alias("rotation"), F.lit("1x1").alias("layout"), "width", "height", "exif_orientation")
+    done = pdf.export_pdf(place(paginate(cells)), photos_, str(tmp_path)).collect()
+    assert sorted((r["volume"], r["n_pages"], r["n_photos"]) for r in done) == [(0, 2, 2), (1, 2, 2), (2, 2, 2), (3, 2, 2), (4, 1, 1)]
+    back = pdf.import_own_pdf(scan.with_content(scan.scan_pdfs(spark, str(tmp_path)).select("path")))
+    assert rows(back, "path", "pos") == [(f"p{k}.x", k) for k in range(9)]
+
+
 def test_scans_take_names_as_they_are(spark, tmp_path):
     names = ["2.JPG", "a[1].jpg", "照片 1%20.jpg", "_DSC1.jpg", ".h.jpg", "_sub/z.jpg", "n.txt", "b.pdf"]
     for n in names:
@@ -146,6 +168,13 @@ def test_scans_take_names_as_they_are(spark, tmp_path):
     assert seen(scan.scan_pdfs(spark, str(tmp_path))) == ["b.pdf"]
     assert seen(scan.load_paths(spark, [f"{tmp_path}/a[1].jpg"])) == ["a[1].jpg"]
     assert seen(scan.load_paths(spark, [f"{tmp_path}/_DSC1.jpg"])) == ["_DSC1.jpg"]
+    both = scan.load_paths(spark, [f"{tmp_path}/_DSC1.jpg", f"{tmp_path}/2.JPG"])
+    assert seen(both) == ["2.JPG", "_DSC1.jpg"] and all(r["path"].startswith("file:") for r in both.collect())
+    os.symlink(tmp_path / "nowhere.jpg", tmp_path / "dangling.jpg")
+    assert len(seen(scan.scan_images(spark, str(tmp_path), hidden=True))) == 6
+    assert len(seen(scan.scan_files(spark, str(tmp_path), recursive=False, hidden=True))) == 7
+    there = scan.with_content_of(spark, scan.load_paths(spark, [f"{tmp_path}/2.JPG"]), str(tmp_path))
+    assert [bytes(r["content"]) for r in there.collect()] == [b"x"]
     got = scan.with_content(scan.load_paths(spark, [f"{tmp_path}/a[1].jpg"]).unionByName(spark.createDataFrame([("gone.jpg", None, 0)], "path string, modificationTime timestamp, length bigint")))
     assert sorted(bytes(r["content"] or b"") for r in got.collect()) == [b"", b"x"]
 

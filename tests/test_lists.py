@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -53,6 +55,28 @@ def test_moves_fold_in_order(spark, n, moves):
     assert edits.apply_moves_long(manifest(spark, n), log).orderBy("pos").collect() == got
 
 
+def test_many_moves_in_long_and_short_lists(spark, monkeypatch):
+    """Several stretches, rounds and blocks; albums without moves, a hot one, repeated errors."""
+    monkeypatch.setattr(edits, "STRETCH", 5)
+    monkeypatch.setattr(edits, "TOGETHER", 2)
+    monkeypatch.setattr(edits, "BLOCK", 7)
+    rng, sizes = random.Random(3), {1: 40, 2: 9, 3: 1, 4: 30}
+    start = spark.createDataFrame([(a, f"p{k}", f"P{k}", k, 0, "3x3") for a, n in sizes.items() for k in range(n)], MANIFEST)
+    log = [(rng.choice((1, 1, 1, 2, 3, 5)), k, "move", None, rng.randint(-1, 41), rng.randint(0, 40)) for k in range(-20, 180)]
+    want, errors = {a: list(range(n)) for a, n in sizes.items()}, dict.fromkeys(sizes, 0)
+    for a, _, _, _, x, y in log:
+        if a in want and 0 <= x < sizes[a] and 0 <= y < sizes[a]:
+            want[a].insert(y, want[a].pop(x))
+        elif a in want:
+            errors[a] += 1
+    expected = sorted((a, f"p{p}", k, errors[a]) for a, order in want.items() for k, p in enumerate(order))
+    log = spark.createDataFrame(log, EDITS)
+    for f in (edits.apply_moves, edits.apply_moves_long):
+        assert sorted(tuple(r) for r in f(start, log).select("album_id", "norm_path", "pos", "move_error").collect()) == expected
+    none = log.filter("false")
+    assert rows(edits.apply_moves_long(start, none), *MANIFEST.fieldNames()) == rows(edits.apply_moves(start, none), *MANIFEST.fieldNames()) == rows(start)
+
+
 def test_one_move_and_back(spark):
     start = manifest(spark, 10)
     there = edits.move_photo(start, 2, 7)
