@@ -235,7 +235,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that the join is a plain one, which Spark may split where a vertex has many edges
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         edges = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         small = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
