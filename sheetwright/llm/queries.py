@@ -34,7 +34,7 @@ def op2_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("n"), F.xxhash64("text").alias("tie"))
     mix = mixing.mix_sources(docs, size="n")
     return mix.select("doc.doc_id", "size", "source_size", "target", "taken")
 
