@@ -15,7 +15,7 @@ least id is given; each input row gives one row; only doc_id and text are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, text_or_empty
@@ -78,6 +78,12 @@ def bare(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
+def license_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(license_id, text) of files of license texts, named by their ids, for ``scan_licenses``: such as Apache-2.0, GPL-3 or MPL-2.0."""
+    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    return rows.select(F.regexp_replace("name", r"\.(txt|md)$", "").alias("license_id"), "text")
+
+
 def known_digests(texts: DataFrame, unit: str) -> DataFrame:
     """(unit, digest, license_id) of known (license_id, text), each digest once."""
     rows = texts.select(F.lit(unit).alias("unit"), F.sha2((bare if unit == "bare" else canonical)(F.col("text")), 256).alias("digest"), "license_id")
@@ -87,7 +93,8 @@ def known_digests(texts: DataFrame, unit: str) -> DataFrame:
 def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None, notices: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id (null: no known text), notices (array, in the order of the lines).
 
-    licenses, notices: (license_id, text); the built-in ones by default. Spark broadcasts
+    licenses, notices: (license_id, text); the built-in ones by default, which are short texts;
+    license_files reads long ones from a folder. Spark broadcasts
     their digests below its threshold and shuffles them beyond it. Lines take part
     if they hold the word license in either spelling.
     """

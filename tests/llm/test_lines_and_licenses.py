@@ -1,6 +1,8 @@
 import hashlib
+import os
 import random
 
+import pytest
 from conftest import DATA
 from edge import documents, empty
 from oracle import same
@@ -125,3 +127,22 @@ def test_license_files_as_they_are_shipped(spark):
     docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["license_id"] for r in L.scan_licenses(docs).collect()}
     assert got == {k: i for k, (i, _) in enumerate(texts)}
+
+
+SHIPPED = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(SHIPPED), reason="no folder of license texts")
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0"])
+def test_long_license_texts_from_a_folder(spark, name):
+    """Whole texts in other case, wrapping, punctuation and spelling, under another copyright statement."""
+    if not os.path.isfile(f"{SHIPPED}/{name}"):
+        pytest.skip("no such text")
+    known = L.license_files(spark, [f"{SHIPPED}/{name}"])
+    text = known.first()["text"]
+    assert known.first()["license_id"] == name
+    variants = [text, text.upper(), text.replace("license", "licence"), text.replace(", ", " , ").replace('"', "\u201c"), "Copyright (c) 2021 Some Body\n\n" + text + "\n"]
+    others = [text + " one clause more", text[: len(text) // 2], ""]
+    docs = spark.createDataFrame(list(enumerate(variants + others)), "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in L.scan_licenses(docs, licenses=known).collect()}
+    assert got == {k: name if k < len(variants) else None for k in range(len(variants) + len(others))}
