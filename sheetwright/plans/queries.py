@@ -68,8 +68,10 @@ def w4_number_global(spark, sf_dir):
 
 
 def spark_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a local one only where the session names none."""
+    """The shared checkpoint folder, which the session has to name; a local one in local mode alone."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="sheetwright-")
     if not spark.sparkContext.getCheckpointDir():
@@ -312,10 +314,10 @@ def f5_compose_rotation(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT vec_id, embedding, i FROM embeddings, unnest(range(64)) u(i))
-SELECT vec_id, CAST(i AS INTEGER) AS i, round(CAST(embedding[(7 - i % 8) * 8 + i // 8 + 1] AS DOUBLE), 6) AS v FROM e""")
+SELECT vec_id, CAST(i AS INTEGER) AS i, round(CAST(embedding[CASE vec_id % 4 WHEN 0 THEN i WHEN 1 THEN (7 - i % 8) * 8 + i // 8 WHEN 2 THEN 63 - i ELSE i % 8 * 8 + 7 - i // 8 END + 1] AS DOUBLE), 6) AS v FROM e""")
 def f6_rotate_raster(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    turned = rasters.rotate_raster(F.col("embedding"), F.lit(8), F.lit(8), F.lit(90))
+    turned = rasters.rotate_raster(F.col("embedding"), F.lit(8), F.lit(8), (F.col("vec_id") % 4 * 90).cast("int"))
     return rows.select("vec_id", F.posexplode(turned).alias("i", "v")).select("vec_id", "i", F.round(F.col("v").cast("double"), 6).alias("v"))
 
 

@@ -1,6 +1,6 @@
 """Small vectorised helpers on picture bytes: header probe, PNG and BMP pixels, crops.
 
-JPEG, PNG, BMP, GIF and WebP headers are read; pixels only of PNG (8 bits, not
+JPEG, PNG, BMP, GIF, WebP and TIFF headers are read (of JPEG the first HEADER_BYTES); pixels only of PNG (8 bits, not
 interlaced) and BMP (24 or 32 bits, not compressed). Anything else is an error value.
 """
 
@@ -59,8 +59,19 @@ def _webp(data: bytes):
     return "webp", w & 0x3FFF, h & 0x3FFF, None
 
 
-def probe(data: bytes | None) -> tuple:
-    """(format, width, height, exif_orientation, error) from a file's first bytes."""
+def _tiff(data: bytes, directory: bytes):
+    """From the first image's directory, which may lie anywhere in the file."""
+    order, found = {b"II": "<", b"MM": ">"}[data[:2]], {}
+    for k in range(struct.unpack_from(order + "H", directory)[0]):
+        tag, kind = struct.unpack_from(order + "HH", directory, 2 + 12 * k)
+        if tag in (256, 257, 274):
+            found[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), directory, 10 + 12 * k)[0]
+    turn = found.get(274)
+    return "tiff", found[256], found[257], turn if turn in range(1, 9) else None
+
+
+def probe(data: bytes | None, directory: bytes | None = None) -> tuple:
+    """(format, width, height, exif_orientation, error) from a file's first bytes, and of a TIFF file its directory."""
     try:
         if not data:
             raise ValueError("empty file")
@@ -75,8 +86,10 @@ def probe(data: bytes | None) -> tuple:
             return ("gif", *struct.unpack_from("<HH", data, 6), None, None)
         if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
             return (*_webp(data), None)
+        if data[:4] in (b"II*\0", b"MM\0*"):
+            return (*_tiff(data, directory or b""), None)
         raise ValueError("no known picture format")
-    except (ValueError, IndexError, struct.error) as e:
+    except (ValueError, LookupError, struct.error) as e:
         return None, None, None, None, str(e)
 
 
@@ -86,12 +99,17 @@ def probe_images(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [probe(x.as_py()) for x in b.column(len(keep))]
+            rows = [probe(x.as_py(), y.as_py()) for x, y in zip(b.column(len(keep)), b.column(len(keep) + 1), strict=True)]
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
             new = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], names=[*keep, *PROBE.fieldNames()])
 
-    head = files.select(*keep, F.substring("content", 1, HEADER_BYTES).alias("content"))
+    content, at = F.col("content"), F.hex(F.substring("content", 5, 4))
+    little = F.concat(*(F.substring(at, k, 2) for k in (7, 5, 3, 1)))
+    kind = F.hex(F.substring("content", 1, 4))
+    place = F.conv(F.when(kind == "49492A00", little).when(kind == "4D4D002A", at), 16, 10).cast("long")
+    directory = F.when((place > 0) & (place < F.length(content)), content.substr((place + 1).cast("int"), F.lit(8192)))
+    head = files.select(*keep, F.substring("content", 1, HEADER_BYTES).alias("content"), directory.alias("_directory"))
     schema = type(files.schema)([*files.select(*keep).schema.fields, *PROBE.fields])
     return head.mapInArrow(run, schema)
 

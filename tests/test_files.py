@@ -37,10 +37,23 @@ def test_probe():
     assert raster.probe(raster.to_png(PIXELS))[:3] == ("png", 6, 4)
     assert raster.probe(bmp(PIXELS))[:3] == ("bmp", 6, 4)
     assert raster.probe(b"GIF89a" + struct.pack("<HH", 7, 5))[:3] == ("gif", 7, 5)
-    for bad in (b"", None, b"text", b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n"):
+    for order, mark in (("<", b"II*\0"), (">", b"MM\0*")):
+        entries = b"".join(struct.pack(order + "HHI", t, 3, 1) + struct.pack(order + "HH", v, 0) for t, v in ((256, 70), (257, 50), (274, 8)))
+        directory = struct.pack(order + "H", 3) + entries
+        assert raster.probe(mark + struct.pack(order + "I", 8), directory) == ("tiff", 70, 50, 8, None)
+    for bad in (b"II*\0", b"", None, b"text", b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n"):
         assert raster.probe(bad)[4]
 
 
+def test_tiff_directory_at_the_end_of_a_long_file(spark):
+    far = 400_000
+    entries = b"".join(struct.pack("<HHI", t, 4, 1) + struct.pack("<I", v) for t, v in ((256, 700), (257, 500)))
+    data = b"II*\0" + struct.pack("<I", far) + b"\0" * (far - 8) + struct.pack("<H", 2) + entries
+    files = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"II*\0\xff\xff\xff\x7f")), (3, None)], "k int, content binary")
+    got = {r["k"]: (r["format"], r["width"], r["height"], r["probe_error"] is None) for r in raster.probe_images(files).collect()}
+    assert got == {1: ("tiff", 700, 500, True), 2: (None, None, None, False), 3: (None, None, None, False)}
+
+
 def test_pixels_and_turns():
     assert (raster.pixels_of(raster.to_png(PIXELS)) == PIXELS).all() and (raster.pixels_of(bmp(PIXELS)) == PIXELS).all()
     p = PIXELS
