@@ -43,6 +43,8 @@ from .common import cut, fresh_path
 
 LIST, READ, PIVOT_ROOTS, CANDIDATE_ROOTS, SEED = 128, 64, 16, 6, 42
 MAX_PIVOTS, SAMPLE, QUERY_GROUP = 16_384, 65_536, 4_096
+#: Components of the sample's vectors, about, at most; longer vectors make a smaller sample.
+VALUES = 1 << 23
 #: Rows of a block; rows whose lists are made at once.
 BLOCK, TURN = 8_192, 512
 FOUND = "query_id long, vec_id long, score double"
@@ -67,7 +69,8 @@ class Pivots:
 
 def fit(rows: DataFrame, seed: int = SEED, sample: int = SAMPLE) -> dict[int, Pivots]:
     """Pivots and samples by length of vectors. A part of all hash values is read, so copies count once."""
-    share = min(1.0, sample / max(1, rows.count()))
+    n, length = rows.agg(F.count("*"), F.avg(F.size("v"))).first()
+    share = min(1.0, min(sample, VALUES / (length or 1)) / max(1, n))
     h = F.xxhash64(F.lit(seed), "v").alias("h")
     some = rows.select(F.size("v").alias("n"), h, "v").filter(F.pmod("h", F.lit(1 << 32)) < int(share * (1 << 32)))
     got = some.groupBy("n", "h", "v").agg(F.lit(1)).select("n", "h", "v").orderBy("n", "h", "v").toArrow()

@@ -116,9 +116,7 @@ def test_edges_of_each_stage(spark, name, tmp_path):
     (tmp_path / "sf").mkdir()
     sf = f"file://{tmp_path}/sf"
     spark.createDataFrame([(3, 1, 0), (4, 1, 0), (None, 0, 0), (12, 0, None), (7, None, 1)], LABELS).write.parquet(f"{sf}/labels.parquet")
-    docs = cut(documents(spark).filter("doc_id IS NULL OR doc_id <> 6 OR text IS NULL"), "edge")
-    if name in ("quality", "mixture", "pieces", "lines"):
-        docs = cut(documents(spark), "edge")  # with the long text
+    docs = cut(documents(spark), "edge")
     for some in (docs, docs.drop("n_chars", "lang")):
         out = cut(stage(spark, some, sf), "edge-out")
         if name == "quality":
