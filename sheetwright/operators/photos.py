@@ -40,31 +40,49 @@ def duplicate_report(photos: DataFrame) -> DataFrame:
 
 
 def number_photos(photos: DataFrame) -> DataFrame:
-    """Adds pos, 0 to n-1 in each album by src_seq. An album is sorted in one task, which spills; number_global is for a list too long for that."""
+    """Adds pos, 0 to n-1 in each album by src_seq. An album is sorted in one task; number_albums is for longer ones."""
     order = Window.partitionBy("album_id").orderBy("src_seq", "norm_path")
     return photos.withColumn("pos", (F.row_number().over(order) - 1).cast("int"))
 
 
+def _placed(photos: DataFrame, order: list[str]) -> DataFrame:
+    """The rows in range partitions by ``order``, with _part and _nth (their place in it).
+
+    The order must have no ties. The rows are written to the checkpoint folder, so that
+    whoever reads them again sees the same partitions.
+    """
+    if not photos.sparkSession.sparkContext.getCheckpointDir():
+        raise ValueError("numbering over partitions needs spark.checkpoint.dir")
+    ranged = photos.repartitionByRange(*order).sortWithinPartitions(*order)
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.select("*", F.spark_partition_id().alias("_part"), nth.alias("_nth")).checkpoint()
+
+
 def number_global(photos: DataFrame, order: list[str]) -> DataFrame:
     """Adds pos, 0 to n-1 over the whole list, for lists too long for one task.
 
-    Rows are range-partitioned and sorted; the partitions' sizes (one row each) give
-    their offsets. The order must have no ties. The partitioned rows are written to
-    the checkpoint folder, so that both passes see the same partitions.
+    Rows are range-partitioned and sorted; the partitions' sizes (one row each) give their offsets.
     """
-    spark = photos.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        raise ValueError("number_global needs spark.checkpoint.dir")
-    ranged = photos.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ranged.select(
-        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_nth")
-    ).checkpoint()
+    placed = _placed(photos, order)
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
     return placed.join(offsets, "_part").withColumn("pos", F.col("_ahead") + F.col("_nth")).drop("_part", "_nth", "_n", "_ahead")
 
 
+def number_albums(photos: DataFrame) -> DataFrame:
+    """number_photos where an album is too long for one task: an album may lie in several range partitions.
+
+    One row for each album in each partition gives the offsets; (src_seq, norm_path) must have no ties in an album.
+    """
+    placed = _placed(photos, ["album_id", "src_seq", "norm_path"])
+    sizes = placed.groupBy("album_id", "_part").agg(F.count("*").alias("_n"), F.min("_nth").alias("_first"))
+    ahead = Window.partitionBy("album_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("album_id", "_part", (F.coalesce(F.sum("_n").over(ahead), F.lit(0)) - F.col("_first")).alias("_ahead"))
+    numbered = placed.join(offsets, ["album_id", "_part"]).withColumn("pos", (F.col("_ahead") + F.col("_nth")).cast("int"))
+    return numbered.drop("_part", "_nth", "_ahead")
+
+
 def union_sources(images: DataFrame, pdf_photos: DataFrame) -> DataFrame:
     """Image files and photos split from PDFs in one list; columns that one side lacks are null."""
     return images.unionByName(pdf_photos, allowMissingColumns=True)

@@ -54,6 +54,12 @@ def w2_number_photos(spark, sf_dir):
     return photos.number_photos(photos.dedupe_keep_first(X.photos(spark, sf_dir))).select("album_id", "norm_path", "pos")
 
 
+@query(f"WITH {X.PHOTOS_SQL} SELECT album_id, norm_path, pos FROM listed")
+def w2_number_albums(spark, sf_dir):
+    spark_dir(spark)
+    return photos.number_albums(photos.dedupe_keep_first(X.photos(spark, sf_dir))).select("album_id", "norm_path", "pos")
+
+
 @query(f"WITH {X.MANIFEST_SQL} SELECT {CELLS} FROM cells")
 def w3_paginate(spark, sf_dir):
     return pages.paginate(X.manifest(spark, sf_dir)).select(*_cells)

@@ -96,6 +96,13 @@ def test_global_numbers_are_dense_over_partitions(spark):
     assert got.filter(F.col("pos") != F.col("src_seq")).count() == 0 and got.count() == 5000
 
 
+def test_a_huge_album_is_numbered_over_partitions(spark):
+    rows_ = spark.range(0, 4000).select(F.when(F.col("id") < 3500, 1).otherwise(F.col("id") % 50).cast("long").alias("album_id"), (F.col("id") * 7919 % 4000).alias("src_seq"), F.col("id").cast("string").alias("norm_path"))
+    want = rows(photos.number_photos(rows_), "album_id", "norm_path", "pos")
+    assert rows(photos.number_albums(rows_.repartition(7)), "album_id", "norm_path", "pos") == want
+    assert photos.number_albums(rows_.filter("false")).count() == 0
+
+
 def test_drawn_rectangles_lie_in_their_cells(spark):
     data = [(k, w, h, e, r) for k, (w, h, e, r) in enumerate([(1, 1, 1, 0), (9000, 3, 6, 90), (3, 9000, 5, 270), (400, 300, None, 180)])]
     cells = spark.createDataFrame(data, "pos int, width int, height int, exif_orientation int, rotation int").withColumn("layout", F.lit("3x4"))
