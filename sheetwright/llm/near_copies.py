@@ -8,7 +8,7 @@ copies never meet each other.
 Fingerprint: each bit of a hash and of a mixed form of it is a vote of its shingle; the signs
 of the BITS sums of votes are the SimHash fingerprint. Sets of similarity s agree in the sign of
 a sum with probability 1 - acos(2s / (1 + s)) / pi, so the radius is the expected distance
-and SIGMAS standard deviations (32 of 128 bits at 0.8, where unlike texts differ in 64).
+and SIGMAS standard deviations (31 of 128 bits at 0.8, where unlike texts differ in 64).
 
 Candidates: a key by equal bits would lose most pairs so far apart. Instead each table turns
 the vector of sums by fixed rotations and keeps the axis on which it is longest, with its
