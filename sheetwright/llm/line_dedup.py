@@ -160,7 +160,8 @@ def dedup_lines(
     drops = drops.withColumnsRenamed({"doc_id": "line_doc", "body": "line_body"})
     out = docs.select(F.struct("*").alias("doc"), text_or_empty(F.col("text")).alias("body"))
     same_id = F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(NO_ID)) == F.col("line_doc")
-    out = out.join(drops, same_id & (F.xxhash64("body") == F.col("line_body")), "left")
+    # merged at every size: a broadcast would only serve tables with few repeated lines
+    out = out.join(drops.hint("merge"), same_id & (F.xxhash64("body") == F.col("line_body")), "left")
     # a column of its own, used more than once, so that it is split once and not for each line
     out, lines = out.withColumn("lines", F.split("body", "\n")), F.col("lines")
     # array_except works on hashed numbers: its time is that of the lines, however many of them go
