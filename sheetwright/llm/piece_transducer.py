@@ -39,11 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-#: Parts remembered in a task at most, and weights of pairs of pieces; then the memory starts anew.
-MEMORY, PAIRS = 250_000, 300_000
+#: Parts remembered in a task, newer and older ones, each at most; weights of pairs of pieces at most, after which these start anew.
+MEMORY, PAIRS = 100_000, 300_000
 UNKNOWN_WEIGHT, FAR = 1e6, float("inf")
-#: Bits of a character in a key of the arc table.
-CHAR = 21
 
 
 def _runs(pieces) -> re.Pattern:
@@ -104,6 +102,7 @@ class PieceTransducer:
         ]
         self.pair: dict[int, float] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self._compile()
 
     def _compile(self) -> None:
@@ -120,21 +119,23 @@ class PieceTransducer:
                         self.split[p] = u, v
                         whole.add(p)
                         break
-        self.arc: dict[int, int] = {}
+        self.arcs: list[dict[str, int]] = [{}]
         self.writes: list[int] = [-1]
         for p, i in self.ids.items():
             if self.bpe and len(p) > 1 and p not in self.split:
                 continue  # merging never makes it
             state = 0
             for c in p:
-                key = state << CHAR | ord(c)
-                if key not in self.arc:
+                if c not in self.arcs[state]:
                     self.writes.append(-1)
-                    self.arc[key] = len(self.writes) - 1
+                    self.arcs.append({})
+                    self.arcs[state][c] = len(self.writes) - 1
                     if c == BLANK:
-                        self.arc[state << CHAR | ord(" ")] = self.arc[key]
-                state = self.arc[key]
+                        self.arcs[state][" "] = len(self.writes) - 1
+                state = self.arcs[state][c]
             self.writes[state] = i
+        none: dict[str, int] = {}
+        self.arcs = [x or none for x in self.arcs]
 
     def _stand(self, u: str, v: str, limit: float = FAR) -> bool:
         """Whether no merge takes place across the border of neighbours u and v before ``limit``."""
@@ -159,12 +160,12 @@ class PieceTransducer:
 
     def _shortest(self, text: str) -> tuple[int, ...]:
         """What the shortest path over a part of the text writes."""
-        n, arc, writes, bpe, score, pair = len(text), self.arc.get, self.writes, self.bpe, self.score, self.pair
-        codes = [ord(c) for c in text]
+        n, arcs, writes, bpe, score, pair = len(text), self.arcs, self.writes, self.bpe, self.score, self.pair
+        first = arcs[0]
         far, last, back = [0.0] + [FAR] * n, [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
-            state, j, here, u = arc(codes[i], -1), i + 1, far[i], last[i]
-            while state >= 0:
+            state, j, here, u = first.get(text[i]), i + 1, far[i], last[i]
+            while state is not None:
                 v = writes[state]
                 if v >= 0 and (not bpe or far[j] == FAR):  # a BPE prefix has one path: no other can be finite
                     if not bpe:
@@ -178,9 +179,9 @@ class PieceTransducer:
                         far[j], last[j], back[j] = w, v, i
                 if j == n:
                     break
-                state = arc(state << CHAR | codes[j], -1)
+                state = arcs[state].get(text[j])
                 j += 1
-            if far[i + 1] == FAR and writes[arc(codes[i], 0)] < 0:  # byte fallback
+            if far[i + 1] == FAR and writes[first.get(text[i], 0)] < 0:  # byte fallback
                 far[i + 1], last[i + 1], back[i + 1] = here + UNKNOWN_WEIGHT, -1, i
         out: list[int] = []
         while n:
@@ -205,10 +206,11 @@ class PieceTransducer:
         for part in self.parts(text):
             ids = known.get(part)
             if ids is None:
-                ids = self._shortest(part)
+                ids = self.older.get(part) or self._shortest(part)
                 if len(part) <= 64:
                     if len(known) >= MEMORY:
-                        known.clear()
+                        self.older, known = known, {}
+                        self.known = known
                     known[part] = ids
             out += ids
         return out
