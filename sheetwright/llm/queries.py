@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    decontaminate,
+    fill_in_middle,
     ftrl_quality,
     hmm_lm,
     license_scan,
     line_dedup,
     mixing,
+    periodic_runs,
     permutation_index,
     piece_transducer,
     quality_rules,
     secret_scan,
     simhash,
 )
-from .common import n_words, table
+from .common import WORD, n_words, table
 
 
 #: Model file of the SentencePiece queries.
@@ -85,7 +88,53 @@ def op10_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl_quality.classify_quality(docs, table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_hmm_lm, op3_mix_sources, op4_quality_rules, op5_secret_scan, op6_simhash, op7_piece_transducer, op8_license_digest, op9_line_dedup, op10_ftrl_quality)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda col: F.sha2(col, 256)
+    return rows.select(
+        "doc.doc_id", "n", "form",
+        F.char_length("prefix").cast("long").alias("prefix_chars"), F.char_length("middle").cast("long").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"), digest(fill_in_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """The documents with periods planted in a tenth of them, as the contract of op12 says; a null doc_id plants none."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    rows = docs.withColumns({"h": h, "ws": F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})")))})
+    n, g = F.size("ws"), F.floor(F.col("h") / 10)
+    rows = rows.withColumns({"a": F.when(n > 0, g % n).cast("int"), "g": g})
+    rows = rows.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    unit = F.slice("ws", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - F.col("a")) / F.col("p")).cast("int"))), F.lit(1), n - F.col("a"))
+    text = F.array_join(F.concat(F.slice("ws", F.lit(1), F.col("a")), tail), " ")
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.periodic_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    rows = rows.select("doc.doc_id", "runs", "collapsed", top.alias("top"))
+    length, start, period = F.col("top.length"), -F.col("top.col2"), -F.col("top.col3")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    rows = decontaminate.decontaminate(docs, items)
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return rows.select(
+        "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_hmm_lm, op3_mix_sources, op4_quality_rules, op5_secret_scan, op6_simhash, op7_piece_transducer, op8_license_digest, op9_line_dedup, op10_ftrl_quality, op11_fill_in_middle, op12_periodic_runs, op13_decontaminate)}
 
 _SPACES = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -173,4 +222,30 @@ SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, c
 FROM docs LEFT JOIN spans USING (row) GROUP BY row
 """
 
-ORACLES = {"op5_secret_scan": _OP5, "op3_mix_sources": _OP3, "op8_license_digest": _OP8, "op9_line_dedup": _OP9}
+_OP11 = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+units AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u FROM docs),
+nums AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+  CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM units),
+cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM nums),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM parts
+"""
+
+_OP13 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10ffff}}]+') AS ws FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10ffff}}]+') AS ws FROM benchmark),
+wins AS (SELECT DISTINCT item, array_to_string(ws[i + 1:i + 10], ' ') AS w, least(len(ws), 10) AS len FROM items, unnest(range(greatest(1, len(ws) - 9))) t(i) WHERE len(ws) > 0),
+lens AS (SELECT DISTINCT len FROM wins),
+spots AS (SELECT r, i, len, array_to_string(ws[i + 1:i + len], ' ') AS w FROM docs, lens, unnest(range(len(ws) - len + 1)) t(i)),
+hits AS (SELECT DISTINCT r, i, len, w FROM spots SEMI JOIN wins USING (w, len)),
+covered AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + len)) AS k FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits JOIN wins USING (w, len)) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
+
+ORACLES = {"op11_fill_in_middle": _OP11, "op13_decontaminate": _OP13, "op5_secret_scan": _OP5, "op3_mix_sources": _OP3, "op8_license_digest": _OP8, "op9_line_dedup": _OP9}
