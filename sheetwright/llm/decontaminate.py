@@ -12,7 +12,8 @@ The windows' shingles and prefixes are written tables, of which Spark knows the
 spark.sql.autoBroadcastJoinThreshold and shuffles beyond it, without change of results. Text isn't carried
 along with its shingles: documents are numbered and written once, and only those with a candidate meet their
 text again. A passage in very many documents is a key of the join with the windows alone; all else is
-keyed by document. DataFrame functions only.
+keyed by document. Texts are shuffled for the check only where a broadcast table of at most CELLS cells, to which
+row numbers are hashed, says that the document may have a candidate. DataFrame functions only.
 
 Edge cases: null and empty texts have no words, are never hit and make no window; an item's text that repeats is
 one window of several items; rows that repeat an item_id are one item; a null item_id counts as the empty id; each
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, cut, text_or_empty
 
 WINDOW, SHINGLE = 10, 5
+#: Cells of the table that keeps most texts out of the check's shuffle: at most 8 MB, whatever the input. It decides no result.
+CELLS = 1 << 20
 #: All ASCII characters but digits and letters a-z, after lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -80,7 +83,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     hits = postings.join(prefix, "key").filter(fits).select("row", F.struct(start.alias("start"), "len", "window").alias("c"))
     lists = cut(hits.groupBy("row").agg(F.collect_list("c").alias("cs")), "contamination-candidates")
 
-    there = docs.select("row", "body").join(lists, "row").select("row", words(F.col("body")).alias("ws"), "cs")
+    cell = F.xxhash64("row").bitwiseAND(F.lit(CELLS - 1))
+    cells = cut(lists.select(cell.alias("cell")).distinct(), "contamination-cells")
+    near = docs.select("row", "body", cell.alias("cell")).join(cells, "cell", "left_semi")
+    there = near.join(lists.hint("merge"), "row").select("row", words(F.col("body")).alias("ws"), "cs")
     there = there.select("row", F.inline(F.transform("cs", lambda c: F.struct(c["start"].alias("start"), c["window"].alias("window"), F.slice("ws", c["start"] + 1, c["len"]).alias("w")))))
     exact = there.join(windows.withColumnRenamed("w", "known"), "window").filter(F.col("w") == F.col("known"))
     exact = cut(exact.select("row", "start", F.size("w").alias("len"), "window"), "contamination-hits")
@@ -90,7 +96,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     named = exact.select("row", "window").distinct().join(held.join(windows, "w").select("window", "item"), "window")
     named = named.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = cut(covered.join(named, "row"), "contamination-found")
-    return docs.select("row", "doc_id", "n_words").join(found, "row", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), "items")
+    return docs.select("row", "doc_id", "n_words").join(found.hint("merge"), "row", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), "items")
 
 
 def n_covered(spans: Column) -> Column:
