@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Values of seq in a stretch, stretches (or results of them) put together at once, positions of a block.
-STRETCH, TOGETHER, BLOCK = 4_096, 16, 1 << 16
+#: Values of seq in a stretch, and positions of a block.
+STRETCH, BLOCK = 4_096, 1 << 16
 _COLUMNS = ["album_id", "norm_path", "path", "pos", "rotation", "layout"]
 
 
@@ -42,10 +42,11 @@ def move_photo(manifest: DataFrame, start: int, to: int) -> DataFrame:
     return manifest.withColumn("pos", moved.otherwise(pos).cast("int"))
 
 
-def _moves(manifest: DataFrame, edits: DataFrame) -> DataFrame:
+def _moves(manifest: DataFrame, edits: DataFrame, stretch: int | None = None) -> DataFrame:
     """album_id, seq, from_pos, to_pos, n (photos of the album) and stretch of each drag."""
     n = manifest.groupBy("album_id").agg(F.count("*").alias("n"))
-    moves = edits.filter("op = 'move'").select("album_id", "seq", "from_pos", "to_pos", F.floor(F.col("seq") / STRETCH).cast("long").alias("stretch"))
+    nth = F.floor(F.col("seq") / (stretch or STRETCH)).cast("long")
+    moves = edits.filter("op = 'move'").select("album_id", "seq", "from_pos", "to_pos", nth.alias("stretch"))
     return moves.join(n, "album_id")
 
 
@@ -81,7 +82,10 @@ def apply_moves(manifest: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.select("album_id", "norm_path", "path", pos, "rotation", "layout", F.coalesce("move_error", F.lit(0)).alias("move_error"))
 
 
-# A rearrangement as pieces: stretches (start, length) of the old list in the order of the new one.
+# A rearrangement as pieces: stretches (start, length) of the old list in the order of the new one. As rows, a piece
+# is (album_id, stretch, new, old, length): the positions new, new+1, ... hold what was at old, old+1, ...
+
+_PIECES = "album_id long, stretch long, new long, old long, length long"
 
 
 def _compact(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,89 +111,90 @@ def drag(start: np.ndarray, length: np.ndarray, a: int, b: int) -> tuple[np.ndar
     return out_start[some], out_length[some]
 
 
-def compose(first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The pieces of one rearrangement after another."""
-    (start, length), (s, n) = first, then
-    ends = np.cumsum(length)
-    low, high = np.searchsorted(ends, s, "right"), np.searchsorted(ends, s + n - 1, "right")
-    many = high - low + 1
-    of = np.repeat(np.arange(len(s)), many)
-    piece = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + low[of]
-    begin = ends[piece] - length[piece]
-    a, b = np.maximum(s[of], begin), np.minimum(s[of] + n[of], ends[piece])
-    return _compact(start[piece] + a - begin, b - a)
+def _cut_at_blocks(pieces: DataFrame, at: Column, block: int) -> DataFrame:
+    """Adds block; a piece over several blocks of positions ``at`` becomes one for each."""
+    first, last = (at / block).cast("long"), ((at + F.col("length") - 1) / block).cast("long")
+    each = pieces.withColumn("block", F.explode(F.sequence(first, last)))
+    low = F.greatest(at, F.col("block") * block)
+    size = F.least(at + F.col("length"), (F.col("block") + 1) * block) - low
+    return each.withColumns({"new": F.col("new") + (low - at), "old": F.col("old") + (low - at), "length": size})
 
 
-def _pack(album, stretch, n, errors, pieces) -> pd.DataFrame:
-    return pd.DataFrame([{"album_id": album, "stretch": stretch, "n": n, "errors": errors, "start": pieces[0].tobytes(), "length": pieces[1].tobytes()}])
+def _overlaid(first: pd.DataFrame, then: pd.DataFrame) -> pd.DataFrame:
+    """The pieces (new, old, length) of one rearrangement after another, both over the same stretch of the list between them."""
+    a, b = first.sort_values("new"), then.sort_values("old")
+    x = np.union1d(a["new"], b["old"])
+    end = int(a["new"].iloc[-1] + a["length"].iloc[-1])
+    i, j = np.searchsorted(a["new"], x, "right") - 1, np.searchsorted(b["old"], x, "right") - 1
+    old = a["old"].to_numpy()[i] + x - a["new"].to_numpy()[i]
+    new = b["new"].to_numpy()[j] + x - b["old"].to_numpy()[j]
+    return _joined(pd.DataFrame({"new": new, "old": old, "length": np.diff(np.append(x, end))}))
 
 
-def _unpack(r) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(r.start, np.int64), np.frombuffer(r.length, np.int64)
+def _joined(pieces: pd.DataFrame) -> pd.DataFrame:
+    """Pieces that follow each other in both lists made one."""
+    p = pieces.sort_values("new")
+    new, old, length = (p[c].to_numpy() for c in ("new", "old", "length"))
+    first = np.r_[True, (new[1:] != new[:-1] + length[:-1]) | (old[1:] != old[:-1] + length[:-1])]
+    at = np.flatnonzero(first)
+    return pd.DataFrame({"new": new[at], "old": old[at], "length": np.add.reduceat(length, at)})
 
 
-def rearrangements(manifest: DataFrame, edits: DataFrame) -> DataFrame:
-    """album_id, stretch, n, errors, start, length: the pieces of all drags of each album, in one row with stretch 0."""
-    schema = "album_id long, stretch long, n long, errors long, start binary, length binary"
+def rearrangements(manifest: DataFrame, edits: DataFrame, stretch: int | None = None, block: int | None = None) -> DataFrame:
+    """album_id, stretch (0), new, old, length: the pieces of all drags of each album with any, a row a piece.
+
+    The drags of a stretch of seq are folded in a task. Two neighbouring stretches are then put together, level by level: the
+    list between them is cut into blocks of positions, and each block of each pair is overlaid in a task of its own, so that
+    neither a row nor a task holds more than a block's pieces, whatever the album and its drags.
+    """
+    block = block or BLOCK
 
     def fold(key, moves):
-        n, errors = int(moves["n"].iloc[0]), 0
+        n = int(moves["n"].iloc[0])
         pieces = np.array([0]), np.array([n])
         for a, b in moves.sort_values(["seq", "from_pos", "to_pos"])[["from_pos", "to_pos"]].itertuples(index=False):
             if 0 <= a < n and 0 <= b < n:
                 pieces = drag(*pieces, int(a), int(b))
-            else:
-                errors += 1
-        return _pack(key[0], key[1], n, errors, _compact(*pieces))
+        old, length = _compact(*pieces)
+        return pd.DataFrame({"album_id": key[0], "stretch": key[1], "new": np.cumsum(length) - length, "old": old, "length": length})
 
     def together(key, parts):
-        rows = list(parts.sort_values("stretch").itertuples())
-        pieces = _unpack(rows[0])
-        for r in rows[1:]:
-            pieces = compose(pieces, _unpack(r))
-        return _pack(key[0], key[1], rows[0].n, sum(r.errors for r in rows), pieces)
+        early, late = parts[parts["side"] == 0], parts[parts["side"] == 1]
+        done = _overlaid(early, late) if len(early) and len(late) else _joined(parts)
+        return done.assign(album_id=key[0], stretch=key[1])[["album_id", "stretch", "new", "old", "length"]]
 
-    moves = _moves(manifest, edits)
+    moves = _moves(manifest, edits, stretch)
     bounds = moves.agg(F.min("stretch"), F.max("stretch")).first()
     low, spread = bounds[0] or 0, (bounds[1] or 0) - (bounds[0] or 0)
-    parts = moves.withColumn("stretch", F.col("stretch") - low).groupBy("album_id", "stretch").applyInPandas(fold, schema)
+    parts = moves.withColumn("stretch", F.col("stretch") - low).groupBy("album_id", "stretch").applyInPandas(fold, _PIECES)
     while spread > 0:
-        parts = parts.withColumn("stretch", F.floor(F.col("stretch") / TOGETHER).cast("long")).groupBy("album_id", "stretch").applyInPandas(together, schema)
-        spread //= TOGETHER
+        side = (F.col("stretch") % 2).cast("int")
+        pairs = parts.withColumns({"side": side, "stretch": F.floor(F.col("stretch") / 2).cast("long")})
+        pairs = _cut_at_blocks(pairs, F.when(F.col("side") == 0, F.col("new")).otherwise(F.col("old")), block)
+        parts = pairs.groupBy("album_id", "stretch", "block").applyInPandas(together, _PIECES)
+        spread //= 2
     return parts
 
 
-def apply_moves_long(manifest: DataFrame, edits: DataFrame) -> DataFrame:
-    """apply_moves for albums of any length: no task holds an album's list or all its drags.
+def apply_moves_long(manifest: DataFrame, edits: DataFrame, stretch: int | None = None, block: int | None = None) -> DataFrame:
+    """apply_moves for albums of any length: no row or task holds an album's list, or all its drags or their pieces.
 
-    What is left of the drags are the pieces that they cut the list into, at most three
-    a drag; a block of positions meets those that lie in it.
+    stretch: values of seq whose drags are folded in one task; block: positions that are worked on in one task.
     """
-
-    def blocks(batches):
-        for b in batches:
-            for r in b.itertuples():
-                start, length = _unpack(r)
-                shift = np.cumsum(length) - length - start
-                order = np.argsort(start)
-                start, shift = start[order], shift[order]
-                for low in range(0, int(r.n), BLOCK):
-                    a, z = np.searchsorted(start, low, "right") - 1, np.searchsorted(start, low + BLOCK, "left")
-                    yield pd.DataFrame(
-                        [{"album_id": r.album_id, "block": low // BLOCK, "errors": r.errors, "start": start[a:z].tobytes(), "shift": shift[a:z].tobytes()}]
-                    )
+    block = block or BLOCK
 
     def place(cells: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        pos, errors = cells["pos"].to_numpy(), 0
+        pos = cells["pos"].to_numpy()
         if len(parts) and len(cells):
-            r = next(parts.itertuples())
-            start, shift = np.frombuffer(r.start, np.int64), np.frombuffer(r.shift, np.int64)
-            pos, errors = pos + shift[np.searchsorted(start, pos, "right") - 1], r.errors
-        return cells[_COLUMNS].assign(pos=pos.astype(np.int32), move_error=np.int32(errors))
-
-    parts = rearrangements(manifest, edits).mapInPandas(blocks, "album_id long, block long, errors long, start binary, shift binary")
-    cells = manifest.select(*_COLUMNS, F.floor(F.col("pos") / BLOCK).cast("long").alias("block"))
-    pairs = cells.groupBy("album_id", "block").cogroup(parts.groupBy("album_id", "block"))
-    return pairs.applyInPandas(
-        place, "album_id long, norm_path string, path string, pos int, rotation int, layout string, move_error int"
-    )
+            p = parts.sort_values("old")
+            shift = (p["new"] - p["old"]).to_numpy()
+            pos = pos + shift[np.searchsorted(p["old"], pos, "right") - 1]
+        return cells[_COLUMNS].assign(pos=pos.astype(np.int32))
+
+    pieces = _cut_at_blocks(rearrangements(manifest, edits, stretch, block), F.col("old"), block)
+    cells = manifest.select(*_COLUMNS, F.floor(F.col("pos") / block).cast("long").alias("block"))
+    pairs = cells.groupBy("album_id", "block").cogroup(pieces.groupBy("album_id", "block"))
+    placed = pairs.applyInPandas(place, "album_id long, norm_path string, path string, pos int, rotation int, layout string")
+    fits = F.col("from_pos").between(0, F.col("n") - 1) & F.col("to_pos").between(0, F.col("n") - 1)
+    errors = _moves(manifest, edits).groupBy("album_id").agg(F.count_if(~F.coalesce(fits, F.lit(False))).cast("int").alias("move_error"))
+    return placed.join(errors, "album_id", "left").withColumn("move_error", F.coalesce("move_error", F.lit(0)))

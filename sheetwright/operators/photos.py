@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,38 @@ def duplicate_report(photos: DataFrame) -> DataFrame:
     return seen.filter("copies > 1").withColumn("skipped", F.col("copies") - 1)
 
 
+def repeated_keys(photos: DataFrame) -> DataFrame:
+    """album_id, _h1, _h2 of the identities that come more than once, by 128-bit hashes of norm_path.
+
+    Counts are added up before the shuffle, which takes 32 bytes an identity and no paths.
+    """
+    return _hashed(photos).groupBy("album_id", "_h1", "_h2").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+
+
+def _hashed(photos: DataFrame) -> DataFrame:
+    null = F.col("norm_path").isNull()  # hashes pass over nulls, so these are told apart
+    return photos.withColumns({"_h1": F.xxhash64("norm_path", null), "_h2": F.xxhash64(F.lit(1), "norm_path", null)})
+
+
+def dedupe_keep_first_by_hash(photos: DataFrame) -> DataFrame:
+    """dedupe_keep_first where most photos are there once: only those whose hash repeats are shuffled with their paths.
+
+    Hashes only pick candidates, and these are compared by their paths, so a collision costs work and no row. The photos
+    are read twice, so they should be a table; Spark broadcasts the repeated hashes where they are few.
+    """
+    rows, keys = _hashed(photos), repeated_keys(photos).select(F.col("album_id").alias("_album"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2"))
+    same = F.col("album_id").eqNullSafe(F.col("_album")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))
+    once, more = rows.join(keys, same, "left_anti"), rows.join(keys, same, "left_semi")
+    return once.unionByName(dedupe_keep_first(more)).drop("_h1", "_h2")
+
+
+def duplicate_report_by_hash(photos: DataFrame) -> DataFrame:
+    """duplicate_report that shuffles paths of repeated hashes alone."""
+    rows, keys = _hashed(photos), repeated_keys(photos).select(F.col("album_id").alias("_album"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2"))
+    same = F.col("album_id").eqNullSafe(F.col("_album")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))
+    return duplicate_report(rows.join(keys, same, "left_semi").select(*KEY))
+
+
 def number_photos(photos: DataFrame) -> DataFrame:
     """Adds pos, 0 to n-1 in each album by src_seq. An album is sorted in one task; number_albums is for longer ones."""
     order = Window.partitionBy("album_id").orderBy("src_seq", "norm_path")
@@ -96,8 +130,8 @@ def incoming(scan: DataFrame, album_id: int) -> DataFrame:
     return scan.select(F.lit(album_id).cast("long").alias("album_id"), "path", "norm_path", F.lit(0).cast("long").alias("src_seq"))
 
 
-def add_photos(manifest: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The manifest with a batch appended: listed photos are skipped, the others follow the last pos.
+def fresh_photos(manifest: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The photos of a batch that aren't listed yet, numbered behind the last pos of their albums.
 
     incoming: album_id, norm_path, path, src_seq. That new photos go to the end, and that
     the first copy stays, is our choice.
@@ -107,7 +141,7 @@ def add_photos(manifest: DataFrame, incoming: DataFrame) -> DataFrame:
     fresh = dedupe_keep_first(incoming).join(hits, KEY, "left_anti")
     last = manifest.groupBy("album_id").agg(F.max("pos").alias("_last"), F.first("layout", ignorenulls=True).alias("_layout"))
     fresh = number_photos(fresh).join(last, "album_id", "left")
-    fresh = fresh.select(
+    return fresh.select(
         "album_id",
         "norm_path",
         "path",
@@ -115,7 +149,11 @@ def add_photos(manifest: DataFrame, incoming: DataFrame) -> DataFrame:
         F.lit(0).alias("rotation"),
         F.col("_layout").alias("layout"),
     )
-    return manifest.select("album_id", "norm_path", "path", "pos", "rotation", "layout").unionByName(fresh)
+
+
+def add_photos(manifest: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The manifest with a batch appended: listed photos are skipped, the others follow the last pos."""
+    return manifest.select("album_id", "norm_path", "path", "pos", "rotation", "layout").unionByName(fresh_photos(manifest, incoming))
 
 
 def apply_state(photos: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -136,3 +174,24 @@ def present_originals(manifest: DataFrame, scan: DataFrame) -> DataFrame:
 
 def missing_originals(manifest: DataFrame, scan: DataFrame) -> DataFrame:
     return manifest.join(scan.select("norm_path"), "norm_path", "left_anti")
+
+
+def moved_originals(manifest: DataFrame, scan: DataFrame, digests: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """norm_path, state, new_path of each listed photo: found where it was, moved (its content is at new_path), or missing.
+
+    manifest and scan: norm_path, length; ``scan`` also path. digests(files, part) gives files (with path) that have a ``digest``
+    of their content; part is "head" (the first kilobytes) or "full", and of the manifest's photos it has them stored, as
+    columns head and full. Content is looked at as late as it can be: missing photos are held against new files (those that aren't
+    listed) of their length, what is left against their heads, and only pairs with equal heads against whole digests.
+    Of several files with one content the first by path is new_path, and n_copies counts them.
+    """
+    there = scan.select("norm_path").distinct().withColumn("_there", F.lit(True))
+    listed = manifest.join(there, "norm_path", "left")
+    gone = listed.filter("_there IS NULL").select("norm_path", "length", "head", "full")
+    new = scan.join(manifest.select("norm_path"), "norm_path", "left_anti").select(F.col("norm_path").alias("new_path"), "path", "length")
+    some = new.join(gone.select("length").distinct(), "length", "left_semi")
+    some = digests(some, "head").withColumnRenamed("digest", "head").join(gone.select("length", "head").distinct(), ["length", "head"], "left_semi")
+    some = digests(some, "full").withColumnRenamed("digest", "full").groupBy("length", "full").agg(F.min("new_path").alias("new_path"), F.count("*").alias("n_copies"))
+    found = gone.join(some, ["length", "full"], "left").select("norm_path", F.when(F.col("new_path").isNull(), "missing").otherwise("moved").alias("state"), "new_path", "n_copies")
+    stays = listed.filter("_there").select("norm_path", F.lit("found").alias("state"), F.lit(None).cast("string").alias("new_path"), F.lit(None).cast("long").alias("n_copies"))
+    return stays.unionByName(found)

@@ -5,8 +5,11 @@ An album is a label, a photo a vector; files go to the shared folder, one set fo
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.pages import paginate, place
-from ..sources import pdf, raster, scan
+from ..operators.photos import moved_originals
+from ..sources import pdf, ranges, raster, scan
+from ..sources.snapshots import ManifestTable
+from ..streaming.watch import watch_into
 from .queries import query, spark_dir
 
 #: Grey value of a component, at most 254, so that only gutters are white.
@@ -140,28 +146,95 @@ def s7_import_foreign_pdf(spark, sf_dir):
     return rows.select(F.regexp_extract("norm_path", r"([^/]+)$", 1).alias("name"))
 
 
-def _picture_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    """A folder with a file for each vector, in folders by label, names of odd ids hidden; and (vec_id, path)."""
-    out = _folder(spark, "pictures")
-    folder = re.sub(r"^file:/+", "/", out)
+def _written(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
+    """Writes files (vec_id, name, content) below a mounted folder, each at once; (vec_id, path) of them."""
+    root = pdf.mounted(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         for b in batches:
             done = []
-            for vec_id, label, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                os.makedirs(f"{folder}/{label}", exist_ok=True)
-                done.append(f"{folder}/{label}/{'_' if vec_id % 2 else ''}picture [{vec_id}] {{a}}.PNG")
-                part = f"{folder}/{label}/.part-{vec_id}-{os.getpid()}"
+            for vec_id, name, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                done.append(f"{root}/{name}")
+                os.makedirs(os.path.dirname(done[-1]), exist_ok=True)
+                part = f"{os.path.dirname(done[-1])}/.part-{vec_id}-{os.getpid()}"
                 with open(part, "wb") as f:
                     f.write(data)
                 os.replace(part, done[-1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string())], ["vec_id", "path"])
 
-    files = pictures(spark, sf_dir).mapInArrow(run, "vec_id long, path string")
-    files.write.parquet(f"{out}.list")  # writes the pictures too
-    return out, spark.read.schema("vec_id long, path string").parquet(f"{out}.list")
+    files.select("vec_id", "name", "content").mapInArrow(run, "vec_id long, path string").write.parquet(f"{folder}.list")  # writes the files too
+    return spark.read.schema("vec_id long, path string").parquet(f"{folder}.list")
+
+
+def _picture_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A folder with a file for each vector, in folders by label, names of odd ids hidden; and (vec_id, path)."""
+    out = _folder(spark, "pictures")
+    hidden = F.when(F.col("vec_id") % 2 != 0, "_").otherwise("")
+    name = F.concat("label", F.lit("/"), hidden, F.lit("picture ["), "vec_id", F.lit("] {a}.PNG"))
+    return out, _written(spark, pictures(spark, sf_dir).withColumn("name", name), out)
+
+
+def header_file(vec_id: int) -> bytes:
+    """A file of one of four formats, sized 1 + id % 90 by 1 + id % 70, with a header and some bytes that are no picture."""
+    kind, w, h, turn, rest = vec_id % 4, 1 + vec_id % 90, 1 + vec_id % 70, 1 + vec_id % 8, b"\0" * 9_000
+    if kind == 0:
+        body = struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)
+        return b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + body + struct.pack(">I", zlib.crc32(b"IHDR" + body)) + rest
+    if kind == 1:
+        return b"BM" + struct.pack("<IHHI", 54, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, -h, 1, 24, 0, 0, 0, 0, 0, 0) + rest
+    entry = struct.pack(">HHIHH", 0x0112, 3, 1, turn, 0)
+    if kind == 2:  # the directory is behind the rest
+        sizes = struct.pack(">HHIHH", 256, 3, 1, w, 0) + struct.pack(">HHIHH", 257, 3, 1, h, 0)
+        return b"MM\0*" + struct.pack(">I", 8 + len(rest)) + rest + struct.pack(">H", 3) + sizes + entry + b"\0\0\0\0"
+    exif = b"Exif\0\0MM\0*\0\0\0\x08\0\x01" + entry + b"\0\0\0\0"
+    segment = lambda mark, data: b"\xff" + mark + struct.pack(">H", len(data) + 2) + data
+    return b"\xff\xd8" + segment(b"\xe1", exif) + segment(b"\xe2", rest) * 2 + b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, h, w, 1) + b"\x01\x11\0\xff\xd9"
+
+
+@query("""SELECT CAST(vec_id AS BIGINT) AS vec_id, (['png', 'bmp', 'tiff', 'jpeg'])[CAST(vec_id % 4 AS INTEGER) + 1] AS format, CAST(1 + vec_id % 90 AS INTEGER) AS width,
+CAST(1 + vec_id % 70 AS INTEGER) AS height, CASE WHEN vec_id % 4 >= 2 THEN CAST(1 + vec_id % 8 AS INTEGER) END AS exif_orientation, CAST(NULL AS VARCHAR) AS probe_error FROM embeddings""")
+def x6_probe_paths(spark, sf_dir):
+    out = _folder(spark, "headers")
+    made = F.udf(header_file, "binary")(F.col("vec_id"))
+    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("vec_id"))
+    _written(spark, ids.select("vec_id", F.concat(F.lit("["), "vec_id", F.lit("].bin")).alias("name"), made.alias("content")), out)
+    found = ranges.probe_paths(scan.scan_files(spark, out, hidden=True))
+    return found.select(_vec_id("path"), "format", "width", "height", "exif_orientation", "probe_error")
+
+
+@query("""SELECT CAST(label AS BIGINT) AS label, CAST(row_number() OVER (ORDER BY CAST(label AS VARCHAR) || ' of ' || CAST(n AS VARCHAR)) - 1 AS INTEGER) AS pos, CAST(n AS BIGINT) AS n
+FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)""")
+def watch_folder(spark, sf_dir):
+    """A file for each label comes into a watched folder; then the same files again under a new checkpoint, which adds none."""
+    out = _folder(spark, "arrivals")
+    labels = pictures(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.min_by("content", "vec_id").alias("content"))
+    _written(spark, labels.select(F.col("label").alias("vec_id"), F.format_string("%d of %d.png", "label", "n").alias("name"), "content"), out)
+    table = ManifestTable(spark, _folder(spark, "watched"))
+    for nth in (1, 2):
+        watch_into(table, out, f"{out}.checkpoint-{nth}", 1).awaitTermination()
+    part = lambda k: F.regexp_extract("path", r"(-?\d+) of (\d+)\.png", k).cast("long")
+    return table.read().select(part(1).alias("label"), "pos", part(2).alias("n"))
+
+
+@query("""WITH px AS (SELECT vec_id, label, CAST(list_transform(embedding, lambda v: CAST(least(254, greatest(0, floor((CAST(v AS DOUBLE) + 1) * 127))) AS INTEGER)) AS VARCHAR) AS g,
+  CAST(label AS VARCHAR) || '/' || CASE WHEN vec_id % 2 = 1 THEN '_' ELSE '' END || 'picture [' || CAST(vec_id AS VARCHAR) || '] {a}.PNG' AS name FROM embeddings),
+fresh AS (SELECT g, arg_min(vec_id, name) AS new_id, count(*) AS n_copies FROM px WHERE vec_id % 3 <> 1 GROUP BY g)
+SELECT CAST(vec_id AS BIGINT) AS vec_id, 'found' AS state, CAST(NULL AS BIGINT) AS new_id, CAST(NULL AS BIGINT) AS n_copies FROM px WHERE vec_id % 3 = 1
+UNION ALL SELECT vec_id, 'moved', new_id, n_copies FROM px JOIN fresh USING (g) WHERE vec_id % 3 = 0
+UNION ALL SELECT vec_id, 'missing', NULL, NULL FROM px WHERE vec_id % 3 = 2""")
+def j3_moved_originals(spark, sf_dir):
+    """A third of the listed photos are in place, a third lie under other names, of a third the content is nowhere."""
+    out, _ = _picture_files(spark, sf_dir)
+    files = scan.scan_images(spark, out, hidden=True).select("path", "norm_path", "length")
+    known = ranges.file_digests(ranges.file_digests(files, "head").withColumnRenamed("digest", "head"), "full").withColumnRenamed("digest", "full")
+    vec_id = F.regexp_extract("path", r"\[(-?\d+)\]", 1).cast("long")
+    third, here = vec_id % 3, F.concat(F.lit("/old/["), vec_id, F.lit("].png"))
+    listed = known.select(
+        F.when(third == 1, F.col("norm_path")).otherwise(here).alias("norm_path"), "length",
+        F.when(third == 2, F.lit("none")).otherwise(F.col("head")).alias("head"), F.when(third == 2, F.lit("none")).otherwise(F.col("full")).alias("full"),
+    )
+    rows = moved_originals(listed, files, ranges.file_digests)
+    return rows.select(_vec_id("norm_path"), "state", F.regexp_extract("new_path", r"\[(-?\d+)\]", 1).cast("long").alias("new_id"), "n_copies")
 
 
 def _vec_id(path):
@@ -188,4 +261,4 @@ def s2_scan_pdfs(spark, sf_dir):
 @query("SELECT CAST(vec_id AS BIGINT) AS vec_id FROM embeddings")
 def s3_load_paths(spark, sf_dir):
     _, files = _picture_files(spark, sf_dir)
-    return scan.load_paths(spark, [r["path"] for r in files.collect()]).select(_vec_id("path"))
+    return scan.load_paths(spark, files).select(_vec_id("path"))

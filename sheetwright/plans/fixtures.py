@@ -85,6 +85,19 @@ EDITS_SQL = """edits AS (SELECT user_id AS album_id, event_id AS seq, 'photo' ||
   FROM events WHERE event_type IN ('click', 'view', 'purchase'))"""
 
 
+def drags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drags in the albums of ``manifest``, one for every sixteenth part; some positions are behind an album's end."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_partkey % 16 = 0")
+    return rows.select(
+        F.col("l_suppkey").alias("album_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.lit("move").alias("op"), F.lit(None).cast("string").alias("norm_path"),
+        (F.col("l_orderkey") % 620).cast("int").alias("from_pos"), (F.col("l_partkey") * 7 % 620).cast("int").alias("to_pos"),
+    )
+
+
+DRAGS_SQL = """drags AS (SELECT *, row_number() OVER (PARTITION BY album_id ORDER BY seq, from_pos, to_pos) AS k FROM (
+  SELECT l_suppkey AS album_id, l_orderkey * 8 + l_linenumber AS seq, CAST(l_orderkey % 620 AS INTEGER) AS from_pos, CAST(l_partkey * 7 % 620 AS INTEGER) AS to_pos FROM lineitem WHERE l_partkey % 16 = 0))"""
+
+
 def nine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest of nine photos for each album of the edit log."""
     albums = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("album_id")).distinct()

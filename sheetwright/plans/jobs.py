@@ -7,34 +7,46 @@ from pyspark.sql import functions as F
 
 from ..operators import edits as E
 from ..operators.pages import paginate, place
-from ..operators.photos import add_photos, dedupe_keep_first, incoming, number_photos, with_paths
+from ..operators.photos import add_photos, dedupe_keep_first, incoming, number_albums, number_photos, with_paths
 from ..schemas import MANIFEST
-from ..sources import pdf, raster, scan
+from ..session import shared_dir
+from ..sources import pdf, ranges, raster, scan
 
 
-def list_photos(photos: DataFrame, layout: str | None = None, even_albums: bool = False) -> DataFrame:
+def list_photos(photos: DataFrame, layout: str | None = None, even_albums: bool = False, long_albums: bool = False) -> DataFrame:
     """A manifest of photos (album_id, norm_path, path, src_seq): first copies, numbered.
 
     Dedupe and numbering shuffle on different keys. even_albums: there are many albums
-    and none is huge, so one shuffle by album serves both.
+    and none is huge, so one shuffle by album serves both. long_albums: an album may be too long to be
+    numbered in one task, so albums lie over range partitions.
     """
-    rows = photos.repartition("album_id") if even_albums else photos
-    rows = number_photos(dedupe_keep_first(rows))
+    rows = dedupe_keep_first(photos.repartition("album_id") if even_albums else photos)
+    if long_albums:
+        shared_dir(photos.sparkSession)
+    rows = number_albums(rows) if long_albums else number_photos(rows)
     return rows.select("album_id", "norm_path", "path", "pos", F.lit(0).alias("rotation"), F.lit(layout).cast("string").alias("layout"))
 
 
-def export_manifest(manifest: DataFrame, files: DataFrame, out: str) -> DataFrame:
-    """Write the albums of a manifest as PDFs; files: norm_path, content. Returns the table ``pdfs``."""
-    sizes = raster.probe_images(files.select("norm_path", "content").dropDuplicates(["norm_path"]))
-    cells = paginate(manifest).join(sizes.drop("probe_error", "format"), "norm_path", "left")
-    return pdf.export_pdf(place(cells), files, out)
+def export_manifest(manifest: DataFrame, files: DataFrame, out: str, sizes: DataFrame | None = None) -> DataFrame:
+    """Write the albums of a manifest as PDFs; files: norm_path, content. Returns the table ``pdfs``.
+
+    sizes: what ranges.probe_paths found, by norm_path; without it the content is probed.
+    """
+    if sizes is None:
+        sizes = raster.probe_images(files.select("norm_path", "content").dropDuplicates(["norm_path"]))
+    sizes = sizes.select("norm_path", "width", "height", "exif_orientation")
+    return pdf.export_pdf(place(paginate(manifest).join(sizes, "norm_path", "left")), files, out)
 
 
 def folder_to_pdf(spark: SparkSession, roots: list[str] | str, out: str, album_id: int = 1, layout: str = "3x3", hidden: bool = False) -> DataFrame:
-    """Scan folders, lay the photos out on A4 pages and write the album's PDF."""
+    """Scan folders, lay the photos out on A4 pages and write the album's PDF.
+
+    Headers are probed by ranges, so a file is read as a whole once, when its page is drawn.
+    """
     found = scan.scan_images(spark, roots, hidden=hidden)
-    manifest = list_photos(incoming(found, album_id), layout)
-    return export_manifest(manifest, scan.with_content(found.select("path", "norm_path")), out)
+    manifest = list_photos(incoming(found, album_id), layout, long_albums=True)
+    sizes = ranges.probe_paths(found.select("path", "norm_path").dropDuplicates(["norm_path"]))
+    return export_manifest(manifest, scan.with_content(found.select("path", "norm_path")), out, sizes)
 
 
 def edit_manifest(manifest: DataFrame, edits: DataFrame) -> DataFrame:

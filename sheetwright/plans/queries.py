@@ -6,7 +6,6 @@ queries on files make files of the given tables and are held against the tables.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from ..functions import geometry, paths, rasters
 from ..functions.state import manifest_json, parse_manifest
 from ..operators import edits, manifests, pages, photos
 from ..operators.layouts import with_layout
+from ..session import shared_dir as spark_dir
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -73,18 +73,6 @@ def w4_number_global(spark, sf_dir):
     return photos.number_global(one, ["src_seq", "norm_path"]).select("norm_path", "pos")
 
 
-def spark_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder, which the session has to name; a local one in local mode alone."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not path:
-        path = tempfile.mkdtemp(prefix="sheetwright-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 # Projections and filters
 
 
@@ -198,6 +186,53 @@ def s4_manifest_table(spark, sf_dir):
     return read_manifest(spark, path)
 
 
+_J1 = ORACLES["j1_add_photos"]
+
+
+@query(f"""SELECT album_id, norm_path, path, pos, CAST(CASE WHEN pos % 10 = 3 THEN (rotation + 90) % 360 ELSE rotation END AS INTEGER) AS rotation, layout
+FROM ({_J1}) WHERE pos % 10 <> 7""")
+def s4_snapshot_table(spark, sf_dir):
+    """Four commits: a list, a batch added, the same batch delivered again, an edit of some photos that takes others out."""
+    from ..sources.snapshots import ManifestTable
+
+    old = X.manifest(spark, sf_dir).filter("album_id % 2 = 0 AND pos % 3 <> 1")
+    table = ManifestTable(spark, f"{spark_dir(spark)}/sheetwright/manifest-{uuid.uuid4().hex}")
+    table.replace(old.withColumn("pos", (F.expr("row_number() OVER (PARTITION BY album_id ORDER BY pos)") - 1).cast("int")))
+    for _ in range(2):
+        table.add(X.photos(spark, sf_dir), ("photos", 1))
+    some = table.read().filter("pos % 10 IN (3, 7)").withColumn("rotation", ((F.col("rotation") + 90) % 360).cast("int"))
+    table.change(some, F.col("pos") % 10 == 7)
+    return table.read()
+
+
+@query("""WITH old AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, o_orderkey % 97 AS length FROM orders WHERE o_orderstatus IN ('F', 'P')),
+new AS (SELECT CAST(o_orderkey AS VARCHAR) AS path, o_orderkey % 97 + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS length FROM orders WHERE o_orderstatus IN ('O', 'P')),
+sides AS (SELECT path, CASE WHEN old.path IS NULL THEN 'added' WHEN new.path IS NULL THEN 'gone' WHEN old.length <> new.length THEN 'changed' END AS change,
+  coalesce(new.length, old.length) AS length FROM old FULL JOIN new USING (path))
+SELECT path, change, length FROM sides WHERE change IS NOT NULL""")
+def s1_listing_changes(spark, sf_dir):
+    from ..sources.scan import listing_changes
+
+    files = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderkey").alias("k"), "o_orderstatus", F.lit(None).cast("timestamp").alias("modificationTime"))
+    old = files.filter("o_orderstatus IN ('F', 'P')").withColumn("length", F.col("k") % 97)
+    new = files.filter("o_orderstatus IN ('O', 'P')").withColumn("length", F.col("k") % 97 + F.when(F.col("k") % 5 == 0, 1).otherwise(0))
+    return listing_changes(old, new).select("path", "change", "length")
+
+
+@query(f"""WITH {X.MANIFEST_SQL} SELECT album_id, path, pos, rotation, layout, 'before' AS side FROM manifest WHERE album_id % 5 = 1 AND pos % 400 = 7
+UNION ALL SELECT album_id, path, pos, (rotation + 90) % 360, layout, 'after' FROM manifest WHERE album_id % 5 = 1 AND pos % 400 = 7""")
+def u2_roundtrip_diff_by_digests(spark, sf_dir):
+    before = X.manifest(spark, sf_dir)
+    turned = F.when((F.col("album_id") % 5 == 1) & (F.col("pos") % 400 == 7), (F.col("rotation") + 90) % 360).otherwise(F.col("rotation"))
+    after = manifests.unpack_manifest(manifests.pack_manifest(before.withColumn("rotation", turned.cast("int"))))
+    return manifests.roundtrip_diff_by_digests(before, after, block=100)
+
+
+@query(ORACLES["w1_dedupe_keep_first"])
+def w1_dedupe_by_hash(spark, sf_dir):
+    return photos.dedupe_keep_first_by_hash(X.photos(spark, sf_dir)).select("album_id", "norm_path", "path", "src_seq")
+
+
 # Aggregations
 
 
@@ -206,6 +241,11 @@ def a2_duplicate_report(spark, sf_dir):
     return photos.duplicate_report(X.photos(spark, sf_dir))
 
 
+@query(ORACLES["a2_duplicate_report"])
+def a2_duplicate_report_by_hash(spark, sf_dir):
+    return photos.duplicate_report_by_hash(X.photos(spark, sf_dir))
+
+
 @query("""WITH albums AS (SELECT source AS album_id, count(*) AS n FROM documents GROUP BY 1),
 grids(layout, capacity) AS (VALUES ('1x1', 1), ('2x2', 4), ('2x3', 6), ('3x2', 6), ('3x3', 9), ('3x4', 12), ('4x3', 12), ('4x4', 16))
 SELECT album_id, layout, CAST((n + capacity - 1) // capacity AS BIGINT) AS n_pages, CAST((n + capacity - 1) // capacity * capacity - n AS BIGINT) AS n_blank FROM albums CROSS JOIN grids""")
@@ -279,6 +319,20 @@ def o4_apply_moves_long(spark, sf_dir):
     return edits.apply_moves_long(X.nine(spark, sf_dir), X.edits(spark, sf_dir)).select("album_id", "norm_path", "pos")
 
 
+@query(f"""WITH RECURSIVE {X.PHOTOS_SQL}, {X.DRAGS_SQL}, sized AS (SELECT album_id, list(norm_path ORDER BY pos) AS ps, count(*) AS n FROM listed GROUP BY 1),
+run AS (SELECT album_id, CAST(0 AS BIGINT) AS k, ps FROM sized
+  UNION ALL SELECT album_id, k, CASE WHEN fits THEN list_concat(list_concat(l[1:to_pos], [x]), l[to_pos + 1:]) ELSE ps END FROM (
+    SELECT r.album_id, d.k, r.ps, to_pos, from_pos < len(r.ps) AND to_pos < len(r.ps) AS fits, r.ps[from_pos + 1] AS x, list_concat(r.ps[1:from_pos], r.ps[from_pos + 2:]) AS l
+    FROM run r JOIN drags d ON d.album_id = r.album_id AND d.k = r.k + 1)),
+done AS (SELECT album_id, arg_max(ps, k) AS ps FROM run GROUP BY 1),
+wrong AS (SELECT album_id, CAST(count(*) AS INTEGER) AS move_error FROM drags JOIN sized USING (album_id) WHERE from_pos >= n OR to_pos >= n GROUP BY 1)
+SELECT album_id, unnest(ps) AS norm_path, CAST(unnest(range(len(ps))) AS INTEGER) AS pos, coalesce(move_error, 0) AS move_error FROM done LEFT JOIN wrong USING (album_id)""")
+def o4_apply_moves_sharded(spark, sf_dir):
+    """Albums of some hundred photos and tens of drags, in several stretches, levels and blocks."""
+    rows = edits.apply_moves_long(X.manifest(spark, sf_dir), X.drags(spark, sf_dir), stretch=1 << 15, block=256)
+    return rows.select("album_id", "norm_path", "pos", "move_error")
+
+
 # Geometry
 
 _A4 = "72.0::DOUBLE / 25.4::DOUBLE"

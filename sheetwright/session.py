@@ -1,8 +1,11 @@
-"""Session settings that the library's jobs expect, for callers that have no session yet."""
+"""Session settings that the library's jobs expect, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "sheetwright", **conf: str) -> SparkSession:
@@ -11,3 +14,26 @@ def session(app: str = "sheetwright", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder, which the session has to name; a local one in local mode alone."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not path:
+        path = tempfile.mkdtemp(prefix="sheetwright-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/sheetwright/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, so lost executors cost no rework."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -143,6 +143,13 @@ class _File:
         return self.at
 
 
+def mounted(folder: str) -> str:
+    """The path of a folder that all executors mount; folders of other file systems are refused, as tasks would write beside them."""
+    if re.match(r"^(?!file:)[a-zA-Z][a-zA-Z0-9+.-]+:/", folder):
+        raise ValueError(f"{folder} isn't a mounted folder")
+    return re.sub(r"^file:/+", "/", folder)
+
+
 def export_pdf(cells: DataFrame, photos: DataFrame, out: str) -> DataFrame:
     """Write the albums as PDFs to the folder out (mounted on all executors); returns the table ``pdfs``.
 
@@ -154,7 +161,7 @@ def export_pdf(cells: DataFrame, photos: DataFrame, out: str) -> DataFrame:
     states = pack_manifest(cells, volume).select("album_id", (F.col("block") * VOLUME).alias("page_no"), "state")
     pages = render_pages(cells, photos).join(states, ["album_id", "page_no"], "left").withColumn("volume", volume)
     pages = pages.repartition("album_id", "volume").sortWithinPartitions("album_id", "volume", "page_no")
-    folder = re.sub(r"^file:/+", "/", out)
+    folder = mounted(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
