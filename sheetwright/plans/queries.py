@@ -109,6 +109,23 @@ def f9_file_parts(spark, sf_dir):
     return X.paths(spark, sf_dir).select("path", paths.file_name(path).alias("name"), paths.file_ext(path).alias("ext"))
 
 
+@query(ORACLES["p5_page_view"])
+def p5_page_lookup(spark, sf_dir):
+    from ..sources import lookup
+
+    lookup.write_cells(pages.paginate(X.manifest(spark, sf_dir)), path := f"{spark_dir(spark)}/sheetwright/cells-{uuid.uuid4().hex}")
+    return lookup.page_photos(spark, path, [(7, 2)]).select(*_cells)
+
+
+@query(f"""WITH {X.MANIFEST_SQL} SELECT album_id, norm_path, page_no, slot, "row", col FROM cells WHERE norm_path IN ((SELECT min(norm_path) FROM photos), (SELECT max(norm_path) FROM photos))""")
+def p6_photo_lookup(spark, sf_dir):
+    from ..sources import lookup
+
+    lookup.write_cells(pages.paginate(X.manifest(spark, sf_dir)), path := f"{spark_dir(spark)}/sheetwright/cells-{uuid.uuid4().hex}")
+    ends = X.photos(spark, sf_dir).agg(F.min("norm_path"), F.max("norm_path")).first()
+    return lookup.photo_places(spark, path, list(ends)).select("album_id", "norm_path", "page_no", "slot", "row", "col")
+
+
 # Joins and set operations
 
 
@@ -268,6 +285,15 @@ def a5_pack_manifest(spark, sf_dir):
     return manifests.pack_manifest(X.manifest(spark, sf_dir))
 
 
+@query(f"WITH {X.MANIFEST_SQL} SELECT album_id, path, pos, rotation, layout FROM manifest")
+def a5_state_sink(spark, sf_dir):
+    from ..sources.states import read_states, write_states
+
+    path = f"{spark_dir(spark)}/sheetwright/states-{uuid.uuid4().hex}"
+    write_states(manifests.pack_manifest(X.manifest(spark, sf_dir), F.floor(F.col("pos") / 100)), path)
+    return manifests.unpack_manifest(read_states(spark, path))
+
+
 @query(f"WITH {X.MANIFEST_SQL} SELECT album_id, path, pos, rotation, layout FROM manifest")
 def f8_manifest_json(spark, sf_dir):
     cells = F.array(F.struct("pos", "path", "rotation"))
@@ -387,3 +413,30 @@ def f7_resize_raster(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     small = rasters.resize_raster(F.col("embedding"), F.lit(8), F.lit(8), F.lit(4), F.lit(4))
     return rows.select("vec_id", F.posexplode(small).alias("i", "v")).select("vec_id", "i", F.round("v", 6).alias("v"))
+
+
+@query(ORACLES["f6_rotate_raster"].replace("SELECT vec_id, CAST(i AS INTEGER)", "SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(i AS INTEGER)"))
+def f6_turn_tiles(spark, sf_dir):
+    """Pictures cut into tiles of 3 x 3 and smaller ones, turned by moving the tiles."""
+    from ..operators import tiles
+
+    cut = tiles.cut_tiles(_pictures(spark, sf_dir), 3)
+    turned = tiles.turn_tiles(cut, F.col("picture") % 4 * 90)
+    return tiles.join_tiles(turned).select(F.col("picture").alias("vec_id"), "i", F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
+@query("""WITH e AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, unnest(range(64)) u(i)),
+w AS (SELECT vec_id, r * 3 + c AS b, v * (least((x + 1) * 3, (c + 1) * 8) - greatest(x * 3, c * 8)) * (least((y + 1) * 3, (r + 1) * 8) - greatest(y * 3, r * 8)) AS p
+  FROM e, range(3) rs(r), range(3) cs(c) WHERE least((x + 1) * 3, (c + 1) * 8) > greatest(x * 3, c * 8) AND least((y + 1) * 3, (r + 1) * 8) > greatest(y * 3, r * 8))
+SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(b AS INTEGER) AS i, round(sum(p) / 64, 6) AS v FROM w GROUP BY vec_id, b""")
+def f7_scale_tiles(spark, sf_dir):
+    """8 x 8 to 3 x 3, which doesn't divide, over tiles of 5 x 5 and smaller ones."""
+    from ..operators import tiles
+
+    small = tiles.scale_tiles(tiles.cut_tiles(_pictures(spark, sf_dir), 5), 3, 3)
+    return small.select(F.col("picture").alias("vec_id"), "i", F.round("v", 6).alias("v"))
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select(F.col("vec_id").cast("long").alias("picture"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("embedding").alias("pixels"))

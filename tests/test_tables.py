@@ -200,3 +200,127 @@ def test_moved_originals(spark, tmp_path):
     listed_ = kept("/here.jpg", f"{tmp_path}/here.jpg").unionByName(kept("/new.jpg", "/old/2.jpg")).unionByName(kept("/near.jpg", "/old/4.jpg").withColumn("full", F.lit("other")))
     got = {r["norm_path"].rpartition("/")[2]: (r["state"], (r["new_path"] or "").rpartition("/")[2], r["n_copies"]) for r in photos.moved_originals(listed_, files, ranges.file_digests).collect()}
     assert got == {"here.jpg": ("found", "", None), "2.jpg": ("moved", "copy.jpg", 2), "4.jpg": ("missing", "", None)}
+
+
+def scanned_rows(df):
+    """Rows that the scan gave on, after row groups were passed over."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    while plan.getClass().getSimpleName() != "FileSourceScanExec":
+        plan = plan.children().apply(0) if plan.children().size() else plan.plan()
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_lookups_pass_over_row_groups(spark, tmp_path):
+    from sheetwright.operators.pages import paginate
+    from sheetwright.sources import lookup
+
+    names = F.sha2(F.col("id").cast("string"), 256)
+    listed_ = spark.range(40_000).select((F.col("id") % 8).alias("album_id"), names.alias("norm_path"), names.alias("path"), F.floor(F.col("id") / 8).cast("int").alias("pos"), F.lit(0).alias("rotation"), F.lit("4x4").alias("layout"))
+    path = f"{tmp_path}/cells"
+    lookup.write_cells(paginate(listed_), path, group_bytes=1 << 17, names=2_000)
+    total = spark.read.parquet(path).count()
+    page = lookup.page_photos(spark, path, [(3, 17), (3, 18)])
+    assert total == 40_000 and rows(page, "pos") == [(k,) for k in range(17 * 16, 19 * 16)] and scanned_rows(page) < total / 8
+    some = [r["norm_path"] for r in spark.read.parquet(path).filter("pos = 77 AND album_id IN (1, 6)").collect()]
+    places = lookup.photo_places(spark, path, some)
+    assert rows(places, "album_id", "page_no", "slot") == [(1, 4, 13), (6, 4, 13)] and scanned_rows(places) < total / 4
+    assert lookup.photo_places(spark, path, ["no such photo"]).count() == 0 and lookup.photo_places(spark, path, []).count() == 0
+    many = [r["norm_path"] for r in spark.read.parquet(path).filter("pos < 100").collect()]
+    assert lookup.photo_places(spark, path, many).count() == lookup.photo_places(spark, path, spark.createDataFrame([(n,) for n in many], "norm_path string")).count() == 800
+
+
+def test_states_are_written_once_or_not_at_all(spark, tmp_path):
+    from sheetwright.operators.manifests import pack_manifest, unpack_manifest
+    from sheetwright.sources.states import read_states, write_states
+
+    path = f"file:{tmp_path}/states"
+    states = pack_manifest(manifest(spark, 50), F.floor(F.col("pos") / 7))
+    write_states(states, path)
+    back = read_states(spark, path)
+    assert back.count() == back.count() == 8 and rows(unpack_manifest(back), "path", "pos") == rows(manifest(spark, 50), "path", "pos")
+    files = sorted(os.listdir(tmp_path / "states"))
+    broken = states.withColumn("state", F.when(F.col("block") < 5, F.col("state")).otherwise(F.raise_error(F.lit("killed"))))
+    with pytest.raises(Exception, match="killed"):
+        write_states(broken, path)
+    assert sorted(os.listdir(tmp_path / "states")) == files and read_states(spark, path).count() == 8
+    write_states(states.filter("block = 1"), path)
+    assert read_states(spark, path).count() == 9
+    write_states(states.filter("block < 2"), path, "overwrite")
+    assert read_states(spark, path).count() == 2
+    assert read_states(spark, f"{tmp_path}/none").count() == 0
+    with pytest.raises(ValueError, match="mounted"):
+        read_states(spark, "hdfs://host/states")
+
+
+def test_tiles_of_any_size(spark):
+    import numpy as np
+
+    from sheetwright.operators import tiles
+
+    rng = np.random.default_rng(1)
+    pictures = {1: rng.integers(0, 255, (7, 10)), 2: rng.integers(0, 255, (1, 13)), 3: rng.integers(0, 255, (9, 4))}
+    df = spark.createDataFrame([(k, p.shape[1], p.shape[0], p.ravel().tolist()) for k, p in pictures.items()] + [(4, 3, 3, [1]), (5, 0, 0, [])], "picture long, width int, height int, pixels array<long>")
+    whole = lambda d, n: np.array([r["v"] for r in sorted(d.filter(F.col("picture") == n).collect(), key=lambda r: r["i"])])
+    for size in (1, 3, 4, 20):
+        cut = tiles.cut_tiles(df, size)
+        for angle in (0, 90, 180, 270, -90, 450):
+            turned = tiles.join_tiles(tiles.turn_tiles(cut, F.lit(angle))).cache()
+            for k, p in pictures.items():
+                assert (whole(turned, k) == np.rot90(p, -angle // 90).ravel()).all()
+            turned.unpersist()
+    cut = tiles.turn_tiles(tiles.cut_tiles(df, 3), F.lit(90))
+    for w2, h2 in ((3, 3), (5, 2), (1, 1), (20, 9)):
+        small = tiles.scale_tiles(cut, w2, h2).cache()
+        for k, p in pictures.items():
+            p = np.rot90(p, -1)
+            fine = np.kron(p, np.ones((h2, w2)))
+            want = fine.reshape(h2, p.shape[0], w2, p.shape[1]).mean((1, 3))
+            assert np.allclose(whole(small, k), want.ravel())
+        small.unpersist()
+
+
+def test_digests_of_round_trips(spark):
+    from sheetwright.operators import manifests
+
+    rng = random.Random(4)
+    data = [(a, f"p{k}", rng.choice([f"P{k}", None]), k, rng.choice([0, 90, None]), rng.choice(["3x3", None])) for a in range(4) for k in range(120)]
+    data += data[7:9]  # repeated rows
+    before = spark.createDataFrame(data, MANIFEST)
+    assert manifests.differing_blocks(before, before.repartition(5), 50).count() == 0
+    other = [list(r) for r in data]
+    other[130][2], other[131][2] = other[131][2], other[130][2]
+    other[300][4], other[300][5] = other[300][5] and 0, "4x4"
+    after = spark.createDataFrame([tuple(r) for r in other[:-1]], MANIFEST)
+    want = rows(manifests.roundtrip_diff(before, after))
+    assert want and rows(manifests.roundtrip_diff_by_digests(before, after, 50)) == want
+    assert {tuple(r) for r in manifests.differing_blocks(before, after, 50).collect()} <= {(0, 0), (1, 0), (2, 1)}
+    nulls = spark.createDataFrame([(1, "a", None, 0, 5, None)], MANIFEST), spark.createDataFrame([(1, "a", None, 0, None, "5")], MANIFEST)
+    assert manifests.roundtrip_diff_by_digests(*nulls).count() == 2
+
+
+def test_duplicates_by_hash(spark):
+    rng = random.Random(5)
+    data = [(rng.randrange(3), rng.choice([f"n{rng.randrange(60)}", None]), f"P{k}", rng.randrange(20)) for k in range(300)] + [(None, "n1", "x", 1), (None, "n1", "y", 2)]
+    df = spark.createDataFrame(data, BATCH)
+    assert rows(photos.dedupe_keep_first_by_hash(df)) == rows(photos.dedupe_keep_first(df))
+    assert rows(photos.duplicate_report_by_hash(df)) == rows(photos.duplicate_report(df))
+
+
+def test_pieces_of_drags_stay_within_blocks(spark):
+    from sheetwright.operators import edits
+    from sheetwright.schemas import EDITS
+
+    rng = random.Random(6)
+    n, want = 900, list(range(900))
+    log = [(1, k, "move", None, rng.randrange(n), rng.randrange(n)) for k in range(0, 3000, 3)]
+    for _, _, _, _, a, b in log:
+        want.insert(b, want.pop(a))
+    start = manifest(spark, n)
+    log = spark.createDataFrame(log, EDITS)
+    pieces = edits.rearrangements(start, log, stretch=100, block=64)
+    assert pieces.agg(F.sum("length")).first()[0] == n and pieces.agg(F.max("length")).first()[0] <= 64
+    assert pieces.groupBy(F.floor(F.col("new") / 64)).count().agg(F.max("count")).first()[0] <= 64  # a row is a piece, a task a block
+    got = edits.apply_moves_long(start, log, stretch=100, block=64).orderBy("pos").collect()
+    assert [r["norm_path"] for r in got] == [f"p{k}" for k in want] and {r["move_error"] for r in got} == {0}
