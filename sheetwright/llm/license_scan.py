@@ -1,13 +1,9 @@
 """License scan by canonical digest: whole texts against known license texts, lines against known notices.
 
-A text is made canonical (A-Z lower-cased, copyright lines out, equivalent spellings
-made one, everything but letters and digits one blank) and hashed with SHA-256; the
-digests are hash-joined with those of the known texts. The known texts go through
-the same functions. DataFrame functions only.
-
-``digest`` is that of ``canonical``. A whole text that it doesn't match is looked up once more
-by ``bare``, which doesn't depend on where lines break: only real copyright statements and
-known title lines go, and punctuation of any script is a blank.
+A text is made canonical (A-Z lower-cased; copyright statements and lines that only name a license out, whatever
+way the text is wrapped; equivalent spellings made one; everything but letters, marks and digits of any script one
+blank) and hashed with SHA-256; the digests are hash-joined with those of the known texts. The known texts
+go through the same function. DataFrame functions only.
 
 Edge cases: null and empty texts match nothing; of known texts with one digest the
 least id is given; each input row gives one row; only doc_id and text are read.
@@ -39,9 +35,9 @@ _BSD_NAME = "\n3. Neither the name of the copyright holder nor the names of its
 _BSD_TAIL = """
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _BSD = (("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL), ("BSD-3-Clause", _BSD_HEAD + _BSD_NAME + _BSD_TAIL))
-#: Known to ``bare`` alone; clauses with numbers and with other bullets.
-MORE_LICENSES = (*_BSD, *((i, t.replace("\n1.", "\n*").replace("\n2.", "\n*").replace("\n3.", "\n*")) for i, t in _BSD))
-LICENSES = (("0BSD", _0BSD), ("ISC", _ISC), ("MIT", _MIT), ("Zlib", _ZLIB))
+#: Short texts; of those with clauses, with numbers and with other bullets.
+_BULLETS = tuple((i, t.replace("\n1.", "\n*").replace("\n2.", "\n*").replace("\n3.", "\n*")) for i, t in _BSD)
+LICENSES = (("0BSD", _0BSD), *_BSD, *_BULLETS, ("ISC", _ISC), ("MIT", _MIT), ("Zlib", _ZLIB))
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -52,77 +48,58 @@ NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
 )
-#: Copyright lines; they name no license and differ from copy to copy.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
-#: For ``bare``, after lower-casing: statements with a sign, a year or a colon, and lines that only name a license.
-STATEMENT = r"(?m)^[ \t]*(?:(?:portions[ \t]+)?copyright[ \t]*(?:\(c\)|©|:|[\[<{(]?(?:[0-9]{4}|y{4}|year))|\(c\)[ \t]|©)[^\n]*$|^[ \t]*all rights reserved[. \t\r]*$"
-TITLE = r"(?m)^[ \t#]*(?:the[ \t]+)?(?:mit|expat|isc|zlib|0bsd|(?:bsd[ \t]+)?zero[- ]clause(?:[ \t]+bsd)?|(?:new |simplified )?bsd(?:[ -][23][- ]clause)?|[23][- ]clause bsd)[ \t]+licen[cs]e(?:[ \t]+\([^)\n]*\))?[:. \t\r]*$"
+#: After lower-casing: copyright statements with a sign, a year or a colon, and lines that only name a license. A line ends at \n alone.
+STATEMENT = r"^[ \t]*(?:(?:portions[ \t]+)?copyright[ \t]*(?:\(c\)|©|:|[\[<{(]?(?:[0-9]{4}|y{4}|year))|\(c\)[ \t]|©)[^\n]*$|^[ \t]*all rights reserved[. \t\r]*$"
+TITLE = r"^[ \t#]*(?:the[ \t]+)?(?:mit|expat|isc|zlib|0bsd|(?:bsd[ \t]+)?zero[- ]clause(?:[ \t]+bsd)?|(?:new |simplified )?bsd(?:[ -][23][- ]clause)?|[23][- ]clause bsd)[ \t]+licen[cs]e(?:[ \t]+\([^)\n]*\))?[:. \t\r]*$"
 #: Equivalent spellings, after lower-casing.
 SPELLINGS = (("licence", "license"), ("acknowledgement", "acknowledgment"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("https://", "http://"), ("&", " and "))
-NO_WORD = r"[^a-z0-9\u0080-￿]+"
+HYPHENS, NO_WORD = "[\u2010\u2011]", r"[^\p{L}\p{M}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    text = F.regexp_replace(ascii_lower(text), COPYRIGHT_LINE, "")
+    text = F.regexp_replace(F.regexp_replace(ascii_lower(text), f"(?md){STATEMENT}", ""), f"(?md){TITLE}", "")
+    text = F.regexp_replace(text, HYPHENS, "-")
     for other, usual in SPELLINGS:
         text = F.replace(text, F.lit(other), F.lit(usual))
     return F.btrim(F.regexp_replace(text, NO_WORD, " "))
 
 
-def bare(text: Column) -> Column:
-    """The words of a text without copyright statements and titles; for the match of whole texts."""
-    text = F.regexp_replace(F.regexp_replace(ascii_lower(text), STATEMENT, ""), TITLE, "")
-    text = F.regexp_replace(text, "[\u2010\u2011]", "-")
-    for other, usual in SPELLINGS:
-        text = F.replace(text, F.lit(other), F.lit(usual))
-    return F.btrim(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}]+", " "))
-
-
 def license_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(license_id, text) of files of license texts, named by their ids, for ``scan_licenses``: such as Apache-2.0, GPL-3 or MPL-2.0."""
     rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
     return rows.select(F.regexp_replace("name", r"\.(txt|md)$", "").alias("license_id"), "text")
 
 
-def known_digests(texts: DataFrame, unit: str) -> DataFrame:
-    """(unit, digest, license_id) of known (license_id, text), each digest once."""
-    rows = texts.select(F.lit(unit).alias("unit"), F.sha2((bare if unit == "bare" else canonical)(F.col("text")), 256).alias("digest"), "license_id")
-    return rows.groupBy("unit", "digest").agg(F.min("license_id").alias("license_id"))
+def known_digests(texts: DataFrame) -> DataFrame:
+    """(digest, license_id) of known (license_id, text), each digest once."""
+    return texts.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+
+
+def known_licenses(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    """(license_id, text): the built-in short texts, and those of a folder that executors can read."""
+    own = spark.createDataFrame(list(LICENSES), "license_id string, text string")
+    return own.unionByName(license_files(spark, folder)) if folder else own
 
 
 def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None, notices: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id (null: no known text), notices (array, in the order of the lines).
 
-    licenses, notices: (license_id, text); the built-in ones by default, which are short texts;
-    license_files reads long ones from a folder. Spark broadcasts
-    their digests below its threshold and shuffles them beyond it. Lines take part
-    if they hold the word license in either spelling.
+    licenses, notices: (license_id, text), by default the built-in ones. Spark broadcasts their digests below its threshold
+    and shuffles them beyond it. Lines take part if they hold the word license in either spelling.
     """
     spark = docs.sparkSession
-    make = lambda rows: spark.createDataFrame(list(rows), "license_id string, text string")
-    known = known_digests(make(LICENSES) if licenses is None else licenses, "text")
-    known = known.unionByName(known_digests(make(LICENSES + MORE_LICENSES) if licenses is None else licenses, "bare"))
-    known = cut(known.unionByName(known_digests(make(NOTICES) if notices is None else notices, "line")), "license-digests")
+    whole = cut(known_digests(known_licenses(spark) if licenses is None else licenses), "license-digests")
+    line = notices if notices is not None else spark.createDataFrame(list(NOTICES), "license_id string, text string")
+    line = cut(known_digests(line), "notice-digests").select(F.col("digest").alias("line"), F.col("license_id").alias("notice"))
+    word = "(?i)licen[cs]e"
     body = F.col("body")
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("(?i)licen[cs]e"))
-    lines = F.when(body.rlike("(?i)licen[cs]e"), F.transform(lines, lambda x: F.sha2(canonical(x), 256)))
-    part = lambda unit, digest, at: F.struct(F.lit(unit).alias("unit"), digest.alias("digest"), at.alias("at"))
-    units = F.concat(
-        F.array(part("text", F.sha2(canonical(body), 256), F.lit(-1)), part("bare", F.sha2(bare(body), 256), F.lit(-1))),
-        F.coalesce(
-            F.transform(lines, lambda d, i: part("line", d, i)),
-            F.expr("cast(array() as array<struct<unit:string,digest:string,at:int>>)"),
-        ),
-    )
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", text_or_empty(F.col("text")).alias("body")
-    ).select("row", "doc_id", F.explode(units).alias("u"))
-    rows = rows.select("row", "doc_id", "u.unit", "u.digest", "u.at").join(known, ["unit", "digest"], "left")
-    whole, line = F.col("unit") == "text", F.col("unit") == "line"
-    notice = F.when(line & F.col("license_id").isNotNull(), F.struct("at", "license_id"))
+    lines = F.transform(F.filter(F.split(body, "\n"), lambda x: x.rlike(word)), lambda x: F.sha2(canonical(x), 256))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_or_empty(F.col("text")).alias("body"))
+    rows = rows.select("row", "doc_id", F.sha2(canonical(body), 256).alias("digest"), F.when(body.rlike(word), lines).alias("lines"))
+    rows = rows.select("row", "doc_id", "digest", F.posexplode_outer("lines").alias("at", "line"))
+    rows = rows.join(whole, "digest", "left").join(line, "line", "left")
+    found = F.collect_list(F.when(F.col("notice").isNotNull(), F.struct("at", F.col("notice").alias("license_id"))))
     return rows.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.max(F.when(whole, F.col("digest"))).alias("digest"),
-        F.coalesce(F.max(F.when(whole, F.col("license_id"))), F.max(F.when(F.col("unit") == "bare", F.col("license_id")))).alias("license_id"),
-        F.transform(F.sort_array(F.collect_list(notice)), lambda x: x["license_id"]).alias("notices"),
-    )
+        F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.first("license_id").alias("license_id"),
+        F.transform(F.sort_array(found), lambda x: x["license_id"]).alias("notices"),
+    )

@@ -73,8 +73,10 @@ def op7_piece_transducer(spark: SparkSession, sf_dir: str, model: str = PIECE_MO
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
-def op8_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def op8_license_digest(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """folder: license texts beside the built-in short ones, in files named by their ids, where all executors can read them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan_licenses(docs, license_scan.known_licenses(spark, folder))
     return found.select("doc_id", "digest", "license_id", F.array_join("notices", ",").alias("notices"))
 
 
@@ -177,15 +179,20 @@ def _values(rows) -> str:
 
 
 def _canonical(text: str) -> str:
-    out = f"regexp_replace({_LOWER.format(text)}, '(?m)^[ \\t]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*$', '', 'g')"
+    out = f"regexp_replace(regexp_replace({_LOWER.format(text)}, '(?m){license_scan.STATEMENT}', '', 'g'), '(?m){license_scan.TITLE}', '', 'g')"
+    out = f"regexp_replace({out}, '{license_scan.HYPHENS}', '-', 'g')"
     for other, usual in license_scan.SPELLINGS:
         out = f"replace({out}, '{other}', '{usual}')"
-    return f"trim(regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{ffff}}]+', ' ', 'g'), ' ')"
+    return f"trim(regexp_replace({out}, '{license_scan.NO_WORD}', ' ', 'g'), ' ')"
 
 
-_OP8 = f"""
-WITH known AS (SELECT 'text' AS unit, sha256({_canonical("t")}) AS digest, i AS license_id FROM (VALUES {_values(license_scan.LICENSES)}) v(i, t)
+def op8_sql(folder: str | None = None) -> str:
+    """SQL of op8_license_digest with a folder of license texts."""
+    files = f"UNION ALL SELECT 'text', sha256({_canonical('content')}), regexp_replace(regexp_extract(filename, '[^/]+$'), '[.](txt|md)$', '') FROM read_text('{folder}/*')" if folder else ""
+    return f"""
+WITH each AS (SELECT 'text' AS unit, sha256({_canonical("t")}) AS digest, i AS license_id FROM (VALUES {_values(license_scan.LICENSES)}) v(i, t) {files}
   UNION ALL SELECT 'line', sha256({_canonical("t")}), i FROM (VALUES {_values(license_scan.NOTICES)}) v(i, t)),
+known AS (SELECT unit, digest, min(license_id) AS license_id FROM each GROUP BY ALL),
 whole AS (SELECT doc_id, sha256({_canonical("coalesce(text, '')")}) AS digest FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE regexp_matches(text, '(?i)licen[cs]e'))),
 notes AS (SELECT doc_id, string_agg(license_id, ',' ORDER BY pos) AS notices FROM lines
@@ -195,7 +202,6 @@ LEFT JOIN known ON unit = 'text' AND known.digest = whole.digest LEFT JOIN notes
 """
 
 
-
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -248,4 +254,4 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
-ORACLES = {"op11_fill_in_middle": _OP11, "op13_decontaminate": _OP13, "op5_secret_scan": _OP5, "op3_mix_sources": _OP3, "op8_license_digest": _OP8, "op9_line_dedup": _OP9}
+ORACLES = {"op11_fill_in_middle": _OP11, "op13_decontaminate": _OP13, "op5_secret_scan": _OP5, "op3_mix_sources": _OP3, "op8_license_digest": op8_sql(), "op9_line_dedup": _OP9}
