@@ -17,10 +17,11 @@ rotations a table as hold random buckets to about BUCKET rows, and as many table
 pair at the least similarity with probability RECALL; both follow from the number of rows.
 
 Comparison: as in ``simhash``, bit-sliced within the buckets, in units of two chunks. Its
-forests make classes of candidates. In each class every pair is then checked exactly: chunks
-of whole sets meet in units, whose common shingles are counted by a product of their
-incidence matrices; a unit gives a spanning forest of its links. Work in a class of m distinct
-sets is m * m / 2 such counts, spread over units, each of CHUNK rows a side.
+forests make classes of candidates. In each class every pair that isn't connected yet is then
+checked exactly: chunks of whole sets meet in units, whose common shingles are counted by a product of their
+incidence matrices; a unit gives a spanning forest of its links. Chunks are first compared with themselves, and what they link
+is contracted, so a class of m copies of one text takes about m * CHUNK counts; m * m / 2 are only left
+where candidates turn out not to be linked. Each unit has CHUNK rows a side.
 
 Edge cases: texts without words are one group; a null doc_id counts as larger than any id, and
 a component of null ids alone has a null component_id; rows that repeat a doc_id stay rows of
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -211,19 +212,65 @@ def _forests(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         yield edges()
 
 
-def _checked(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int, chunk: int) -> DataFrame:
-    """Forests (a, b) of the exact links inside the classes (row, root, n)."""
-    sums = classes.groupBy("root").agg(F.count("*").alias("many"), F.sum("n").alias("weight"))
-    rows = classes.join(cut(sums, "candidate-classes"), "root")
-    rows = rows.withColumn("chunks", F.ceil(F.greatest(F.col("many") / chunk, F.col("weight") / WEIGHT)).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+def _chunks(many: Column, weight: Column, chunk: int) -> Column:
+    return F.ceil(F.greatest(F.lit(1), many / chunk, weight / WEIGHT)).cast("int")
+
+
+def _links_of(units: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Forests (a, b), written, of units given as rows (root, low, high, side, row)."""
+    unit = ["root", "low", "high"]
+    rows = units.join(sets, "row").select(*unit, "side", "row", "hashes").repartition(*unit).sortWithinPartitions(*unit, "side")
+    return cut(rows.mapInArrow(lambda it: _forests(it, similarity), "a long, b long"), "exact-links")
+
+
+def _dealt(rows: DataFrame, chunk: int, *over: str) -> DataFrame:
+    """Rows (root, row, n) with chunks and own: how many chunks the rows of a class (and of ``over``) make, and a row's."""
+    by = ["root", *over]
+    sums = rows.groupBy(*by).agg(F.count("*").alias("many"), F.sum("n").alias("weight"))
+    sums = cut(sums.select(*by, _chunks(F.col("many"), F.col("weight"), chunk).alias("chunks")), "chunks")
+    return rows.join(sums, by).withColumn("own", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
+
+
+def _met(rows: DataFrame, others: Column) -> DataFrame:
+    """Units (root, low, high, side, row) of rows with own: a row's chunk with each of the chunks ``others`` (an array)."""
+    rows = rows.withColumn("other", F.explode(others))
     low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
-    rows = rows.select("root", low, high, (F.col("own") > F.col("other")).cast("int").alias("side"), "row")
+    return rows.select("root", low, high, (F.col("own") > F.col("other")).cast("int").alias("side"), "row")
+
+
+def _labelled(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Rows (root, row, n), written, with label: the least row of the component that the links give so far."""
+    known = components(links.join(rows.select(F.col("row").alias("a")), "a", "left_semi")).select(F.col("v").alias("row"), F.col("root").alias("label"))
+    return cut(rows.join(known, "row", "left").select("root", "row", "n", F.coalesce("label", "row").alias("label")), name)
+
+
+def _checked(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int, chunk: int) -> DataFrame:
+    """Forests (a, b) of the exact links inside the classes (row, root, n).
+
+    Each chunk is compared with itself. Of a class of several chunks only rows that aren't connected yet are then compared, so that
+    a class of copies of one text costs in proportion to its rows: first a row of each component of several rows with the others of these,
+    then all rows outside the class's largest component with all rows.
+    """
     sets = cut(_sets(docs.join(classes.select("row"), "row", "left_semi"), shingle), "shingle-sets")
-    unit = ["root", "low", "high"]
-    rows = rows.join(sets, "row").select(*unit, "side", "row", "hashes").repartition(*unit).sortWithinPartitions(*unit, "side")
-    return rows.mapInArrow(lambda it: _forests(it, similarity), "a long, b long")
+    dealt = cut(_dealt(classes.select("root", "row", "n"), chunk).select("root", "row", "n", "chunks", "own"), "candidate-classes")
+    links = _links_of(_met(dealt, F.array("own")), sets, similarity)
+    long = dealt.filter("chunks > 1").select("root", "row", "n")
+    if long.isEmpty():
+        return links
+    rows = _labelled(long, links, "contracted")
+    heads = rows.groupBy("root", "label").agg(F.count("*").alias("k")).filter("k > 1").select("root", F.col("label").alias("row"))
+    heads = _dealt(cut(heads.join(rows.select("row", "n"), "row").select("root", "row", "n"), "heads"), chunk)
+    links = links.unionByName(_links_of(_met(heads, F.sequence(F.lit(0), F.col("chunks") - 1)), sets, similarity))
+    rows = _labelled(long, links, "contracted-again")
+    sizes = rows.groupBy("root", "label").agg(F.count("*").alias("k"))
+    main = cut(sizes.groupBy("root").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1"), "largest-parts")
+    rows = rows.join(main, "root").select("root", "row", "n", (F.col("label") != F.col("main")).alias("minor"))
+    rows = cut(_dealt(rows, chunk, "minor"), "unconnected")
+    apart = rows.groupBy("root").agg(F.max(F.when(F.col("minor"), F.col("chunks"))).alias("few"), F.max(F.when(~F.col("minor"), F.col("chunks"))).alias("rest"))
+    rows = rows.join(cut(apart, "unconnected-chunks"), "root")
+    rows = rows.withColumn("own", F.when(F.col("minor"), F.col("own")).otherwise(F.col("own") + F.col("few")))  # the others' chunks are counted on
+    last = F.when(F.col("minor"), F.col("few") + F.col("rest") - 1).otherwise(F.col("few") - 1)
+    return links.unionByName(_links_of(_met(rows, F.sequence(F.lit(0), last)), sets, similarity))
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:

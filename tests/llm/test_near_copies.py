@@ -91,3 +91,27 @@ def test_one_row_of_each_group(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string")
     got = sorted((tuple(r) for r in C.near_copies(spark, docs, "").collect()), key=repr)
     assert got == [(0, b), (1, a), (None, c)]
+
+
+def test_units_of_a_hot_class_grow_with_its_rows(spark, monkeypatch):
+    """Copies of one text with a word changed, and some that link to few or none of them: the same groups, about as many units as chunks."""
+    seen, links_of = [], N._links_of
+
+    def counted(units, sets, similarity):
+        seen.append(units.select("root", "low", "high").distinct().count())
+        return links_of(units, sets, similarity)
+
+    monkeypatch.setattr(N, "_links_of", counted)
+    rng, common, counts = random.Random(9), [f"c{k}" for k in range(200)], {}
+    for m in (200, 400):
+        texts = []
+        for _ in range(m):
+            words = list(common)
+            words[rng.randrange(200)] = f"y{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+        texts += [" ".join(common[:150] + [f"e{j}{k}" for k in range(30)]) for j in range(4)]
+        docs = cut(spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string"), "rows")
+        seen.clear()
+        assert {r["row"]: r["component_id"] for r in N.near_copies(docs, chunk=10).collect()} == slow_groups(enumerate(texts))
+        counts[m] = sum(seen)
+    assert counts[200] < 80 and counts[400] < 160  # all pairs of chunks would be 200 and 800
