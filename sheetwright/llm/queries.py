@@ -241,6 +241,26 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
   sha256(t) AS restored_sha256 FROM parts
 """
 
+# A run's words are equal one period apart: equal words of a text are paired, pairs counted by distance, and stretches of them joined.
+_OP12 = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda acc, b: list_reduce(CAST(range(8) AS BIGINT[]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(acc, b)), 4294967295), 4294967295) AS h FROM documents),
+places AS (SELECT *, len(ws) AS n, (h // 10) % greatest(1, len(ws)) AS a FROM docs),
+periods AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM places),
+words AS (SELECT r, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END AS w FROM periods, unnest(range(n)) t(i)),
+pairs AS (SELECT x.r, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+often AS (SELECT r, q FROM pairs GROUP BY r, q HAVING count(*) >= greatest(6 - q, 3 * q)),
+stretches AS (SELECT r, q, min(i) AS s, count(*) + q AS n FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM pairs SEMI JOIN often USING (r, q)) GROUP BY r, q, g),
+runs AS (SELECT r, s, n, min(q) AS q FROM stretches WHERE n >= greatest(6, 4 * q) GROUP BY r, s, n),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + n)) AS i FROM runs),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (r, i) GROUP BY r),
+found AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines, arg_max({'s': s, 'n': n, 'q': q}, [n, -s, -q]) AS top FROM runs GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(top.s AS BIGINT) AS start, CAST(top.n AS BIGINT) AS length, CAST(top.q AS BIGINT) AS period,
+  CAST(1000 * top.n // top.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM docs LEFT JOIN found USING (r) LEFT JOIN kept USING (r)
+"""
+
 _OP13 = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10ffff}}]+') AS ws FROM documents),
 items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10ffff}}]+') AS ws FROM benchmark),
@@ -254,4 +274,4 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
-ORACLES = {"op11_fill_in_middle": _OP11, "op13_decontaminate": _OP13, "op5_secret_scan": _OP5, "op3_mix_sources": _OP3, "op8_license_digest": op8_sql(), "op9_line_dedup": _OP9}
+ORACLES = {"op11_fill_in_middle": _OP11, "op12_periodic_runs": _OP12, "op13_decontaminate": _OP13, "op5_secret_scan": _OP5, "op3_mix_sources": _OP3, "op8_license_digest": op8_sql(), "op9_line_dedup": _OP9}

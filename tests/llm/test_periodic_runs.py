@@ -4,7 +4,6 @@ import re
 import zlib
 
 import numpy as np
-import pytest
 from conftest import DATA
 from edge import documents, empty
 from hypothesis import given, settings
@@ -72,7 +71,6 @@ def test_query_is_the_brute_force_on_whole_tables(spark):
     assert n_with > 5 and len(got) == 200
 
 
-@pytest.mark.skipif("op12_periodic_runs" not in ORACLES, reason="no SQL")
 def test_query_equals_sql(spark):
     assert same(op12_periodic_runs(spark, f"{DATA}/sf0.001"), ORACLES["op12_periodic_runs"], f"{DATA}/sf0.001") == 200
 
