@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.photos import keep_supported, with_paths
 from ..session import written
+from .ranges import open_ranges
 
 _WALKED = "kind string, path string, modificationTime timestamp, length bigint, error string"
 #: Entries that a task lists below one folder before it hands the folders that are left back to be dealt out.
@@ -184,25 +185,39 @@ def with_content_of(spark: SparkSession, files: DataFrame, roots: list[str] | st
     return files.join(read, F.col("path") == F.col("_read"), "left").drop("_read")
 
 
-def with_content(files: DataFrame) -> DataFrame:
-    """Adds content: each file is opened in its task, so only paths are shuffled. A missing file gives null.
+def with_content(files: DataFrame, errors: bool = False) -> DataFrame:
+    """Adds content: each file is opened in its task, so only paths are shuffled. A file that can't be read gives null.
 
-    For mounted folders; with_content_of reads other file systems.
+    Files are mounted, or on a file system that Arrow knows by its scheme. errors: add content_error, which says why content is null.
     """
-    fields = [f for f in files.schema.fields if f.name != "content"]
+    new = ["content", "content_error"] if errors else ["content"]
+    fields = [f for f in files.schema.fields if f.name not in new]
     where = [f.name for f in fields].index("path")
 
+    def read(path: str | None) -> tuple[bytes | None, str | None]:
+        try:
+            fetch, close = open_ranges(path or "")
+        except (OSError, ValueError) as e:
+            return None, str(e)
+        try:
+            parts, at = [], 0
+            while data := fetch(at, 1 << 24):
+                parts.append(data)
+                at += len(data)
+            return b"".join(parts), None
+        except OSError as e:
+            return None, str(e)
+        finally:
+            close()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 16):
-                some, data = b.slice(at, 16), []
-                for p in some.column(where).to_pylist():
-                    try:
-                        with open(re.sub(r"^file:/+", "/", p), "rb") as f:
-                            data.append(f.read())
-                    except OSError:
-                        data.append(None)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(data, pa.binary())], names=[*some.schema.names, "content"])
-
-    schema = files.select(*(f.name for f in fields)).withColumn("content", F.lit(None).cast("binary")).schema
-    return files.select(*(f.name for f in fields)).mapInArrow(run, schema)
+                some = b.slice(at, 16)
+                data = [read(p) for p in some.column(where).to_pylist()]
+                added = [pa.array([d[k] for d in data], kind) for k, kind in zip(range(len(new)), (pa.binary(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*some.columns, *added], names=[*some.schema.names, *new])
+
+    listing = files.select(*(f.name for f in fields))
+    schema = type(listing.schema)([*listing.schema.fields]).add("content", "binary")
+    return listing.mapInArrow(run, schema.add("content_error", "string") if errors else schema)

@@ -155,6 +155,14 @@ def test_chosen_files_by_one_rule(spark, tmp_path):
         assert kept["path"] == f"file:{tmp_path}/{gone}" and kept["modificationTime"] is None
 
 
+def test_content_that_cannot_be_read_says_why(spark, tmp_path):
+    (tmp_path / "a.jpg").write_bytes(b"xy")
+    files = spark.createDataFrame([(f"file:{tmp_path}/a.jpg",), (f"{tmp_path}/gone.jpg",), ("nosuch://host/a.jpg",), (None,)], "path string")
+    got = {r["path"]: (r["content"] and bytes(r["content"]), r["content_error"]) for r in scan.with_content(files, errors=True).collect()}
+    assert got[f"file:{tmp_path}/a.jpg"] == (b"xy", None) and [c for c, e in got.values() if e] == [None] * 3
+    assert scan.with_content(files).columns == ["path", "content"]
+
+
 def test_listing_changes_feed_the_list(spark):
     old = spark.createDataFrame([("a", 1, None), ("b", 2, None), ("c", 3, None)], "path string, length long, modificationTime timestamp")
     new = spark.createDataFrame([("b", 2, None), ("c", 4, None), ("d", 5, None)], "path string, length long, modificationTime timestamp")
