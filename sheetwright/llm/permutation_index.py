@@ -14,8 +14,8 @@ distinct vectors, the whole table up to there. The radius is one for the whole t
 answers don't depend on how the vectors are dealt into blocks. Candidates are reranked by
 exact cosine in double precision. A task keeps its k best of each query; these are merged.
 
-A query's work: READ * LIST / pivots of all places, which grows as sqrt(n), and as many cosines
-as candidates. Queries meet all blocks in groups of QUERY_GROUP, which bounds what is
+A query's work: READ * LIST / pivots of all places, which grows as sqrt(n) until MAX_PIVOTS binds (from 2^20
+distinct vectors) and as n from there, a distance kept for each vector of a block, and as many cosines as candidates. Queries meet all blocks in groups of QUERY_GROUP, which bounds what is
 broadcast. Pivots and sample come from the distinct vectors with the least seeded hash;
 every vector is indexed, where it lies.
 
