@@ -1,8 +1,9 @@
 """Packed edit state as files of JSON lines, written by a Spark sink: a write is a command that happens once, or not at all.
 
 Tasks write hidden part files to a mounted folder; the driver's commit puts one small file in place that names
-the parts of the tasks that counted. Readers read what commits name. An aborted write deletes its parts and names
-none; a part of a task that was run twice is named once. Only state rows are written here, no pictures.
+the parts of the tasks that counted. Readers read what commits name. An aborted write names none of its parts and deletes
+those that are there; vacuum_states deletes parts of tasks that ended later. A part of a task that was run twice is named once. Only
+state rows are written here, no pictures.
 """
 
 from __future__ import annotations
@@ -105,3 +106,15 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
                         )
 
     return named.mapInArrow(lines, SCHEMA)
+
+
+def vacuum_states(path: str) -> list[str]:
+    """Delete the parts that no commit names, and return them; for times without writers."""
+    folder, named = _folder(path), set()
+    for name in glob.glob(f"{folder}/commit-*.json"):
+        with open(name, encoding="utf-8") as f:
+            named |= set(json.load(f)["parts"])
+    dead = sorted(set(map(os.path.basename, glob.glob(f"{folder}/.*.jsonl"))) - named)
+    for name in dead:
+        os.remove(f"{folder}/{name}")
+    return dead

@@ -58,7 +58,6 @@ def test_moves_fold_in_order(spark, n, moves):
 def test_many_moves_in_long_and_short_lists(spark, monkeypatch):
     """Several stretches, rounds and blocks; albums without moves, a hot one, repeated errors."""
     monkeypatch.setattr(edits, "STRETCH", 5)
-    monkeypatch.setattr(edits, "TOGETHER", 2)
     monkeypatch.setattr(edits, "BLOCK", 7)
     rng, sizes = random.Random(3), {1: 40, 2: 9, 3: 1, 4: 30}
     start = spark.createDataFrame([(a, f"p{k}", f"P{k}", k, 0, "3x3") for a, n in sizes.items() for k in range(n)], MANIFEST)

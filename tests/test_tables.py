@@ -241,7 +241,7 @@ def test_lookups_pass_over_row_groups(spark, tmp_path):
 
 def test_states_are_written_once_or_not_at_all(spark, tmp_path):
     from sheetwright.operators.manifests import pack_manifest, unpack_manifest
-    from sheetwright.sources.states import read_states, write_states
+    from sheetwright.sources.states import read_states, vacuum_states, write_states
 
     path = f"file:{tmp_path}/states"
     states = pack_manifest(manifest(spark, 50), F.floor(F.col("pos") / 7))
@@ -252,6 +252,8 @@ def test_states_are_written_once_or_not_at_all(spark, tmp_path):
     broken = states.withColumn("state", F.when(F.col("block") < 5, F.col("state")).otherwise(F.raise_error(F.lit("killed"))))
     with pytest.raises(Exception, match="killed"):
         write_states(broken, path)
+    assert read_states(spark, path).count() == 8
+    vacuum_states(path)  # of tasks that were still running at the abort
     assert sorted(os.listdir(tmp_path / "states")) == files and read_states(spark, path).count() == 8
     write_states(states.filter("block = 1"), path)
     assert read_states(spark, path).count() == 9
