@@ -9,7 +9,7 @@ from ..operators import edits as E
 from ..operators.pages import paginate, place
 from ..operators.photos import add_photos, dedupe_keep_first, incoming, number_albums, number_photos, with_paths
 from ..schemas import MANIFEST
-from ..session import shared_dir
+from ..session import shared_dir, written
 from ..sources import pdf, ranges, raster, scan
 
 
@@ -30,12 +30,13 @@ def list_photos(photos: DataFrame, layout: str | None = None, even_albums: bool
 def export_manifest(manifest: DataFrame, files: DataFrame, out: str, sizes: DataFrame | None = None) -> DataFrame:
     """Write the albums of a manifest as PDFs; files: norm_path, content. Returns the table ``pdfs``.
 
+    The files are written here, once; n_undrawn counts cells that stay blank, as their picture is missing or can't be drawn.
     sizes: what ranges.probe_paths found, by norm_path; without it the content is probed.
     """
     if sizes is None:
         sizes = raster.probe_images(files.select("norm_path", "content").dropDuplicates(["norm_path"]))
     sizes = sizes.select("norm_path", "width", "height", "exif_orientation")
-    return pdf.export_pdf(place(paginate(manifest).join(sizes, "norm_path", "left")), files, out)
+    return written(pdf.export_pdf(place(paginate(manifest).join(sizes, "norm_path", "left")), files, out), "pdfs")
 
 
 def folder_to_pdf(spark: SparkSession, roots: list[str] | str, out: str, album_id: int = 1, layout: str = "3x3", hidden: bool = False) -> DataFrame:

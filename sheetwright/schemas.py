@@ -23,5 +23,5 @@ LAYOUTS = _struct("name string, rows int, cols int, capacity int, is_default boo
 STATE = T.StructType(
     [*_struct("album_id bigint, layout string").fields, T.StructField("cells", T.ArrayType(_struct("pos int, path string, rotation int")))]
 )
-PDFS = _struct("album_id bigint, volume int, n_pages int, n_photos int, bytes bigint, out_path string")
+PDFS = _struct("album_id bigint, volume int, n_pages int, n_photos int, n_undrawn int, bytes bigint, out_path string")
 EXTRACTED = _struct("src_pdf string, src_page int, src_index int, src_part int, format string, width int, height int, content binary, error string")

@@ -30,7 +30,7 @@ from .raster import gutter_boxes, grid_boxes, pixels_of, png_parts, probe, to_pn
 STATE_KEY = "SheetwrightState"
 #: Pages of a file; a longer album has more volumes.
 VOLUME = 2_000
-_PAGE = "album_id bigint, page_no int, n_photos int, dicts array<string>, streams array<binary>"
+_PAGE = "album_id bigint, page_no int, n_photos int, n_undrawn int, dicts array<string>, streams array<binary>"
 _WIDTH, _HEIGHT = A4_WIDTH_MM * POINTS_PER_MM, A4_HEIGHT_MM * POINTS_PER_MM
 
 
@@ -77,7 +77,7 @@ def _page(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         try:
             entries, data = image_object(bytes(r.content))
         except (TypeError, ValueError, KeyError, IndexError, zlib.error):
-            continue  # the cell stays blank; the probe has told why
+            continue  # the cell stays blank and is counted in n_undrawn; the probe has told why
         names.append(f"/P{len(names)} {{{len(dicts)}}} 0 R")
         draw.append(f"q {placement(int(r.turn), bool(r.mirror), r.draw_x, r.draw_y, r.draw_w, r.draw_h)} cm /P{len(names) - 1} Do Q")
         dicts.append(entries)
@@ -86,7 +86,7 @@ def _page(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     streams.append("\n".join(draw).encode())
     dicts.append(f"/Type /Page /Parent {{parent}} 0 R /MediaBox [0 0 {_WIDTH:.2f} {_HEIGHT:.2f}] /Contents {{{len(dicts) - 1}}} 0 R /Resources << /XObject << {' '.join(names)} >> >>")
     streams.append(None)
-    return pd.DataFrame([{"album_id": key[0], "page_no": key[1], "n_photos": len(names), "dicts": dicts, "streams": streams}])
+    return pd.DataFrame([{"album_id": key[0], "page_no": key[1], "n_photos": len(names), "n_undrawn": len(rows) - len(names), "dicts": dicts, "streams": streams}])
 
 
 def render_pages(cells: DataFrame, photos: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ class _File:
 
     def __init__(self, path: str):
         self.path, self.temp = path, f"{path}.{os.getpid()}.part"
-        self.out, self.at, self.offsets, self.kids, self.photos, self.state = open(self.temp, "wb"), 0, {}, [], 0, None  # noqa: SIM115
+        self.out, self.at, self.offsets, self.kids, self.photos, self.undrawn, self.state = open(self.temp, "wb"), 0, {}, [], 0, 0, None  # noqa: SIM115
         self._put(b"%PDF-1.5\n")
 
     def _put(self, data: bytes) -> None:
@@ -116,13 +116,14 @@ class _File:
         else:
             self._put(f" /Length {len(stream)} >>\nstream\n".encode() + stream + b"\nendstream\nendobj\n")
 
-    def page(self, dicts, streams, n: int) -> None:
+    def page(self, dicts, streams, n: int, undrawn: int) -> None:
         first = len(self.offsets) + 3
         number = lambda m: str(2 if m[1] == "parent" else first + int(m[1]))
         for k, (d, s) in enumerate(zip(dicts, streams, strict=True)):
             self.add(first + k, re.sub(r"\{(\w+)\}", number, d), s)
         self.kids.append(first + len(dicts) - 1)
         self.photos += n
+        self.undrawn += undrawn
 
     def close(self) -> int:
         """Write the tail and give the file its name; a failed task leaves no file of that name."""
@@ -169,8 +170,8 @@ def export_pdf(cells: DataFrame, photos: DataFrame, out: str) -> DataFrame:
 
         def done():
             size = pdf.close()
-            values = ([album[0]], [album[1]], [len(pdf.kids)], [pdf.photos], [size], [pdf.path])
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+            values = ([album[0]], [album[1]], [len(pdf.kids)], [pdf.photos], [pdf.undrawn], [size], [pdf.path])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], PDFS.fieldNames())
 
         for b in batches:
@@ -182,7 +183,7 @@ def export_pdf(cells: DataFrame, photos: DataFrame, out: str) -> DataFrame:
                     album = r["album_id"], r["volume"]
                     pdf = _File(f"{folder}/album-{album[0]}{f'-{album[1]}' if album[1] else ''}.pdf")
                 pdf.state = r["state"] if r["state"] is not None else pdf.state
-                pdf.page(r["dicts"], r["streams"], r["n_photos"])
+                pdf.page(r["dicts"], r["streams"], r["n_photos"], r["n_undrawn"])
         if pdf is not None:
             yield done()
 

@@ -1,17 +1,20 @@
-"""Manifests kept as tables."""
+"""Manifests kept as tables: whole ones, as a short form of ``snapshots.ManifestTable``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schemas import MANIFEST
+from .snapshots import ManifestTable
 
 
-def write_manifest(df: DataFrame, path: str) -> None:
-    """Keep edit state as Parquet, albums together and in order within files."""
-    rows = df.select(*MANIFEST.fieldNames()).repartition("album_id").sortWithinPartitions("album_id", "pos")
-    rows.write.mode("overwrite").parquet(path)
+def write_manifest(df: DataFrame, path: str) -> int:
+    """Keep edit state as a new version of the table at path, from which df may have been read; returns the version.
+
+    Rows lie by album and position, and a long album in many files. Older versions stay until the table's vacuum().
+    """
+    return ManifestTable(df.sparkSession, path).replace(df)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).parquet(path)
+    """The last version."""
+    return ManifestTable(spark, path).read()

@@ -95,7 +95,7 @@ def test_export_and_import(spark, tmp_path):
         "album_id", "norm_path", F.col("norm_path").alias("path"), "pos", (F.col("pos") * 90 % 360).alias("rotation"), F.lit("2x2").alias("layout"), "width", "height", "exif_orientation"
     )
     done = pdf.export_pdf(place(paginate(cells)), photos_, str(tmp_path)).collect()
-    assert [(r["album_id"], r["n_pages"], r["n_photos"]) for r in done] == [(1, 2, 4)]
+    assert [(r["album_id"], r["n_pages"], r["n_photos"], r["n_undrawn"]) for r in done] == [(1, 2, 4, 1)]
     assert done[0]["bytes"] == os.path.getsize(done[0]["out_path"])
     files = scan.with_content(scan.scan_pdfs(spark, str(tmp_path)).select("path"))
     back = pdf.import_own_pdf(files)

@@ -13,7 +13,7 @@ def test_folder_to_pdf_and_back_with_edits(spark, tmp_path):
         (src / name).parent.mkdir(parents=True, exist_ok=True)
         (src / name).write_bytes(raster.to_png(np.full((3 + k, 5), 10 * k, np.uint8)))
     done = jobs.folder_to_pdf(spark, str(src), str(out), layout="2x2", hidden=True).collect()
-    assert [(r["n_pages"], r["n_photos"]) for r in done] == [(1, 4)]
+    assert [(r["n_pages"], r["n_photos"], r["n_undrawn"]) for r in done] == [(1, 4, 0)]
     manifest = jobs.reopen(spark, [done[0]["out_path"]])
     names = [r["path"].rpartition("/")[2] for r in manifest.orderBy("pos").collect()]
     assert names == ["_c.png", "b.PNG", "d [1].png", "a.png"]
@@ -21,7 +21,10 @@ def test_folder_to_pdf_and_back_with_edits(spark, tmp_path):
     log = spark.createDataFrame([(1, 1, "rotate_cw", paths["b.PNG"], None, None), (1, 2, "move", None, 3, 0), (1, 3, "move", None, 1, 2)], EDITS)
     edited = jobs.edit_manifest(manifest, log)
     files = scan.with_content(edited.select("path", "norm_path"))
-    again = jobs.export_manifest(edited, files, str(out2)).collect()
+    table = jobs.export_manifest(edited, files, str(out2))
+    times = {n: (out2 / n).stat().st_mtime_ns for n in ("album-1.pdf",)}
+    again = table.collect()
+    assert table.count() == 1 and times == {n: (out2 / n).stat().st_mtime_ns for n in times}  # written once, by no later action
     back = jobs.reopen(spark, [again[0]["out_path"]])
     assert roundtrip_diff(edited, back).count() == 0
     got = [(r["path"].rpartition("/")[2], r["rotation"]) for r in back.orderBy("pos").collect()]
