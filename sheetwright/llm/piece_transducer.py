@@ -6,8 +6,8 @@ Compiled once from a model file into one table of arcs (state, character) -> sta
   on U+2581 has a twin on the blank; a dummy U+2581 stands in front of each text;
 * pieces: a trie from the initial state; where a piece ends, its id is written and the
   initial state entered again, now with that piece as history;
-* byte fallback: a character on no arc from the initial state has an arc of its own, which
-  writes the bytes of its UTF-8 form.
+* byte fallback: a character that is no piece has an arc from the initial state that writes the bytes of its
+  UTF-8 form: those that begin a piece on their own arc, all others on one arc that any of them takes.
 
 Weights are in the tropical semiring (min, +). In a unigram model a piece weighs minus its score,
 whatever its history. In a BPE model piece v after u weighs 1 if merging by the scores would leave
@@ -21,7 +21,8 @@ keeps the least weight and the arc that gave it. No piece crosses from other cha
 white space, or between classes of characters, so every path passes the positions between
 them; the parts between such positions are solved one by one and remembered within a task.
 
-Models whose normaliser has a character map or collapses white space are refused.
+A normaliser that collapses blanks (those at the ends go, several become one) is applied before; such a text doesn't decode to
+itself. Models whose normaliser has a character map are refused.
 
 Edge cases: null and empty texts encode to no ids; text of any characters decodes to
 itself, but U+2581, which decodes to a blank, as in the library; each input row gives
@@ -79,12 +80,12 @@ class PieceTransducer:
         proto = pb.ModelProto()
         proto.ParseFromString(model)
         norm, kind = proto.normalizer_spec, proto.SentencePiece
-        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
+        if norm.precompiled_charsmap or not norm.escape_whitespaces:
             raise ValueError("only models that keep their text as it is")
         if proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("only models with white space before words")
         self.bpe = proto.trainer_spec.model_type == proto.trainer_spec.BPE
-        self.dummy = norm.add_dummy_prefix
+        self.dummy, self.collapse = norm.add_dummy_prefix, norm.remove_extra_whitespaces
         self.pieces = [p.piece for p in proto.pieces]
         plain = {kind.NORMAL, kind.USER_DEFINED, kind.UNUSED}
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in plain and p.type != kind.UNUSED}
@@ -134,6 +135,15 @@ class PieceTransducer:
                         self.arcs[state][" "] = len(self.writes) - 1
                 state = self.arcs[state][c]
             self.writes[state] = i
+        # Byte fallback: its arc's end for all other characters, and the same output where a character only begins pieces.
+        self.bytes = len(self.pieces)
+        self.score.append(-UNKNOWN_WEIGHT)
+        self.rest = len(self.writes)
+        self.writes.append(self.bytes)
+        self.arcs.append({})
+        for state in self.arcs[0].values():
+            if self.writes[state] < 0:
+                self.writes[state] = self.bytes
         none: dict[str, int] = {}
         self.arcs = [x or none for x in self.arcs]
 
@@ -152,19 +162,26 @@ class PieceTransducer:
                 limit, v = made_v + 1, self.split[v][0]
 
     def _after(self, u: int, v: int) -> float:
-        """Weight of piece v after piece u in a BPE model."""
+        """Weight of v after u in a BPE model; nothing merges with the bytes of a character that is no piece."""
         if len(self.pair) >= PAIRS:
             self.pair.clear()
-        w = self.pair[u << 32 | v] = 1.0 if self._stand(self.pieces[u], self.pieces[v]) else FAR
+        stays = self.bytes in (u, v) or self._stand(self.pieces[u], self.pieces[v])
+        w = self.pair[u << 32 | v] = 1.0 if stays else FAR
         return w
 
+    def _written(self, v: int, text: str) -> tuple[int, ...]:
+        """The output of an arc, in reverse."""
+        if v < self.bytes:
+            return (v,)
+        return tuple(self.byte[b] for b in reversed(text.encode())) if self.byte else (self.unknown,)
+
     def _shortest(self, text: str) -> tuple[int, ...]:
         """What the shortest path over a part of the text writes."""
-        n, arcs, writes, bpe, score, pair = len(text), self.arcs, self.writes, self.bpe, self.score, self.pair
+        n, arcs, writes, bpe, score, pair, rest = len(text), self.arcs, self.writes, self.bpe, self.score, self.pair, self.rest
         first = arcs[0]
         far, last, back = [0.0] + [FAR] * n, [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
-            state, j, here, u = first.get(text[i]), i + 1, far[i], last[i]
+            state, j, here, u = first.get(text[i], rest), i + 1, far[i], last[i]
             while state is not None:
                 v = writes[state]
                 if v >= 0 and (not bpe or far[j] == FAR):  # a BPE prefix has one path: no other can be finite
@@ -181,18 +198,10 @@ class PieceTransducer:
                     break
                 state = arcs[state].get(text[j])
                 j += 1
-            if far[i + 1] == FAR and writes[first.get(text[i], 0)] < 0:  # byte fallback
-                far[i + 1], last[i + 1], back[i + 1] = here + UNKNOWN_WEIGHT, -1, i
         out: list[int] = []
         while n:
-            i = back[n]
-            if last[n] >= 0:
-                out.append(last[n])
-            elif self.byte:
-                out += [self.byte[b] for b in reversed(text[i:n].encode())]
-            else:
-                out.append(self.unknown)
-            n = i
+            out += self._written(last[n], text[back[n] : n])
+            n = back[n]
         return tuple(out[::-1])
 
     def parts(self, text: str) -> list[str]:
@@ -200,6 +209,8 @@ class PieceTransducer:
         return self.runs.findall((BLANK if self.dummy else "") + text)
 
     def encode(self, text: str | None) -> list[int]:
+        if text and self.collapse:
+            text = re.sub("  +", " ", text.lstrip(" ")).rstrip(f" {BLANK}")
         if not text:
             return []
         known, out = self.known, []

@@ -51,10 +51,28 @@ def test_unigram_models_take_the_lightest_path():
         assert ours.decode(ours.encode(x)) == x
 
 
-def test_models_that_change_text_are_refused(model):
+def test_models_that_collapse_blanks(model):
     proto = pb.ModelProto()
     proto.ParseFromString(model)
     proto.normalizer_spec.remove_extra_whitespaces = True
+    ours, theirs = T.PieceTransducer(proto.SerializeToString()), sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    for x in [*texts(2000), "  ", " a  b ", "\n  a", "   a b    c  \t ", "a ▁ "]:
+        assert ours.encode(x) == theirs.encode(x)
+
+
+def test_fallback_arcs(model):
+    """Each character leads somewhere from the initial state, and what is no piece writes the bytes of its UTF-8 form."""
+    t = T.PieceTransducer(model)
+    assert t.writes[t.rest] == t.bytes and all(t.writes[s] >= 0 for s in t.arcs[0].values())
+    for c in ("\x00", "\u0378", "\U0010ffff", "\ue000"):
+        assert c in t.ids or t._shortest(c) == tuple(t.byte[b] for b in c.encode())
+    assert t._shortest("\ue000a\ue000") == (*t._shortest("\ue000"), t.ids["a"], *t._shortest("\ue000"))
+
+
+def test_models_with_a_character_map_are_refused(model):
+    proto = pb.ModelProto()
+    proto.ParseFromString(model)
+    proto.normalizer_spec.precompiled_charsmap = b"map"
     with pytest.raises(ValueError):
         T.PieceTransducer(proto.SerializeToString())
 
