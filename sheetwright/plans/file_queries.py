@@ -102,6 +102,16 @@ def s5_export_pdf(spark, sf_dir):
     return pdf.export_pdf(place(paginate(cells)), photos, _folder(spark, "albums")).select("album_id", "volume", "n_photos", "n_pages")
 
 
+@query(f"""{_PAGED} SELECT album_id, CAST(pos // 12 AS INTEGER) AS page_no, CAST(count(*) AS INTEGER) AS n_photos, 0 AS n_undrawn FROM spots GROUP BY ALL""")
+def x5_render_pages(spark, sf_dir):
+    photos = pictures(spark, sf_dir).select("label", "vec_id", F.format_string("/vec/%010d.png", "vec_id").alias("norm_path"), "content")
+    nth = F.expr("row_number() OVER (PARTITION BY label ORDER BY vec_id)")
+    cells = raster.probe_images(photos).select(
+        F.col("label").alias("album_id"), "norm_path", (nth - 1).cast("int").alias("pos"), F.lit(90).alias("rotation"), F.lit("3x4").alias("layout"), "width", "height", "exif_orientation"
+    )
+    return pdf.render_pages(place(paginate(cells)), photos).select("album_id", "page_no", "n_photos", "n_undrawn")
+
+
 @query("""SELECT CAST(label AS BIGINT) AS album_id, '/vec/' || lpad(CAST(vec_id AS VARCHAR), 10, '0') || '.png' AS path,
 CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS pos, CAST(vec_id % 4 * 90 AS INTEGER) AS rotation, '3x4' AS layout FROM embeddings""")
 def s6_import_own_pdf(spark, sf_dir):
