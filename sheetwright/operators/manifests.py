@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.state import manifest_json, parse_manifest
+from ..session import written
 
 COLUMNS = ["album_id", "path", "pos", "rotation", "layout"]
 #: Positions of the photos in one row of packed state.
@@ -66,8 +67,9 @@ def differing_blocks(before: DataFrame, after: DataFrame, block: int = BLOCK) ->
 def roundtrip_diff_by_digests(before: DataFrame, after: DataFrame, block: int = BLOCK) -> DataFrame:
     """roundtrip_diff for two large manifests that are nearly the same: only rows of blocks that differ are compared.
 
-    Equal sides shuffle their blocks' digests alone. Each side is read twice, so it should be a table.
+    Equal sides shuffle their blocks' digests alone. The blocks that differ are written first, so that Spark knows their size and
+    broadcasts them where they are few. Each side is read twice, so it should be a table.
     """
-    differ = differing_blocks(before, after, block).select(F.col("album_id").alias("_album"), F.col("block").alias("_block"))
+    differ = written(differing_blocks(before, after, block), "differing-blocks").select(F.col("album_id").alias("_album"), F.col("block").alias("_block"))
     same = F.col("album_id").eqNullSafe(F.col("_album")) & F.floor(F.col("pos") / block).cast("long").eqNullSafe(F.col("_block"))
     return roundtrip_diff(*(side.select(*COLUMNS).join(differ, same, "left_semi") for side in (before, after)))

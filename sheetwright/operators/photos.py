@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_ext, file_name, media, normalize_path
+from ..session import written
 
 KEY = ["album_id", "norm_path"]
 
@@ -57,10 +58,11 @@ def _hashed(photos: DataFrame) -> DataFrame:
 def dedupe_keep_first_by_hash(photos: DataFrame) -> DataFrame:
     """dedupe_keep_first where most photos are there once: only those whose hash repeats are shuffled with their paths.
 
-    Hashes only pick candidates, and these are compared by their paths, so a collision costs work and no row. The photos
-    are read twice, so they should be a table; Spark broadcasts the repeated hashes where they are few.
+    Hashes only pick candidates, and these are compared by their paths, so a collision costs work and no row. The repeated
+    hashes are written first, so that Spark knows their size and broadcasts them where they are few. The photos are read
+    three times, so they should be a table.
     """
-    rows, keys = _hashed(photos), repeated_keys(photos).select(F.col("album_id").alias("_album"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2"))
+    rows, keys = _hashed(photos), written(repeated_keys(photos), "repeated-keys").select(F.col("album_id").alias("_album"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2"))
     same = F.col("album_id").eqNullSafe(F.col("_album")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))
     once, more = rows.join(keys, same, "left_anti"), rows.join(keys, same, "left_semi")
     return once.unionByName(dedupe_keep_first(more)).drop("_h1", "_h2")
@@ -68,7 +70,7 @@ def dedupe_keep_first_by_hash(photos: DataFrame) -> DataFrame:
 
 def duplicate_report_by_hash(photos: DataFrame) -> DataFrame:
     """duplicate_report that shuffles paths of repeated hashes alone."""
-    rows, keys = _hashed(photos), repeated_keys(photos).select(F.col("album_id").alias("_album"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2"))
+    rows, keys = _hashed(photos), written(repeated_keys(photos), "repeated-keys").select(F.col("album_id").alias("_album"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2"))
     same = F.col("album_id").eqNullSafe(F.col("_album")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))
     return duplicate_report(rows.join(keys, same, "left_semi").select(*KEY))
 
