@@ -355,7 +355,7 @@ wrong AS (SELECT album_id, CAST(count(*) AS INTEGER) AS move_error FROM drags JO
 SELECT album_id, unnest(ps) AS norm_path, CAST(unnest(range(len(ps))) AS INTEGER) AS pos, coalesce(move_error, 0) AS move_error FROM done LEFT JOIN wrong USING (album_id)""")
 def o4_apply_moves_sharded(spark, sf_dir):
     """Albums of some hundred photos and tens of drags, in several stretches, levels and blocks."""
-    rows = edits.apply_moves_long(X.manifest(spark, sf_dir), X.drags(spark, sf_dir), stretch=1 << 15, block=256)
+    rows = edits.apply_moves_long(X.manifest(spark, sf_dir), X.drags(spark, sf_dir), stretch=1 << 17, block=256)
     return rows.select("album_id", "norm_path", "pos", "move_error")
 
 
