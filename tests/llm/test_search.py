@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from conftest import DATA
@@ -41,13 +43,33 @@ def test_empty_table(spark):
 
 
 def test_footrule_counts_missing_pivots_as_past_the_end():
-    lists = np.array([[0, 1, 2], [2, 1, 0], [3, 4, 5], [1, 0, 5]], np.int32)
-    files = P.InvertedFiles(lists, 6)
+    rng = np.random.default_rng(4)
+    lists = np.array([rng.permutation(12)[:6] for _ in range(30)] + [[20, 21, 22, 23, 24, 25]], np.int32)
+    files = P.InvertedFiles.of(lists)
     place = lambda x: {p: k for k, p in enumerate(x)}
-    for q in lists:
-        for read in (1, 2, 3):
-            want = [sum(abs(k - place(x).get(p, 3)) for k, p in enumerate(q[:read])) for x in lists]
-            assert files.footrule(q[:read]).tolist() == want
+    for read in (1, 2, 3):
+        for at in range(0, len(lists), P.ABREAST):
+            some = lists[at : at + P.ABREAST, :read]
+            nothing = sum(6 - k for k in range(read))
+            want = {(i, j): nothing - sum(abs(k - place(x).get(p, 6)) for k, p in enumerate(q)) for i, q in enumerate(some) for j, x in enumerate(lists)}
+            for least in (1, 6):
+                got = files.nearer(some, np.full(len(some), least))
+                assert dict(zip(zip(*(x.tolist() for x in got[:2])), got[2].tolist())) == {k: g for k, g in want.items() if g >= least}
+    assert not any(map(len, files.nearer(np.array([[99, 98]]), np.ones(1))))
+
+
+def test_files_hold_a_falling_share():
+    """What a query's files hold grows far slower than the table, and vectors that aren't posted there are not touched."""
+    rng, posted, touched = np.random.default_rng(5), [], []
+    for n in (2_000, 20_000):
+        x = rng.normal(size=(n, 64))
+        pivots = P._unit(x[: math.ceil(P.PIVOT_ROOTS * math.sqrt(n))])
+        files, q = P.InvertedFiles.of(P.orders(x, pivots)), P.orders(x[-P.ABREAST :], pivots)[:, : P.READ]
+        size = np.diff(files.start)[np.searchsorted(files.pivot, q)]
+        posted.append(size.sum() / P.ABREAST / n)
+        touched.append(len(files.nearer(q, np.ones(P.ABREAST))[0]) / P.ABREAST / n)
+    print(posted, touched)
+    assert posted[1] < 0.4 * posted[0] and touched[1] < 0.65 * touched[0] and touched[1] < 0.6
 
 
 def test_lists_name_the_nearest_pivots():
@@ -107,12 +129,12 @@ def test_repeated_ids_and_copies_keep_what_can_win():
     ids = np.array([7, 7, 7, 7, 7, 7, 1, 2, 3, 9, 9])
     x = np.array([[1.0, 2.0]] * 9 + [[2.0, 1.0]] * 2)
     pivots = P._unit(np.array([[1.0, 2.0], [2.0, 1.0]]))
-    lists = P.orders(x, pivots)
+    block = P.Block.read(P.Block.of(ids, x, pivots).row().to_pylist()[0])
 
     def near(some, k):
-        q, best = np.array([[1.0, 2.0]] * len(some)), {}
-        P.search_block(ids, x, lists, P.Queries.of(np.array(some), q, P.Pivots(pivots, lists, 99)), 2, k, best)
-        return [found.tolist() for found, _ in best.values()]
+        q, best = np.array([[1.0, 2.0]] * len(some)), P.Best(len(some), k)
+        P.search_block(block, P.Queries.of(np.array(some), q, P.Pivots(pivots, P.orders(x, pivots), 99)), k, best)
+        return [ids[scores > -np.inf].tolist() for ids, scores in zip(best.ids, best.scores)]
 
     assert near([7, 1, 50], 3) == [[1, 2, 3], [2, 3, 7], [1, 2, 3]]
     assert near([1], 7) == [[2, 3, 7, 7, 7, 7, 7]]
