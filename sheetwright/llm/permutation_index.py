@@ -17,7 +17,7 @@ Candidates are reranked by exact cosine in double precision. A task keeps its k
 query; these are merged.
 
 A query's work: about READ * LIST / pivots postings a vector, so in all as sqrt(n) until MAX_PIVOTS binds (from
-2^22 distinct vectors) and as n from there, READ look-ups a block, and as many cosines as candidates. Queries
+7.4 million distinct vectors) and as n from there, READ look-ups a block, and as many cosines as candidates. Queries
 meet the written blocks in groups of QUERY_GROUP, which bounds what is broadcast; a pass reads them once for a whole
 group. Pivots and sample come from the distinct vectors with the least seeded hash; every vector is indexed, where it lies.
 
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import cut, fresh_path
 
 #: READ is at most half of LIST, so that a posting always brings a vector nearer.
-LIST, READ, PIVOT_ROOTS, CANDIDATE_ROOTS, SEED = 96, 48, 32, 8, 42
+LIST, READ, PIVOT_ROOTS, CANDIDATE_ROOTS, SEED = 96, 48, 24, 8, 42
 MAX_PIVOTS, SAMPLE, QUERY_GROUP = 65_536, 65_536, 65_536
 #: Components of the vectors of a sample or of a group of queries, about, at most; longer vectors make them smaller.
 VALUES = 1 << 23
@@ -63,10 +63,10 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 @dataclass
 class Pivots:
-    """Of one length of vectors: unit pivots, the lists of the sample, and the candidates that a query takes of it."""
+    """Of one length of vectors: unit pivots, the sample in inverted files, and the candidates that a query takes of it."""
 
     pivots: np.ndarray
-    sample: np.ndarray
+    sample: InvertedFiles
     take: int
 
 
@@ -86,7 +86,7 @@ def fit(rows: DataFrame, seed: int = SEED, sample: int = SAMPLE) -> dict[int, Pi
         root = math.sqrt(len(x) / share)
         pivots = _unit(x[: min(MAX_PIVOTS, math.ceil(PIVOT_ROOTS * root))])
         # Never fewer than LIST, so that a sparse sample still gives a radius that holds some.
-        out[n] = Pivots(pivots, orders(x, pivots), max(LIST, math.ceil(CANDIDATE_ROOTS * root * share)))
+        out[n] = Pivots(pivots, InvertedFiles.of(orders(x, pivots)), max(LIST, math.ceil(CANDIDATE_ROOTS * root * share)))
     return out
 
 
@@ -118,12 +118,12 @@ class InvertedFiles:
     def __init__(self, n: int, length: int, pivot: np.ndarray, start: np.ndarray, vector: np.ndarray, place: np.ndarray):
         # The file of pivot[f] holds vector[start[f] : start[f + 1]]; pivots that no list names have none.
         self.n, self.length, self.pivot, self.start, self.vector, self.place = n, length, pivot, start, vector, place
-        self._gain = np.zeros(ABREAST * n, np.int32)
+        self._gain = self._last = np.zeros(0, np.int32)  # made at the first search; not broadcast
 
     @classmethod
     def of(cls, lists: np.ndarray) -> InvertedFiles:
         flat = lists.ravel()
-        by = np.argsort(flat, kind="stable")
+        by = np.argsort(flat.astype(np.uint16) if len(flat) and flat.max() < 1 << 16 else flat, kind="stable")  # a radix sort
         pivot, start = np.unique(flat[by], return_index=True)
         vector, place = np.divmod(by, max(1, lists.shape[1]))
         return cls(*lists.shape, pivot.astype(np.int32), np.r_[start, len(by)].astype(np.int32), vector.astype(np.int32), place.astype(np.uint8))
@@ -142,9 +142,13 @@ class InvertedFiles:
         query, place = (np.repeat(x, size) for x in np.divmod(at, max(1, queries.shape[1])))
         gain = (self.length - place - np.abs(self.place[rows] - place)).astype(np.int32)
         key = query * self.n + self.vector[rows]
+        if not len(self._gain):
+            self._gain, self._last = np.zeros(ABREAST * self.n, np.int32), np.zeros(ABREAST * self.n, np.int32)
         np.add.at(self._gain, key, gain)
-        all_of = self._gain[key]
-        found = np.unique(key[all_of >= least[query]])
+        found = key[self._gain[key] >= least[query]]
+        turn = np.arange(len(found), dtype=np.int32)
+        self._last[found] = turn
+        found = found[self._last[found] == turn]  # each once, still in order of queries
         out = self._gain[found]
         self._gain[key] = 0
         return found // max(1, self.n), found % max(1, self.n), out
@@ -212,11 +216,10 @@ class Queries:
     @classmethod
     def of(cls, ids: np.ndarray, vectors: np.ndarray, fitted: Pivots) -> Queries:
         lists, least = orders(vectors, fitted.pivots)[:, :READ], np.zeros(len(ids), np.int32)
-        if fitted.take < len(fitted.sample):  # the query's own vector is one more
-            files = InvertedFiles.of(fitted.sample)
+        if fitted.take < fitted.sample.n:  # the query's own vector is one more
             for at in range(0, len(ids), ABREAST):
                 some = lists[at : at + ABREAST]
-                query, _, gain = files.nearer(some, np.ones(len(some), np.int32))
+                query, _, gain = fitted.sample.nearer(some, np.ones(len(some), np.int32))
                 for k, mine in enumerate(np.split(gain, np.searchsorted(query, np.arange(1, len(some))))):
                     # fewer posted than that: all that are posted, and each pivot read is one of them
                     least[at + k] = np.partition(mine, -fitted.take - 1)[-fitted.take - 1] if len(mine) > fitted.take else 1
@@ -301,7 +304,7 @@ def nearest_found(rows: DataFrame, queries: DataFrame, k: int = 5, group: int =
         for b in batches:
             for n, mine, x in _by_length(b):
                 ids = b.column(0).to_numpy()[mine]
-                nothing = Pivots(np.zeros((0, n)), np.zeros((0, 0), np.int32), 0)
+                nothing = Pivots(np.zeros((0, n)), InvertedFiles.of(np.zeros((0, 0), np.int32)), 0)
                 q = Queries.of(ids, x, whole.value.get(n, nothing))
                 yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (n, ids.tobytes(), x.tobytes(), q.lists.tobytes(), q.least.tobytes())], names)
 

@@ -133,7 +133,7 @@ def test_repeated_ids_and_copies_keep_what_can_win():
 
     def near(some, k):
         q, best = np.array([[1.0, 2.0]] * len(some)), P.Best(len(some), k)
-        P.search_block(block, P.Queries.of(np.array(some), q, P.Pivots(pivots, P.orders(x, pivots), 99)), k, best)
+        P.search_block(block, P.Queries.of(np.array(some), q, P.Pivots(pivots, P.InvertedFiles.of(P.orders(x, pivots)), 99)), k, best)
         return [ids[scores > -np.inf].tolist() for ids, scores in zip(best.ids, best.scores)]
 
     assert near([7, 1, 50], 3) == [[1, 2, 3], [2, 3, 7], [1, 2, 3]]
