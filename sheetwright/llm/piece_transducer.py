@@ -21,11 +21,12 @@ keeps the least weight and the arc that gave it. No piece crosses from other cha
 white space, or between classes of characters, so every path passes the positions between
 them; the parts between such positions are solved one by one and remembered within a task.
 
-A normaliser that collapses blanks (those at the ends go, several become one) is applied before; such a text doesn't decode to
-itself. Models whose normaliser has a character map are refused.
+A normaliser with a character map has arcs of its own: a trie of the map's keys over the bytes of a text, where the longest key at
+each place writes its replacement, and a character that begins none writes itself. It is composed with the text before the
+pieces are, as is one that collapses blanks (those at the ends go, several become one); such a text doesn't decode to itself.
 
 Edge cases: null and empty texts encode to no ids; text of any characters decodes to
-itself, but U+2581, which decodes to a blank, as in the library; each input row gives
+itself (to its mapped form, with a character map), but U+2581, which decodes to a blank, as in the library; each input row gives
 one row; only doc_id and text are read.
 """
 
@@ -73,6 +74,45 @@ def _runs(pieces) -> re.Pattern:
     return re.compile(f"[{BLANK} ]*(?:{''.join(f'[{x}]+|' for x in sets)}[^{BLANK} ])|[{BLANK} ]+", re.DOTALL)
 
 
+class CharacterMap:
+    """The arcs of a compiled character map: (state, byte) -> state, and what is written where a key ends.
+
+    The compiled form is the size of a double array, its units of 32 bits, and the replacements, each ended by a zero.
+    A state is a place in the array; its arc on a byte is the unit at place ^ byte, if that bears the byte as its label, and
+    leads to the unit's place ^ its offset. Where a key ends, a unit with bit 8 set, its replacement's place stands in the state.
+    """
+
+    def __init__(self, compiled: bytes):
+        size = int.from_bytes(compiled[:4], "little")
+        units = np.frombuffer(compiled, "<u4", size // 4, 4).astype(np.int64)
+        self.label = (units & 0x800000FF).tolist()
+        # Bit 9 says that the offset, from bit 10 on, counts in units of 256.
+        self.offset = ((units >> 10) << np.where(units & 512, 8, 0)).tolist()
+        self.ends = (units & 256 > 0).tolist()
+        self.value = (units & 0x7FFFFFFF).tolist()
+        self.texts = compiled[4 + size :]
+
+    def apply(self, text: str) -> str:
+        """The text with the longest key at each place replaced."""
+        label, offset, ends = self.label, self.offset, self.ends
+        data, out, at, n = text.encode(), [], 0, len(label)
+        while at < len(data):
+            state, to, end, value = offset[0] if n else n, at, at, None
+            while to < len(data) and (arc := state ^ data[to]) < n and label[arc] == data[to]:
+                state, to = arc ^ offset[arc], to + 1
+                if ends[arc]:
+                    end, value = to, state
+            if value is None:
+                lead = data[at]
+                end = at + (1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+                out.append(data[at:end])
+            else:
+                begin = self.value[value]
+                out.append(self.texts[begin : self.texts.index(0, begin)])
+            at = end
+        return b"".join(out).decode()
+
+
 class PieceTransducer:
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -80,8 +120,11 @@ class PieceTransducer:
         proto = pb.ModelProto()
         proto.ParseFromString(model)
         norm, kind = proto.normalizer_spec, proto.SentencePiece
-        if norm.precompiled_charsmap or not norm.escape_whitespaces:
-            raise ValueError("only models that keep their text as it is")
+        if not norm.escape_whitespaces:
+            raise ValueError("only models that write white space as U+2581")
+        if norm.precompiled_charsmap and any(p.type == kind.USER_DEFINED for p in proto.pieces):
+            raise ValueError("pieces defined by a user aren't kept from a character map")
+        self.map = CharacterMap(norm.precompiled_charsmap) if norm.precompiled_charsmap else None
         if proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("only models with white space before words")
         self.bpe = proto.trainer_spec.model_type == proto.trainer_spec.BPE
@@ -209,10 +252,14 @@ class PieceTransducer:
         return self.runs.findall((BLANK if self.dummy else "") + text)
 
     def encode(self, text: str | None) -> list[int]:
-        if text and self.collapse:
-            text = re.sub("  +", " ", text.lstrip(" ")).rstrip(f" {BLANK}")
         if not text:
             return []
+        if self.map:
+            text = self.map.apply(text)
+        if self.collapse:
+            text = re.sub("  +", " ", text.lstrip(" ")).rstrip(f" {BLANK}")
+            if not text:
+                return []
         known, out = self.known, []
         for part in self.parts(text):
             ids = known.get(part)

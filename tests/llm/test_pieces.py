@@ -69,10 +69,31 @@ def test_fallback_arcs(model):
     assert t._shortest("\ue000a\ue000") == (*t._shortest("\ue000"), t.ids["a"], *t._shortest("\ue000"))
 
 
-def test_models_with_a_character_map_are_refused(model):
-    proto = pb.ModelProto()
+def mapped(model, rule, collapse):
+    proto, norm = pb.ModelProto(), pb.ModelProto()
     proto.ParseFromString(model)
-    proto.normalizer_spec.precompiled_charsmap = b"map"
+    norm.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    proto.normalizer_spec.precompiled_charsmap = norm.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = collapse
+    return proto
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("collapse", [True, False])
+def test_models_with_a_character_map(model, rule, collapse):
+    """Ids are the library's, for each character that a map changes and for texts of combining and wide ones."""
+    serial = mapped(model, rule, collapse).SerializeToString()
+    ours, theirs = T.PieceTransducer(serial), sentencepiece.SentencePieceProcessor(model_proto=serial)
+    rng = random.Random(8)
+    parts = ["ﬁ", "①", "Ａ", "e\u0301", "\u0301", "한글", "\u1112\u1161\u11ab", "㍿", "´", "\u00a0", "\u3000", "\u200b", "\x01", "İ", "ß", "½", " ", "  ", "a", "The", "\n", "\t", "▁", "\x00", "😀"]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    some += [f"a{chr(c)} b" for c in range(1, 0x3400)] + [chr(c) for c in range(0xF900, 0x10000)]
+    assert [x for x in [*some, *texts(500)] if ours.encode(x) != theirs.encode(x)] == []
+
+
+def test_maps_and_pieces_defined_by_a_user_are_refused_together(model):
+    proto = mapped(model, "nfkc", True)
+    proto.pieces.add(piece="<mine>", score=0, type=pb.ModelProto.SentencePiece.USER_DEFINED)
     with pytest.raises(ValueError):
         T.PieceTransducer(proto.SerializeToString())
 
