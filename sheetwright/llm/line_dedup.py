@@ -78,13 +78,15 @@ class LineRuns:
     def add(self, batch: DataFrame) -> None:
         """Add the lines (h1, h2, doc_id), distinct, of documents smaller than all that the runs hold."""
         keys = batch.groupBy(*HASH).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
-        if self.runs():
-            keys = cut(keys, "line-batch")
-            fresh = cut(self.unseen(keys), "line-fresh")
-            self.later.append(fresh_path(self.spark, "line-later"))
-            keys.join(fresh.select(*HASH).hint("merge"), HASH, "left_anti").select(*HASH, "n_docs").write.parquet(self.later[-1])
-            keys = fresh
-        self._push(0, self._write(keys))
+        if not self.runs():
+            return self._push(0, self._write(keys))
+        keys = cut(keys, "line-batch")
+        run = self._write(self.unseen(keys))
+        seen = keys.join(self.spark.table(run).select(*HASH).hint("merge"), HASH, "left_anti").select(*HASH, "n_docs")
+        self.later.append(fresh_path(self.spark, "line-later"))
+        # as many files as the batch's own size asks for: a file a bucket would be mostly small ones
+        seen.coalesce(keys.rdd.getNumPartitions()).write.parquet(self.later[-1])
+        self._push(0, run)
 
     def _rows(self, runs: list[str]) -> DataFrame:
         # Read as plain files: Spark 4.1 takes the buckets of a union of columnar bucketed scans for its

@@ -76,6 +76,28 @@ def test_runs_hold_each_line_once_and_levels_compact(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
+def test_a_batch_is_written_once_and_in_few_files(spark):
+    """Fresh lines go straight into their run, and counts of seen ones aren't a file a bucket."""
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/sheetwright"
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        runs = D.LineRuns(spark)
+        batch = lambda first, last, doc: spark.range(first, last).selectExpr("id AS h1", "id AS h2", f"{doc}L AS doc_id")
+        runs.add(batch(0, 2000, 30))
+        before = set(os.listdir(shared))
+        runs.add(batch(1000, 3000, 20))
+        assert sorted(name.rsplit("-", 1)[0] for name in set(os.listdir(shared)) - before if not name.startswith("line_run_")) == ["line-batch", "line-later"]
+        later = runs.later[0].removeprefix("file://")
+        assert 0 < len([f for f in os.listdir(later) if f.endswith(".parquet")]) <= 8
+        assert sorted(tuple(r) for r in spark.read.parquet(runs.later[0]).collect()) == [(i, i, 1) for i in range(1000, 2000)]
+        got = {r["h1"]: (r["n_docs"], r["keeper"]) for r in runs.totals().collect()}
+        assert got == {i: (1 + (1000 <= i < 2000), 30 if i < 2000 else 20) for i in range(3000)}
+        runs.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_many_lines_and_ids_that_repeat_with_other_texts(spark):
     line = lambda k: f"line {k} that is long enough to count as one of those that repeat"
     data = [(k % 7, "\n".join(line(j) for j in range(k, 3000, 1 + k % 3)) + f"\nend {k}") for k in range(15)]
