@@ -112,3 +112,42 @@ def test_drawn_rectangles_lie_in_their_cells(spark):
     assert got.filter(bad).count() == 0
     zero = cells.withColumn("width", F.lit(0))
     assert pages.place(pages.paginate(zero)).filter("draw_w IS NOT NULL").count() == 0
+
+
+def test_stretches_of_drags_fold_at_once():
+    """Groups of one drag to many, in lists of different lengths, against drag after drag."""
+    import numpy as np
+
+    rng = random.Random(8)
+    sizes, counts = [2, 7, 40, 300, 2, 11], [1, 3, 8, 61, 5, 2]
+    log = [(g, n, *rng.sample(range(n), 2)) for g, (n, m) in enumerate(zip(sizes, counts, strict=True)) for _ in range(m)]
+    group, new, old, length = edits._folded(*(np.array(c, np.int64) for c in zip(*log, strict=True)))
+    for g, n in enumerate(sizes):
+        want = list(range(n))
+        for _, _, a, b in (x for x in log if x[0] == g):
+            want.insert(b, want.pop(a))
+        pieces = [(new[k], old[k], length[k]) for k in range(len(group)) if group[k] == g]
+        assert [p for _, start, size in pieces for p in range(start, start + size)] == want
+        assert all(new_ == sum(s for _, _, s in pieces[:k]) for k, (new_, _, _) in enumerate(pieces))
+        assert all(x[1] + x[2] != y[1] for x, y in zip(pieces, pieces[1:], strict=False))  # neighbours in both lists are one piece
+
+
+def test_many_albums_with_few_drags_take_no_call_each(spark):
+    """Python is called for batches of drags and not for each stretch or block; batches may end within a stretch."""
+    rng, n = random.Random(9), 9
+    log = [(rng.randrange(300), k, "move", None, rng.randint(0, n), rng.randrange(n)) for k in range(1500)]
+    log += [(300, k, "move", None, rng.randrange(n), rng.randrange(n)) for k in range(1500)]
+    want = {a: list(range(n)) for a in range(302)}
+    for a, _, _, x, y in ((r[0], *r[2:]) for r in log):
+        if x < n:
+            want[a].insert(y, want[a].pop(x))
+    start = spark.range(302).select(F.col("id").alias("album_id"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"))
+    start = start.select("album_id", F.concat(F.lit("p"), "pos").alias("norm_path"), F.lit("x").alias("path"), "pos", F.lit(0).alias("rotation"), F.lit("3x3").alias("layout"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = edits.apply_moves_long(start, spark.createDataFrame(log, EDITS), stretch=200, block=4)
+        assert rows(got, "album_id", "norm_path", "pos") == sorted(((a, f"p{p}", k) for a, order in want.items() for k, p in enumerate(order)), key=repr)
+        plan = got._jdf.queryExecution().toString()
+        assert "MapInPandas" in plan and "GroupsInPandas" not in plan
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
