@@ -151,3 +151,17 @@ def test_many_albums_with_few_drags_take_no_call_each(spark):
         assert "MapInPandas" in plan and "GroupsInPandas" not in plan
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_long_form_places_odd_positions_as_the_short_one(spark):
+    """Photos behind the list's end or without a place stay as they are; drags without seq come first; errors are the album's."""
+    places = [0, 1, 2, 3, 4, 9, 12, None, -1]
+    data = [(a, f"p{k}", "x", p, 0, None) for a in (1, 2) for k, p in enumerate(places)] + [(None, "q", "x", 0, 0, None)]
+    start = spark.createDataFrame(data, MANIFEST)
+    log = [(1, 3, "move", None, 4, 0), (1, None, "move", None, 0, 3), (1, 9, "move", None, 2, 8), (1, 8, "move", None, 9, 0), (1, 7, "move", None, 1, None), (1, 10, "move", None, 5, 5), (2, 1, "move", None, -1, 2), (None, 1, "move", None, 0, 1)]
+    log = spark.createDataFrame(log, EDITS)
+    want = rows(edits.apply_moves(start, log), *MANIFEST.fieldNames())
+    for stretch, block in ((None, None), (2, 4)):
+        got = edits.apply_moves_long(start, log, stretch, block)
+        assert rows(got, *MANIFEST.fieldNames()) == want
+        assert {(r["album_id"], r["move_error"]) for r in got.collect()} == {(None, 0), (1, 2), (2, 1)}
